@@ -254,7 +254,7 @@ def split_half(text: Column) -> Column:
     """Two halves by tokens, cut between paragraphs, else sentences, else words."""
     def halve(parts, sep):
         def cut(p):
-            sizes = F.transform(p, estimate_tokens)
+            sizes = F.transform(p, lambda x: estimate_tokens(x))
             total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
             half = F.greatest(F.lit(1), F.floor(total / 2).cast("int"))
             taken = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("run")), lambda a, x: F.when(
