@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.hof import (STRINGS, any_contains, indices, let, lits, replace_matches, slices_from)
+from lectern.functions.hof import STRINGS, indices, let, replace_matches, slices_from
 
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -434,11 +434,3 @@ def supports(terms: Column, blocks: Column) -> Column:
     """Any term is a substring of any block."""
     return F.exists(blocks, lambda b: let(fold_case(F.regexp_replace(b, WS + "+", " ")), lambda n: F.exists(
         terms, lambda t: n.contains(F.translate(t, "_", " ")))))
-
-
-def contains_any(c: Column, phrases: Sequence[str]) -> Column:
-    return any_contains(c, phrases)
-
-
-def literal_words(values: Sequence[str]) -> Column:
-    return lits(values)

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import fixed
-from lectern.functions.hof import STRINGS, indices, let, lits, pack, slices_from
+from lectern.functions.hof import STRINGS, indices, let, pack, slices_from
 from lectern.functions.text import (clean_whitespace, collapse, estimate_tokens, file_stem, fold_case,
-                                    rstrip, strip, strip_tags, truncate, words)
+                                    strip, strip_tags, truncate, words)
 
 UNITS = "array<struct<tag:string,text:string>>"
 SECTIONS = "array<struct<title:string,text:string>>"
@@ -366,11 +366,3 @@ def split_by_offsets(docs: DataFrame, splits: DataFrame, text: str = "text", doc
     body = F.substring(F.col(text), start + 1, F.coalesce(end, F.length(text)) - start)
     return docs.join(splits, doc).withColumn("part_text", body).withColumn(
         "part_id", F.concat(F.col(doc).cast("string"), F.lit("#"), F.col("part"))).drop(text)
-
-
-def word_list(values) -> Column:
-    return lits(values)
-
-
-def trim_right(c: Column) -> Column:
-    return rstrip(c)
