@@ -62,7 +62,7 @@ def ingest_stream(parsed: DataFrame, sections_path: str, dead_path: str, checkpo
     def write(batch: DataFrame, epoch: int) -> None:
         good = accepted(batch).withColumn("doc_id", F.sha2("source_path", 256)).select(
             "doc_id", "source_path", "domain", "text")
-        sectionize_text(good).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(
+        sectionize_text(good).write.mode("overwrite").parquet(
             f"{sections_path}/epoch={epoch}")
         dead_letters(batch).write.mode("overwrite").parquet(f"{dead_path}/epoch={epoch}")
     return parsed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(
