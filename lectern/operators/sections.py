@@ -253,20 +253,20 @@ def plan_chunks(text: Column, budget: int) -> Column:
 def split_half(text: Column) -> Column:
     """Two halves by tokens, cut between paragraphs, else sentences, else words."""
     def halve(parts, sep):
-        def cut(p):
-            sizes = F.transform(p, lambda x: estimate_tokens(x))
+        def cut(p, sizes):
             total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-            half = F.greatest(F.lit(1), F.floor(total / 2).cast("int"))
-            taken = F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("run")), lambda a, x: F.when(
-                (a["n"] > 0) & (a["run"] >= half), a).otherwise(F.struct(
-                    (a["n"] + 1).alias("n"), (a["run"] + x).alias("run"))), lambda a: a["n"])
-            # once the half is reached the count stays; a full take falls back to the middle
-            at = let(taken, lambda n: F.when((n <= 0) | (n >= F.size(p)), F.greatest(
-                F.lit(1), F.floor(F.size(p) / 2).cast("int"))).otherwise(n))
+
+            def taken(half):
+                # once the half is reached the count stays; a full take falls back to the middle
+                return F.aggregate(sizes, F.struct(F.lit(0).alias("n"), F.lit(0).alias("run")), lambda a, x: F.when(
+                    (a["n"] > 0) & (a["run"] >= half), a).otherwise(F.struct(
+                        (a["n"] + 1).alias("n"), (a["run"] + x).alias("run"))), lambda a: a["n"])
+            at = let(let(F.greatest(F.lit(1), F.floor(total / 2).cast("int")), taken), lambda n: F.when(
+                (n <= 0) | (n >= F.size(p)), F.greatest(F.lit(1), F.floor(F.size(p) / 2).cast("int"))).otherwise(n))
             return let(at, lambda n: F.filter(F.array(
                 strip(F.array_join(F.slice(p, 1, n), sep)),
                 strip(F.array_join(F.slice(p, n + 1, F.size(p)), sep))), lambda x: x != ""))
-        return let(parts, cut)
+        return let(parts, lambda p: let(F.transform(p, lambda x: estimate_tokens(x)), lambda z: cut(p, z)))
     return let(strip(text), lambda t: F.when(t == "", F.array().cast(STRINGS))
                .when(F.size(paragraphs(t)) > 1, halve(paragraphs(t), "\n\n"))
                .when(F.size(sentences(t)) > 1, halve(sentences(t), " "))
