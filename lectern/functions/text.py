@@ -100,6 +100,14 @@ def informative(terms: Column, **lists) -> Column:
     return F.filter(terms, lambda t: is_informative(t, **lists))
 
 
+def informative_keywords(c: Column, generic: Sequence[str] = fixed.GENERIC_TERMS) -> Column:
+    """Informative terms among ``keywordize(c)``; cheaper, as those terms hold no stop word or stray letter."""
+    def keep(t):
+        pair = ~(F.substring_index(t, "_", 1).isin(*generic) & F.substring_index(t, "_", -1).isin(*generic))
+        return F.when(t.contains("_"), pair).otherwise(~is_digits(t) & ~t.isin(*generic))
+    return F.filter(keywordize(c), keep)
+
+
 def truncate(c: Column, limit: int) -> Column:
     """Collapse white space, cut at limit-3, right-trim, three dots."""
     return let(collapse(c), lambda t: F.when(F.length(t) <= limit, t).otherwise(

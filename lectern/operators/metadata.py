@@ -13,7 +13,7 @@ from lectern.functions import fixed
 from lectern.functions.hof import STRINGS, count_terms, let
 from lectern.functions.lexicon import Lexicon, first_label, labels, phrases_found
 from lectern.functions.text import (canonical_title, extract_date, extract_version, file_stem, humanize,
-                                    is_informative, keywordize, normalize_text, parsed_date, strip, uniq)
+                                    informative_keywords, keywordize, normalize_text, parsed_date, strip, uniq)
 
 
 def _join(*parts: Column) -> Column:
@@ -41,12 +41,11 @@ def auto_tags(parts: Sequence[tuple[Column, float]], limit: int) -> Column:
     Informative terms are weighed by part, two-word terms +0.6 each time; order is weight, number
     of words, length, then first appearance.  A single word already inside a taken tag is passed over.
     """
-    weighted = F.flatten(F.array(*[F.transform(
-        F.filter(keywordize(F.coalesce(part, F.lit(""))), lambda t: is_informative(t)),
-        lambda t, i, n=n, w=w: F.struct(
+    def weigh(part, n, w):
+        return F.transform(informative_keywords(F.coalesce(part, F.lit(""))), lambda t, i: F.struct(
             t.alias("term"), (i + n * 1_000_000).alias("pos"),
             F.when(t.contains("_"), F.lit(w + 0.6)).otherwise(F.lit(float(w))).alias("w")))
-        for n, (part, w) in enumerate(parts)]))
+    weighted = F.flatten(F.array(*[weigh(part, n, w) for n, (part, w) in enumerate(parts)]))
     ranked = F.array_sort(F.transform(count_terms(weighted), lambda t: F.struct(
         (-F.round(t["w"], 6)).alias("w"),
         F.when(t["term"].contains("_"), F.lit(-1)).otherwise(F.lit(0)).alias("u"),
@@ -61,7 +60,14 @@ def auto_tags(parts: Sequence[tuple[Column, float]], limit: int) -> Column:
 
 
 def _first_non_empty(*arrays: Column) -> Column:
-    return F.coalesce(*[F.when(F.size(a) > 0, a) for a in arrays], F.array().cast(STRINGS))
+    out = arrays[-1]
+    for a in reversed(arrays[:-1]):
+        out = _or_else(a, out)
+    return out
+
+
+def _or_else(first: Column, then: Column) -> Column:
+    return let(first, lambda a: F.when(F.size(a) > 0, a).otherwise(then))
 
 
 def document_tags(title: Column, path: Column, text: Column, topics: Lexicon = fixed.TOPICS) -> Column:
@@ -82,8 +88,7 @@ def section_tags(doc_title: Column, title: Column, text: Column, topics: Lexicon
 
 def keywords(parts: Column, limit: int = 16) -> Column:
     """Most frequent informative terms of three characters or more; ties by first appearance."""
-    terms = F.filter(F.flatten(F.transform(parts, lambda p: keywordize(p))),
-                     lambda t: (F.length(t) >= 3) & is_informative(t))
+    terms = F.filter(F.flatten(F.transform(parts, lambda p: informative_keywords(p))), lambda t: F.length(t) >= 3)
     counted = count_terms(F.transform(terms, lambda t, i: F.struct(
         t.alias("term"), i.alias("pos"), F.lit(1.0).alias("w"))))
     ranked = F.array_sort(F.transform(counted, lambda t: F.struct(

@@ -91,9 +91,10 @@ def grams(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
     """Distinct character grams of a text."""
     def of(t):
         n = F.length(t)
-        return F.array_distinct(F.flatten(F.array(*[F.when(n >= s, F.transform(
-            F.sequence(F.lit(1), F.greatest(n - (s - 1), F.lit(1))), lambda i, s=s: F.substring(t, i, F.lit(s)))
-        ).otherwise(F.array().cast("array<string>")) for s in sizes])))
+        some = lambda s: F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(n - (s - 1), F.lit(1))),
+                                                    lambda i: F.substring(t, i, F.lit(s)))).otherwise(
+            F.array().cast("array<string>"))
+        return F.array_distinct(F.flatten(F.array(*[some(s) for s in sizes])))
     return let(text, of)
 
 

@@ -48,9 +48,9 @@ def ranked_tags(parts, source, name, limit):
         f"SELECT id, {n} AS part, {w}::DOUBLE AS w, unnest(ts) AS t, unnest(range(0, len(ts))) AS p FROM (SELECT id, {sql.with_pairs('k')} AS ts "
         f"FROM (SELECT id, {sql.kept(x)} AS k FROM {source}))" for n, (x, w) in enumerate(parts))
     return f"""{name}_e AS ({exploded}),
-{name}_s AS (SELECT id, t, round(sum(w + CASE WHEN contains(t, '_') THEN 0.6::DOUBLE ELSE 0 END), 6) AS s, min(part * 1000000 + p) AS at
+{name}_s AS (SELECT id, t, round(sum(w + CASE WHEN contains(t, '_') THEN 0.6::DOUBLE ELSE 0 END), 6) AS s, min(part * 1000000 + p) AS ord
   FROM {name}_e WHERE {sql.informative('t')} GROUP BY id, t),
-{name}_o AS (SELECT id, list(t ORDER BY s DESC, contains(t, '_') DESC, length(t) DESC, at) AS ts FROM {name}_s GROUP BY id),
+{name}_o AS (SELECT id, list(t ORDER BY s DESC, contains(t, '_') DESC, length(t) DESC, ord) AS ts FROM {name}_s GROUP BY id),
 {name} AS (SELECT id, list_reduce(ts, lambda acc, t: CASE WHEN len(acc) >= {limit} OR list_contains(acc, replace(t, '_', ' '))
   OR (NOT contains(t, '_') AND len(list_filter(acc, lambda a: list_contains(string_split(a, ' '), t))) > 0) THEN acc
   ELSE list_append(acc, replace(t, '_', ' ')) END, []::VARCHAR[]) AS tags FROM {name}_o)"""
@@ -179,7 +179,7 @@ def meta_entity_lookup(spark, sf):
 WITH {ENTITIES}, j AS (SELECT l.section_id, g.pos, unnest(list_concat([g.name], g.synonyms)) AS t, unnest(range(0, 3)) AS s
   FROM lines l JOIN good g USING (doc_id) WHERE g.category = 'benefit' OR contains(lower(l.body), lower(g.name))
   OR contains(lower(l.body), lower(g.synonyms[1])) OR contains(lower(l.body), lower(g.synonyms[2]))),
-f AS (SELECT section_id, lower(trim(t)) AS t, min(pos * 10 + s) AS at FROM j GROUP BY 1, 2), a AS (SELECT section_id, string_agg(t, '|' ORDER BY at) AS tags FROM f GROUP BY 1)
+f AS (SELECT section_id, lower(trim(t)) AS t, min(pos * 10 + s) AS ord FROM j GROUP BY 1, 2), a AS (SELECT section_id, string_agg(t, '|' ORDER BY ord) AS tags FROM f GROUP BY 1)
 SELECT l.section_id, coalesce(a.tags, '') AS tags FROM lines l LEFT JOIN a USING (section_id)""")
 def meta_entity_tags(spark, sf):
     """D11."""
@@ -255,12 +255,15 @@ def gov_names_and_dates(spark, sf):
 
 
 TERMS = ((r"\b(?:the|and)\b", "REF-EN"), (r"\b(?:nicht|und)\b", "REF-DE"), (r"\b(?:para|los)\b", "REF-ES"), (r"\b(?:avec|les)\b", "REF-FR"))
-_FIRST = "CASE " + " ".join(f"WHEN regexp_matches(e, {sql.q('(?i)' + p)}) THEN {sql.q(r)}" for p, r in TERMS) + " END"
+# word boundaries count letters of every script, which RE2's own boundary does not
+_EDGE = "(?:^|$|[^\\pL\\pN_])"
+_FIRST = "CASE " + " ".join(f"WHEN regexp_matches(e, {sql.q('(?i)' + p.replace(chr(92) + 'b', _EDGE))}) THEN {sql.q(r)}"
+                            for p, r in TERMS) + " END"
 
 
 @query("gov_regulation_tags", f"""
 WITH {inputs.LINES}, e AS (SELECT doc_id, order_index AS pos, '<p>' || replace(replace(body, '<', ' '), '&', ' ') || '</p>' AS e FROM lines),
-s AS (SELECT doc_id FROM lines GROUP BY doc_id HAVING sum(length(encode('<p>' || replace(replace(body, '<', ' '), '&', ' ') || '</p>'))) <= 400000)
+s AS (SELECT doc_id FROM lines GROUP BY doc_id HAVING sum(strlen('<p>' || replace(replace(body, '<', ' '), '&', ' ') || '</p>')) <= 400000)
 SELECT doc_id, pos, {_FIRST} AS regulation FROM e JOIN s USING (doc_id) WHERE {_FIRST} IS NOT NULL""")
 def gov_regulation_tags(spark, sf):
     """Every line as a paragraph, patterns of words that occur."""
@@ -322,7 +325,7 @@ def gov_superseded(spark, sf):
     return G.superseded(named, pairs).select("doc_id", "status", "new_name")
 
 
-REPORT = (f"{GOVERNED}, noted AS (SELECT *, length(encode(text)) // 1024 AS kb FROM governed), report AS (SELECT file_name AS source, "
+REPORT = (f"{GOVERNED}, noted AS (SELECT *, strlen(text) // 1024 AS kb FROM governed), report AS (SELECT file_name AS source, "
           f"'Improved — metadata banner added' AS action, doc_type, {_VERSION} AS version, {_DATE} AS date, owner, audience, category, {_KW} AS keywords, review_cycle, "
           f"coalesce(nullif(concat_ws('; ', CASE WHEN {_DATED} IS NULL THEN 'Effective date not found in body — assigned ' || {_DATE} END, "
           "CASE WHEN kb > 100 THEN 'Large document (' || kb || ' KB) — consider further splitting by section' END), ''), 'Clean') AS notes FROM noted)")

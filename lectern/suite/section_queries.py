@@ -202,8 +202,8 @@ _NODES = ("list_filter(list_transform(string_split(regexp_replace(regexp_replace
 @query("section_page_choice", f"""
 WITH a AS (SELECT page_id, string_split_regex({_P}, '<(p|h1)>') AS parts, regexp_extract_all({_P}, '<(p|h1)>', 1) AS tags FROM pages),
 u AS (SELECT page_id, unnest(range(1, len(tags) + 1)) AS i, unnest(tags) AS tag, unnest(parts[2:]) AS raw FROM a),
-o AS (SELECT page_id, -1 AS i, 'div' AS tag, regexp_extract(html, '<div class="ad">(.*?)</div>', 1) AS raw FROM pages
-  UNION ALL SELECT page_id, 100000, 'div', regexp_extract(html, '<footer>(.*?)</footer>', 1) FROM pages UNION ALL SELECT * FROM u),
+o AS (SELECT page_id, -1 AS i, 'div' AS tag, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS raw FROM pages
+  UNION ALL SELECT page_id, 100000, 'div', regexp_extract(html, '(?s)<footer>(.*?)(?:</footer>|$)', 1) FROM pages UNION ALL SELECT * FROM u),
 c AS (SELECT page_id, i, tag, trim(array_to_string(list_filter(list_transform(string_split({_unescape('raw')}, chr(1)), lambda s: trim(s)), lambda s: s <> ''), ' ')) AS text FROM o),
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id, tag = 'div', lower(text) ORDER BY i) AS rs, row_number() OVER (PARTITION BY page_id, lower(text) ORDER BY i) AS rb
   FROM c WHERE text <> ''),

@@ -50,7 +50,7 @@ def with_pairs(k: str) -> str:
 
 
 def uniq(a: str) -> str:
-    return f"list_filter({a}, lambda x, i: x <> '' AND list_position({a}, x) = i)"
+    return f"list_transform([{a}], lambda l: list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i))[1]"
 
 
 def informative(t: str) -> str:
