@@ -143,8 +143,11 @@ def _pairs(index: Index, wanted: DataFrame, **join) -> DataFrame:
     return hits.withColumn("_s", F.col("w") * F.col("impact"))
 
 
-def _visible(pairs: DataFrame, questions: DataFrame, grants: DataFrame | None) -> DataFrame:
-    """F16: the access filter comes before any limit, so hidden sections never use up a place."""
+def _visible(pairs: DataFrame, questions: DataFrame, grants: DataFrame | None, within: DataFrame | None = None
+             ) -> DataFrame:
+    """Metadata and access filters come before any limit, so hidden sections never use up a place."""
+    if within is not None:
+        pairs = pairs.join(within.select("section_id"), "section_id", "left_semi")
     if grants is None:
         return pairs
     who = questions.select("query_id", F.col("user_id").cast("string").alias("user_id"))
@@ -152,7 +155,8 @@ def _visible(pairs: DataFrame, questions: DataFrame, grants: DataFrame | None) -
 
 
 def keyword_search(questions: DataFrame, index: Index, k: int = 10, boosts: Mapping[str, float] = fixed.FIELD_BOOSTS,
-                   grants: DataFrame | None = None, fuzzy: bool = False, stem=None, **join) -> DataFrame:
+                   grants: DataFrame | None = None, fuzzy: bool = False, stem=None,
+                   within: DataFrame | None = None, **join) -> DataFrame:
     """OR of the question's terms, boosted per field, the best field counts; first ``k``."""
     fields = [f for f in index.has if f in boosts]
     terms = query_terms(questions, stem=stem)
@@ -172,7 +176,7 @@ def keyword_search(questions: DataFrame, index: Index, k: int = 10, boosts: Mapp
     per_field = [F.sum(F.when(F.col("field") == f, F.col("_s")).otherwise(0.0)) for f in fields]
     best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
     scored = _pairs(index, wanted, **join).groupBy("query_id", "section_id", "doc_id").agg(best.alias("score"))
-    return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants), k)
+    return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants, within), k)
 
 
 def similarity_search(questions: DataFrame, index: Index, k: int = 10, max_terms: int = 25, share: float = 0.3,
@@ -353,7 +357,7 @@ def with_domain_weights(questions: DataFrame, domain: str = "domain",
 
 
 def prefilter(sections: DataFrame, filters: Mapping[str, Sequence]) -> DataFrame:
-    """metadata filter before scoring; reaches the scan."""
+    """metadata filter, pushed to the scan; pass the result as ``within`` to a search."""
     for column, values in filters.items():
         sections = sections.filter(F.col(column).isin(*values))
     return sections

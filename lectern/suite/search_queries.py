@@ -1 +1,367 @@
-"""Queries."""
+"""Search over line sections with benchmark passages as questions.
+
+Vectors are linked to sections, stored questions and passages by id modulo the number of vectors;
+that link is synthetic, the arithmetic is not.
+"""
+from pyspark.sql import functions as F
+
+from lectern.functions import fixed
+from lectern.functions import text as T
+from lectern.operators import questions as Q
+from lectern.plans import search as S
+from lectern.suite import inputs, query, sql, table
+from lectern.suite import text_queries as TQ
+
+FIELDS = ("section_title", "document_title", "body")
+
+
+def sections(spark, sf):
+    """Line sections with whole-line keywords and a summary."""
+    return inputs.lines(spark, sf).withColumn("keywords", F.array("source", "body"))
+
+
+def index(spark, sf):
+    return S.build_index(sections(spark, sf), FIELDS)
+
+
+def _analyzed(x):
+    return (f"list_filter(regexp_extract_all(replace(lower({x}), 'ß', 'ss'), '[\\pL\\pN]+'), "
+            f"lambda t: NOT list_contains({sql.arr(S.ENGLISH_STOP)}, t))")
+
+
+_TOKS = " UNION ALL ".join(f"SELECT {sql.q(f)} AS field, section_id, doc_id, {_analyzed(f)} AS ts FROM lines" for f in FIELDS)
+INDEX = f"""{inputs.LINES}, tok AS MATERIALIZED (SELECT * FROM ({_TOKS}) WHERE len(ts) > 0),
+fstats AS MATERIALIZED (SELECT field, count(*) AS n_docs, avg(len(ts)) AS avg_len FROM tok GROUP BY 1 UNION ALL SELECT 'keywords', count(*), 1.0 FROM lines),
+tf AS MATERIALIZED (SELECT field, section_id, doc_id, n, t AS term, count(*) AS tf FROM (SELECT field, section_id, doc_id, len(ts) AS n, unnest(ts) AS t FROM tok) GROUP BY ALL),
+postings AS MATERIALIZED (SELECT field, term, section_id, doc_id, tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (n / avg_len))) AS impact FROM tf JOIN fstats USING (field)
+  UNION ALL SELECT 'keywords', t, section_id, doc_id, (1 / 2.2::DOUBLE) FROM (SELECT DISTINCT section_id, doc_id, unnest([{sql.norm('source')}, {sql.norm('body')}]) AS t FROM lines)),
+terms AS MATERIALIZED (SELECT field, term, df, ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, n_docs
+  FROM (SELECT field, term, count(*) AS df FROM postings GROUP BY 1, 2) JOIN fstats USING (field)),
+bench AS (SELECT item_id AS query_id, text AS question, (item_id % 150)::VARCHAR AS user_id FROM benchmark),
+qtf AS MATERIALIZED (SELECT query_id, t AS term, count(*) AS qtf FROM (SELECT query_id, unnest({_analyzed('question')}) AS t FROM bench) GROUP BY 1, 2)"""
+_BOOST = "CASE field " + " ".join(f"WHEN {sql.q(f)} THEN {b}::DOUBLE" for f, b in fixed.FIELD_BOOSTS.items()) + " END"
+KEYWORD = f"""{INDEX}, kq AS (SELECT query_id, term, field, 1.0::DOUBLE AS qw FROM qtf, (SELECT unnest({sql.arr(FIELDS)}) AS field)
+  UNION ALL SELECT query_id, {sql.norm('question')}, 'keywords', 1.0 FROM bench),
+kpf AS (SELECT query_id, section_id, doc_id, field, sum(idf * {_BOOST} * impact) AS s FROM kq JOIN terms USING (field, term) JOIN postings USING (field, term) GROUP BY ALL),
+kpairs AS MATERIALIZED (SELECT query_id, section_id, doc_id, round(max(s), 9) AS score FROM kpf GROUP BY ALL),
+khits AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM kpairs)"""
+_BODY = f"""{INDEX}, bpairs AS MATERIALIZED (SELECT query_id, section_id, doc_id, round(sum(idf * impact), 9) AS score FROM qtf JOIN terms USING (term) JOIN postings USING (field, term)
+  WHERE field = 'body' GROUP BY ALL)"""
+SIMILAR = f"""srated AS (SELECT query_id, term, qtf, arg_max(field, (df, field)) AS field FROM qtf JOIN terms USING (term) WHERE field IN ('body', 'section_title') GROUP BY ALL),
+stf AS (SELECT r.query_id, r.term, r.field, t.idf, round(qtf * (ln((n_docs + 1) / (df + 1)) + 1), 9) AS tfidf FROM srated r JOIN terms t ON t.field = r.field AND t.term = r.term),
+schosen AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tfidf DESC, term) AS r FROM stf QUALIFY r <= 25),
+sbest AS (SELECT query_id, max(tfidf) AS best, floor(count(*) * 0.3::DOUBLE) AS need FROM schosen GROUP BY 1),
+spairs AS (SELECT query_id, section_id, doc_id, round(sum(idf * (tfidf / best) * impact), 9) AS score, count(*) AS m, any_value(need) AS need
+  FROM schosen JOIN sbest USING (query_id) JOIN postings USING (field, term) GROUP BY ALL),
+shits AS MATERIALIZED (SELECT query_id, section_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM spairs WHERE m >= need)"""
+_UNIT = ("SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / nullif(sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))), 0)) AS v FROM embeddings")
+VECTOR = f"""unit AS MATERIALIZED ({_UNIT}), nvec AS (SELECT count(*) AS nv FROM embeddings),
+vdots AS MATERIALIZED (SELECT b.query_id, u.vec_id, round(list_sum(list_transform(list_zip(q.v, u.v), lambda z: z[1] * z[2])), 9) AS score
+  FROM bench b JOIN unit q ON q.vec_id = b.query_id JOIN unit u ON true),
+vpairs AS MATERIALIZED (SELECT query_id, section_id, doc_id, score FROM lines, nvec JOIN vdots ON vdots.vec_id = (doc_id + order_index) % nv),
+vhits AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM vpairs)"""
+
+
+def questions(spark, sf):
+    return inputs.benchmark_questions(spark, sf)
+
+
+def vectors(spark, sf):
+    """Unit table of vectors, with their number."""
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", F.col("embedding").alias("vector")), e.count()
+
+
+def with_vectors(spark, sf, df, key):
+    v, n = vectors(spark, sf)
+    return df.withColumn("vec_id", key % n).join(v, "vec_id", "left").drop("vec_id")
+
+
+def vector_questions(spark, sf):
+    return with_vectors(spark, sf, questions(spark, sf), F.col("query_id"))
+
+
+def vector_sections(spark, sf):
+    return with_vectors(spark, sf, inputs.lines(spark, sf).select("section_id", "doc_id", "order_index"),
+                        F.col("doc_id") + F.col("order_index")).select("section_id", "doc_id", "vector")
+
+
+@query("search_index_terms", f"WITH {INDEX} SELECT field, term, df, round(idf, 6) AS idf FROM terms WHERE df > 1")
+def search_index_terms(spark, sf):
+    """terms of the index that occur more than once."""
+    return index(spark, sf).terms.filter("df > 1").select("field", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("search_postings", f"""
+WITH {INDEX} SELECT field, doc_id, count(*) AS n, round(sum(impact), 5) AS impact FROM postings GROUP BY 1, 2""")
+def search_postings(spark, sf):
+    """weight of each document in each field of the postings."""
+    return index(spark, sf).postings.groupBy("field", "doc_id").agg(F.count("*").alias("n"), F.round(F.sum("impact"), 5).alias("impact"))
+
+
+@query("search_keyword", f"WITH {KEYWORD} SELECT query_id, section_id, doc_id, round(score, 6) AS score, rank FROM khits WHERE rank <= 10")
+def search_keyword(spark, sf):
+    """first ten sections per passage, best field wins."""
+    return S.keyword_search(questions(spark, sf), index(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+@query("search_visible_documents", f"""
+WITH {_BODY}, {inputs.GRANTS}, boss AS (SELECT DISTINCT user_id FROM grants WHERE doc_id = '*'),
+docs AS (SELECT query_id, b.doc_id, max(b.score) AS score, any_value(user_id) AS user_id FROM bpairs b JOIN bench USING (query_id) GROUP BY 1, 2),
+v AS (SELECT d.* FROM docs d WHERE user_id IN (SELECT user_id FROM boss) OR EXISTS (SELECT 1 FROM grants g WHERE g.user_id = d.user_id AND g.doc_id = d.doc_id::VARCHAR)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM v)
+SELECT query_id, user_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 3""")
+def search_visible_documents(spark, sf):
+    """Three best documents per passage, by text relevance, that the asking user may see."""
+    ix = S.build_index(inputs.lines(spark, sf), ("body",))
+    qs = questions(spark, sf)
+    terms = S.query_terms(qs)
+    wanted = ix.terms.join(F.broadcast(terms), "term").select("query_id", "field", "term", F.col("idf").alias("w"))
+    pairs = S.term_join(ix.postings, wanted, ["field", "term"], "section_id").groupBy("query_id", "section_id", "doc_id").agg(
+        F.round(F.sum(F.col("w") * F.col("impact")), 9).alias("score"))
+    docs = pairs.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).join(F.broadcast(qs.select("query_id", "user_id")), "query_id")
+    return S.top_k(S.visible(docs, inputs.grants(spark, sf)), 3, tie="doc_id").select(
+        "query_id", "user_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query("search_keyword_filtered", f"""
+WITH {KEYWORD}, f AS (SELECT k.* FROM kpairs k JOIN lines USING (section_id) WHERE lang IN ('en', 'de')),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM f)
+SELECT query_id, section_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def search_keyword_filtered(spark, sf):
+    """only English and German sections."""
+    within = S.prefilter(inputs.lines(spark, sf), {"lang": ("en", "de")})
+    return S.keyword_search(questions(spark, sf), index(spark, sf), 5, within=within).select(
+        "query_id", "section_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("search_keyword_salted", f"WITH {KEYWORD} SELECT query_id, section_id, rank FROM khits WHERE rank <= 10")
+def search_keyword_salted(spark, sf):
+    """F3 as for a question table too large to broadcast: hot terms are spread over salts."""
+    hits = S.keyword_search(questions(spark, sf), index(spark, sf), 10, max_broadcast=0, hot_rows=500)
+    return hits.select("query_id", "section_id", "rank")
+
+
+@query("search_fuzzy_terms", f"""
+WITH {INDEX}, v AS (SELECT DISTINCT term AS match FROM terms WHERE field = 'document_title'), t AS (SELECT DISTINCT term FROM qtf),
+j AS (SELECT term, match, levenshtein(term, match) AS distance, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS n FROM t, v
+  WHERE abs(length(term) - length(match)) <= 2)
+SELECT term, match, distance::INT AS distance, round(1 - distance / least(length(term), length(match)), 6) AS weight FROM j WHERE distance <= n""")
+def search_fuzzy_terms(spark, sf):
+    """passage words near words of document titles (DuckDB counts edits in bytes; ASCII words agree)."""
+    ix = S.build_index(inputs.lines(spark, sf), ("document_title",))
+    return S.fuzzy_terms(S.query_terms(questions(spark, sf)), ix.terms).select(
+        "term", "match", "distance", F.round("weight", 6).alias("weight"))
+
+
+@query("search_similar", f"WITH {INDEX}, {SIMILAR} SELECT query_id, section_id, doc_id, round(score, 6) AS score, rank FROM shits WHERE rank <= 10")
+def search_similar(spark, sf):
+    """more like the passage."""
+    return S.similarity_search(questions(spark, sf), index(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+_VEC_ONLY = f"{inputs.LINES}, bench AS (SELECT item_id AS query_id, text AS question, (item_id % 150)::VARCHAR AS user_id FROM benchmark), {VECTOR}"
+
+
+@query("search_vector", f"WITH {_VEC_ONLY} SELECT query_id, section_id, doc_id, round(score, 6) AS score, rank FROM vhits WHERE rank <= 10")
+def search_vector(spark, sf):
+    """Exact nearest sections."""
+    return S.vector_search(vector_questions(spark, sf), vector_sections(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+@query("search_vector_blocked", f"WITH {_VEC_ONLY} SELECT query_id, section_id, rank FROM vhits WHERE rank <= 7")
+def search_vector_blocked(spark, sf):
+    """F7 as for a question table too large to broadcast: block by block."""
+    return S.vector_search(vector_questions(spark, sf), vector_sections(spark, sf), 7, max_query_values=0, block_rows=2000,
+                           block_queries=16).select("query_id", "section_id", "rank")
+
+
+@query("search_vector_visible", f"""
+WITH {_VEC_ONLY}, {inputs.GRANTS}, boss AS (SELECT DISTINCT user_id FROM grants WHERE doc_id = '*'),
+f AS (SELECT p.*, user_id FROM vpairs p JOIN bench USING (query_id) WHERE user_id IN (SELECT user_id FROM boss)
+  UNION ALL SELECT p.*, user_id FROM vpairs p JOIN bench b USING (query_id) JOIN grants g USING (user_id) WHERE g.doc_id = p.doc_id::VARCHAR AND user_id NOT IN (SELECT user_id FROM boss)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM f)
+SELECT query_id, section_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def search_vector_visible(spark, sf):
+    """Nearest sections among those each user may see."""
+    return S.vector_search(vector_questions(spark, sf), vector_sections(spark, sf), 5, inputs.grants(spark, sf)).select(
+        "query_id", "section_id", "rank", F.round("score", 6).alias("score"))
+
+
+def _norm_cte(name, hits, k):
+    return (f"{name} AS (SELECT query_id, section_id, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE "
+            f"max(score) OVER w - min(score) OVER w END AS norm FROM {hits} WHERE rank <= {k} WINDOW w AS (PARTITION BY query_id))")
+
+
+@query("search_normalized", f"WITH {KEYWORD}, {_norm_cte('nk', 'khits', 12)} SELECT query_id, section_id, round(norm, 6) AS norm FROM nk")
+def search_normalized(spark, sf):
+    """F9."""
+    return S.minmax(S.keyword_search(questions(spark, sf), index(spark, sf), 12)).select("query_id", "section_id", F.round("norm", 6).alias("norm"))
+
+
+HYBRID = f"""{KEYWORD}, {SIMILAR}, {VECTOR}, {_norm_cte('nk', 'khits', 24)}, {_norm_cte('ns', 'shits', 24)}, {_norm_cte('nv2', 'vhits', 24)},
+hall AS (SELECT *, 'keyword' AS ch, 0.5::DOUBLE AS w FROM nk UNION ALL SELECT *, 'similarity', 0.15::DOUBLE FROM ns UNION ALL SELECT *, 'vector', 0.35::DOUBLE FROM nv2),
+hsum AS (SELECT query_id, section_id, doc_id, round(sum(w * norm), 9) AS score, sum(CASE WHEN ch = 'keyword' THEN norm ELSE 0 END) AS keyword_score,
+  sum(CASE WHEN ch = 'similarity' THEN norm ELSE 0 END) AS similarity_score, sum(CASE WHEN ch = 'vector' THEN norm ELSE 0 END) AS vector_score,
+  string_agg(ch, '|' ORDER BY ch) AS matched_by FROM hall GROUP BY ALL),
+hybrid AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM hsum QUALIFY rank <= 12)"""
+
+
+def hybrid(spark, sf, k=12):
+    return S.hybrid_search(vector_questions(spark, sf), index(spark, sf), vector_sections(spark, sf), k, "policy")
+
+
+@query("search_hybrid", f"""
+WITH {HYBRID} SELECT query_id, section_id, rank, round(score, 6) AS score, round(keyword_score, 6) AS keyword_score, round(similarity_score, 6) AS similarity_score,
+  round(vector_score, 6) AS vector_score, matched_by FROM hybrid""")
+def search_hybrid(spark, sf):
+    """Three channels blended with the weights of one domain."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return hybrid(spark, sf).select("query_id", "section_id", "rank", r("score"), r("keyword_score"), r("similarity_score"),
+                                    r("vector_score"), F.array_join("matched_by", "|").alias("matched_by"))
+
+
+@query("search_domain_weights", """
+SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 0.5 WHEN 1 THEN 0.5 WHEN 2 THEN 0.6 ELSE 0.3 END::DOUBLE AS keyword_weight,
+  CASE turn % 4 WHEN 0 THEN 0.15 WHEN 1 THEN 0.25 WHEN 2 THEN 0.1 ELSE 0.2 END::DOUBLE AS similarity_weight,
+  CASE turn % 4 WHEN 0 THEN 0.35 WHEN 1 THEN 0.25 WHEN 2 THEN 0.3 ELSE 0.5 END::DOUBLE AS vector_weight FROM conversations""")
+def search_domain_weights(spark, sf):
+    """F13."""
+    names = F.array(F.lit("policy"), F.lit("contest"), F.lit("product_technical"), F.lit("other"))
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.element_at(names, (F.col("turn") % 4 + 1).cast("int")).alias("domain"))
+    return S.with_domain_weights(c).drop("domain")
+
+
+@query("search_resolved", f"""
+WITH {KEYWORD}, h AS (SELECT query_id, CASE WHEN rank = 2 THEN section_id || '?' ELSE section_id END AS section_id, rank FROM khits WHERE rank <= 3)
+SELECT query_id, rank, coalesce(section_title, '') AS section_title, md5(coalesce(body, '')) AS body FROM h LEFT JOIN lines USING (section_id)""")
+def search_resolved(spark, sf):
+    """second hits point to sections that are gone."""
+    hits = S.keyword_search(questions(spark, sf), index(spark, sf), 3)
+    hits = hits.withColumn("section_id", F.when(F.col("rank") == 2, F.concat("section_id", F.lit("?"))).otherwise(F.col("section_id")))
+    return S.resolve(hits, inputs.lines(spark, sf)).select("query_id", "rank", "section_title", F.md5("body").alias("body"))
+
+
+@query("search_documents", f"""
+WITH {KEYWORD}, b AS (SELECT query_id, doc_id, arg_min(section_id, rank) AS section_id, min(rank) AS r, max(score) AS score FROM khits WHERE rank <= 80 GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM b)
+SELECT query_id, position, p.doc_id, section_id, document_title, section_title, round(score, 4) AS score,
+  rtrim(substr(body, 1, 240)) || CASE WHEN length(body) > 240 THEN '…' ELSE '' END AS snippet, total FROM p JOIN lines USING (section_id) WHERE position > 10 AND position <= 20""")
+def search_documents(spark, sf):
+    """second page of the document search."""
+    s = sections(spark, sf)
+    return S.search_documents(questions(spark, sf), S.build_index(s, FIELDS), s, page=2, size=10)
+
+
+# --- stored questions ---------------------------------------------------------------------
+_FAQ = f"""{TQ.PAIRS}, bench AS (SELECT item_id AS query_id, text AS question FROM benchmark), unit AS MATERIALIZED ({_UNIT}), nvec AS (SELECT count(*) AS nv FROM embeddings),
+faqs AS MATERIALIZED (SELECT conv_id || '_faq_' || n AS faq_id, conv_id AS doc_id, 'Conversation ' || conv_id AS document_title, question, answer, (conv_id + 3 * n) % nv AS vec_id FROM faq_pairs, nvec),
+fdots AS MATERIALIZED (SELECT b.query_id, u.vec_id, round(list_sum(list_transform(list_zip(q.v, u.v), lambda z: z[1] * z[2])), 9) AS score FROM bench b JOIN unit q ON q.vec_id = b.query_id JOIN unit u ON true),
+fhits AS MATERIALIZED (SELECT query_id, faq_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, faq_id) AS rank FROM faqs JOIN fdots USING (vec_id))"""
+
+
+def faqs(spark, sf):
+    pairs = TQ.faq_texts(spark, sf).select("conv_id", F.posexplode(T.parse_faq(F.col("faq"))).alias("n", "p")).select(
+        F.concat("conv_id", F.lit("_faq_"), "n").alias("faq_id"), F.col("conv_id").alias("doc_id"),
+        F.concat(F.lit("Conversation "), "conv_id").alias("document_title"), "p.question", "p.answer", "n")
+    return with_vectors(spark, sf, pairs, F.col("doc_id") + 3 * F.col("n")).withColumnRenamed("vector", "question_embedding")
+
+
+@query("search_faq_fastpath", f"WITH {_FAQ} SELECT query_id, faq_id, round(score, 6) AS score, md5(answer) AS answer FROM fhits JOIN faqs USING (faq_id) WHERE rank = 1 AND score >= 0.92")
+def search_faq_fastpath(spark, sf):
+    """F19."""
+    return S.faq_fastpath(vector_questions(spark, sf), faqs(spark, sf)).select("query_id", "faq_id", F.round("score", 6).alias("score"), F.md5("answer").alias("answer"))
+
+
+@query("search_faq", f"WITH {_FAQ} SELECT query_id, faq_id, rank, round(score, 6) AS score FROM fhits WHERE rank <= 30")
+def search_faq(spark, sf):
+    """F20."""
+    return S.faq_search(vector_questions(spark, sf), faqs(spark, sf), 30).select("query_id", "faq_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("search_related_questions", f"""
+WITH {_FAQ}, n AS (SELECT h.query_id, f.question AS related, h.rank, lower(trim(f.question)) AS k FROM fhits h JOIN faqs f USING (faq_id) JOIN bench b USING (query_id)
+  WHERE h.rank <= 8 AND h.score >= 0.2 AND lower(trim(f.question)) <> lower(trim(b.question))),
+o AS (SELECT query_id, k, arg_min(related, rank) AS related, min(rank) AS rank FROM n GROUP BY 1, 2)
+SELECT query_id, related, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM o QUALIFY position <= 3""")
+def search_related_questions(spark, sf):
+    """F21 with a low threshold, as the vectors are random."""
+    f, q = faqs(spark, sf), vector_questions(spark, sf)
+    return S.related_questions(S.faq_search(q, f, 8), f, q, min_score=0.2).select("query_id", "related", "position")
+
+
+@query("search_faq_evidence", f"""
+WITH {_FAQ} SELECT query_id, document_title, min(rank) AS first_rank, md5(string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) ORDER BY rank)) AS evidence
+FROM fhits JOIN faqs USING (faq_id) WHERE rank <= 30 GROUP BY 1, 2""")
+def search_faq_evidence(spark, sf):
+    """F22."""
+    f = faqs(spark, sf)
+    return S.faq_evidence(S.faq_search(vector_questions(spark, sf), f, 30), f).withColumn("evidence", F.md5("evidence"))
+
+
+@query("search_faq_fallback", f"""
+WITH {inputs.TITLED} SELECT doc_id, '[' || title || ' FAQ]' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN lang || ' faq' ELSE {sql.truncate('text', 260)} END AS evidence FROM titled""")
+def search_faq_fallback(spark, sf):
+    """F22 without vectors: question text of even documents, else the summary."""
+    d = inputs.first_line_documents(spark, sf)
+    faq = F.when(F.col("doc_id") % 2 == 0, F.concat("lang", F.lit(" faq "))).otherwise(F.lit(" "))
+    return d.select("doc_id", S.faq_fallback(F.col("title"), faq, F.col("text")).alias("evidence"))
+
+
+# --- fallbacks ----------------------------------------------------------------------------
+def _words(x):
+    return f"regexp_extract_all(lower({x}), '[a-z0-9]+')"
+
+
+FALLBACK = f"""{inputs.LINES}, bench AS (SELECT item_id AS query_id, {sql.kept('text')} AS k FROM benchmark),
+bft AS (SELECT query_id, {sql.uniq("list_concat(list_filter(k, lambda t: " + sql.informative('t') + "), list_transform(list_filter(range(1, len(k)), lambda i: " + sql.informative('k[i]') + " AND (" + sql.informative('k[i + 1]') + " OR " + sql.digits('k[i + 1]') + ")), lambda i: k[i] || '_' || k[i + 1]))[1:20]")} AS focus FROM bench),
+bt AS (SELECT query_id, unnest(focus) AS term, len(focus) AS nt FROM bft),
+sig AS (SELECT section_id, doc_id, unnest(list_distinct(list_concat({_words('document_title')}, {_words('section_title')}))) AS term FROM lines),
+fpairs AS (SELECT query_id, section_id, doc_id, count(*) / any_value(nt) AS score FROM bt JOIN sig USING (term) GROUP BY 1, 2, 3),
+fb AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM fpairs QUALIFY rank <= 12)"""
+
+
+def _fallback(spark, sf):
+    a = questions(spark, sf).select("query_id", Q.focus_terms(F.col("question")).alias("focus_terms")).withColumn("expanded_terms", F.col("focus_terms"))
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
+    none = F.array().cast("array<string>")
+    s = inputs.lines(spark, sf).select("section_id", "doc_id", "section_title", words("document_title").alias("title_terms"),
+                                       none.alias("keywords"), none.alias("metadata_tags"))
+    return S.title_fallback(a, S.section_signals(s))
+
+
+@query("search_title_fallback", f"WITH {FALLBACK} SELECT query_id, section_id, rank, round(score, 6) AS score FROM fb")
+def search_title_fallback(spark, sf):
+    """F23."""
+    return _fallback(spark, sf).select("query_id", "section_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("search_section_hints", f"""
+WITH {FALLBACK}, h AS (SELECT query_id, rank, section_title, document_title, min(rank) OVER (PARTITION BY query_id, document_title) AS f FROM fb JOIN lines USING (section_id) WHERE rank <= 5 AND score >= 0.1)
+SELECT query_id, rank, '**' || section_title || '**' || CASE WHEN rank = f AND document_title <> '' THEN ' (in ' || document_title || ')' ELSE '' END AS hint FROM h""")
+def search_section_hints(spark, sf):
+    """F24."""
+    return S.section_hints(_fallback(spark, sf), inputs.lines(spark, sf))
+
+
+@query("search_injected_documents", f"""
+WITH {KEYWORD}, l AS (SELECT query_id, doc_id FROM khits WHERE rank = 1 AND query_id % 2 = 0)
+SELECT query_id, section_id, 1.0::DOUBLE AS score, order_index + 1 AS rank FROM l JOIN lines USING (doc_id)
+UNION ALL SELECT query_id, section_id, round(score, 6), rank FROM khits WHERE rank <= 4 AND query_id NOT IN (SELECT query_id FROM l)""")
+def search_injected_documents(spark, sf):
+    """even passages name the document of their first hit."""
+    hits = S.keyword_search(questions(spark, sf), index(spark, sf), 4)
+    named = hits.filter("rank = 1").select("query_id", "doc_id", F.when(F.col("query_id") % 2 == 0, 0.9).otherwise(0.1).alias("lookup_score"))
+    return S.inject_document(hits, named, inputs.lines(spark, sf)).select("query_id", "section_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("search_merged_subquestions", f"""
+WITH {KEYWORD}, h AS (SELECT query_id // 2 AS parent_id, query_id % 2 AS sub, rank, section_id, doc_id FROM khits WHERE rank <= 5),
+s AS (SELECT parent_id, section_id, doc_id, min(sub * 100 + rank) AS o FROM h GROUP BY 1, 2, 3)
+SELECT parent_id, 'doc/' || doc_id AS path_key, arg_min(section_id, o) AS section_id FROM s GROUP BY 1, doc_id""")
+def search_merged_subquestions(spark, sf):
+    """neighbouring passages as parts of one question."""
+    q = questions(spark, sf)
+    hits = S.keyword_search(q, index(spark, sf), 5).withColumn("path_key", F.concat(F.lit("doc/"), "doc_id"))
+    parents = q.select("query_id", F.floor(F.col("query_id") / 2).alias("parent_id"), (F.col("query_id") % 2).alias("sub"))
+    return S.merge_subquestions(hits, parents).select("parent_id", "path_key", "section_id")
