@@ -1 +1,392 @@
-"""Queries."""
+"""Reranking, evidence and decisions over whole documents as sections."""
+from pyspark.sql import functions as F
+
+from lectern.functions.lexicon import first_label, labels
+from lectern.functions import text as T
+from lectern.operators import decisions as D, evidence as E, questions as Q, rerank as R
+from lectern.plans import search as S
+from lectern.suite import inputs, query, sql, table
+from lectern.suite import search_queries as SQ
+from lectern.suite.section_queries import sentences
+
+EXPECTED = ("motion", "being")
+
+
+def _sections(spark, sf):
+    d = table(spark, sf, "documents")
+    first = F.element_at(F.split("text", "\n"), 1)
+    return d.select(F.concat("doc_id", F.lit("#0")).alias("section_id"), "doc_id", F.lit(0).alias("order_index"), "lang", "source",
+                    first.alias("section_title"), first.alias("document_title"), F.col("text").alias("body"))
+
+
+def hits(spark, sf):
+    """First 12 documents per passage, scores scaled to 0..1."""
+    s = _sections(spark, sf)
+    h = S.keyword_search(inputs.benchmark_questions(spark, sf), S.build_index(s, ("body",)), 12, {"body": 1.0})
+    return S.minmax(h).withColumn("score", F.round("norm", 6)).drop("norm")
+
+
+def analyzed(spark, sf):
+    q = inputs.benchmark_questions(spark, sf)
+    k = F.col("query_id") % 4
+    return q.select(
+        "query_id", "question", Q.focus_terms(F.col("question")).alias("focus_terms"), labels(F.col("question"), inputs.LEXICON).alias("topic_hints"),
+        F.lit(k == 0).alias("exact_match_expected"), F.lit(k == 1).alias("multi_doc_expected"), F.lit(k == 2).alias("context_dependent"),
+        F.when(k == 3, F.array(F.lit("document_lookup"))).otherwise(F.array(F.lit("general"))).alias("intents"),
+        F.array(*[F.lit(x) for x in EXPECTED]).alias("expected_section_types")).withColumn(
+        "expanded_terms", T.uniq(F.concat("focus_terms", F.array(F.lit("the"), F.lit("of_the")))))
+
+
+def candidates(spark, sf):
+    body, title = F.col("body"), F.col("section_title")
+    s = _sections(spark, sf).select(
+        "section_id", "section_title", "document_title", "body", first_label(body, inputs.LEXICON, "general").alias("section_type"),
+        labels(body, inputs.LEXICON).alias("metadata_tags"), T.uniq(T.keywordize(title)).alias("title_terms"))
+    s = s.withColumn("keywords", F.col("title_terms")).withColumn("doc_tags", F.col("metadata_tags")).withColumn(
+        "doc_title_terms", F.col("title_terms"))
+    h = hits(spark, sf)
+    return h.join(F.broadcast(analyzed(spark, sf)), "query_id").join(s, "section_id")
+
+
+_LINES = ("lines AS MATERIALIZED (SELECT doc_id || '#0' AS section_id, doc_id, lang, source, string_split(text, chr(10))[1] AS section_title, "
+          "string_split(text, chr(10))[1] AS document_title, text AS body FROM documents)")
+_TOK = f"SELECT 'body' AS field, section_id, doc_id, {SQ._analyzed('body')} AS ts FROM lines"
+_INDEX = SQ.INDEX.replace(inputs.LINES, _LINES).replace(SQ._TOKS, _TOK)
+_INF = sql.informative
+_LAB = sql.labels
+HITS = f"""{_INDEX}, dpairs AS (SELECT query_id, section_id, doc_id, round(sum(idf * impact), 9) AS raw FROM qtf JOIN terms USING (term) JOIN postings USING (field, term)
+  WHERE field = 'body' GROUP BY ALL),
+dranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, section_id) AS rank FROM dpairs QUALIFY rank <= 12),
+hits AS MATERIALIZED (SELECT query_id, section_id, doc_id, rank, round((raw - min(raw) OVER w) / CASE WHEN max(raw) OVER w = min(raw) OVER w THEN 1 ELSE max(raw) OVER w - min(raw) OVER w END, 6) AS score
+  FROM dranked WINDOW w AS (PARTITION BY query_id))"""
+CAND = f"""{HITS}, bk AS (SELECT query_id, question, {sql.norm('question')} AS n, {sql.tokens('question')} AS toks, {sql.kept('question')} AS raw FROM bench),
+bft AS (SELECT *, list_concat(list_filter(raw, lambda t: {_INF('t')}), list_transform(list_filter(range(1, len(raw)), lambda i: {_INF('raw[i]')} AND ({_INF('raw[i + 1]')} OR {sql.digits('raw[i + 1]')})),
+  lambda i: raw[i] || '_' || raw[i + 1])) AS ft FROM bk),
+an AS MATERIALIZED (SELECT query_id, question, n AS qn, toks AS qtoks, {sql.uniq('ft[1:20]')} AS focus, {_LAB('n', 'toks', inputs.LEXICON)} AS topics, query_id % 4 = 0 AS exact, query_id % 4 = 1 AS multi,
+  query_id % 4 = 2 AS ctx, CASE WHEN query_id % 4 = 3 THEN ['document_lookup'] ELSE ['general'] END AS intents FROM bft),
+an2 AS MATERIALIZED (SELECT *, {sql.uniq("list_concat(focus, ['the', 'of_the'])")} AS expanded FROM an),
+sn AS (SELECT l.*, {sql.norm('body')} AS n, list_distinct({sql.tokens('body')}) AS toks, {sql.kept('section_title')} AS tk FROM lines l),
+st AS MATERIALIZED (SELECT *, {_LAB('n', 'toks', inputs.LEXICON)} AS tags, {sql.uniq(sql.with_pairs('tk'))} AS title_terms FROM sn),
+cand0 AS MATERIALIZED (SELECT h.*, a.* EXCLUDE (query_id), s.section_title, s.body, s.n AS body_n, s.tags, s.title_terms, coalesce(s.tags[1], 'general') AS section_type
+  FROM hits h JOIN an2 a USING (query_id) JOIN st s USING (section_id))"""
+
+
+def _overlap(query_terms, cand):
+    return f"(CASE WHEN len({query_terms}) = 0 THEN 0 ELSE len(list_intersect({query_terms}, {cand})) / len({query_terms})::DOUBLE END)"
+
+
+def _score(terms, n, weigh, cap):
+    body = f"list_transform({terms}, lambda t: CASE WHEN contains({n}, replace(t, '_', ' ')) THEN {weigh} ELSE 0 END)"
+    return f"least({cap}::DOUBLE, coalesce(list_sum({body}), 0)::DOUBLE)"
+
+
+_FW = "CASE WHEN contains(t, '_') THEN 1.0 ELSE 0.45 END::DOUBLE"
+_PW = (f"CASE WHEN contains(t, '_') OR len(list_filter(string_split(t, '_'), lambda p: {sql.digits('p')})) > 0 THEN 1.0 WHEN length(t) >= 3 THEN 0.5 ELSE 0 END::DOUBLE")
+# topics and tags come from one lexicon of single words here: equal labels score 1, others share no token
+_ALIGN = "(CASE WHEN list_has_any(topics, tags) THEN 1.0 ELSE 0.0 END::DOUBLE)"
+
+
+def _blocks(limit):
+    """CTEs that end in ``cand`` with the evidence blocks of every candidate."""
+    chars = "CASE WHEN multi THEN 1200 WHEN exact THEN 1600 ELSE 1200 END"
+    unit_n = sql.norm("u")
+    uscore = (f"list_sum(list_concat([0::DOUBLE], list_transform(focus, lambda t: CASE WHEN contains(n, replace(t, '_', ' ')) THEN CASE WHEN contains(t, '_') THEN 2.0 ELSE 0.8 END ELSE 0 END::DOUBLE), "
+              f"list_transform(others, lambda t: CASE WHEN contains(n, replace(t, '_', ' ')) THEN CASE WHEN contains(t, '_') THEN 1.2 ELSE 0.35 END ELSE 0 END::DOUBLE)))")
+    span = "{'a': greatest(1, p - 1), 'b': least(nu, p + 1)}"
+    return f"""u0 AS (SELECT query_id, section_id, focus, list_filter(expanded, lambda t: NOT list_contains(focus, t)) AS others, {chars} AS chars, {limit} AS most,
+  CASE WHEN list_contains({sql.arr(EXPECTED)}, section_type) THEN 0.35 ELSE 0 END::DOUBLE + 0.45::DOUBLE * {_ALIGN} AS bonus, {sql.strip('body')} AS t FROM cand0),
+u1 AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls, {sentences('t')} AS ss FROM u0),
+u2 AS (SELECT *, CASE WHEN len(ls) >= 2 AND (len(list_filter(ls, lambda x: length(x) > 180)) = 0 OR len(list_filter(ls, lambda x: regexp_matches(x, '^[-*•]|^\\d+[\\.\\)]\\s+'))) > 0) THEN ls
+  WHEN len(ss) > 1 THEN ss WHEN len(ls) > 1 THEN ls ELSE [t] END AS units FROM u1),
+u3 AS (SELECT query_id, section_id, focus, others, bonus, unnest(units) AS u, unnest(range(1, len(units) + 1)) AS p FROM u2),
+u4 AS (SELECT query_id, section_id, p, focus, others, bonus, {unit_n} AS n FROM u3),
+u5 AS MATERIALIZED (SELECT query_id, section_id, p, round({uscore} + 0.9::DOUBLE * {_score('focus', 'n', _PW, 3)} + bonus, 9) AS s FROM u4),
+u6 AS (SELECT query_id, section_id, list(p ORDER BY s DESC, p) AS ps FROM u5 WHERE s > 0 GROUP BY 1, 2),
+u7 AS (SELECT u2.*, coalesce(ps, []::BIGINT[]) AS ps, len(units) AS nu FROM u2 LEFT JOIN u6 USING (query_id, section_id)),
+u8 AS (SELECT *, list_reduce(ps, lambda acc, p: CASE WHEN len(acc) >= most OR len(list_filter(acc, lambda o: least(nu, p + 1) >= o.a AND greatest(1, p - 1) <= o.b)) > 0 THEN acc
+  ELSE list_append(acc, {span}) END, []::STRUCT(a BIGINT, b BIGINT)[]) AS spans FROM u7),
+u9 AS (SELECT *, list_reduce(list_sort(spans), lambda acc, x: CASE WHEN len(acc) > 0 AND x.a <= acc[-1].b + 1 THEN list_append(acc[1:len(acc) - 1], {{'a': acc[-1].a, 'b': greatest(acc[-1].b, x.b)}})
+  ELSE list_append(acc, x) END, []::STRUCT(a BIGINT, b BIGINT)[]) AS merged FROM u8),
+ub AS (SELECT query_id, section_id, CASE WHEN length(t) <= least(1500, chars) THEN [t] WHEN len(merged) = 0 THEN [CASE WHEN length({sql.collapse('t')}) <= chars THEN {sql.collapse('t')} ELSE rtrim(substr({sql.collapse('t')}, 1, chars - 3)) || '...' END]
+  ELSE list_transform(merged, lambda m: list_transform([{sql.collapse("array_to_string(units[m.a:m.b], ' ')")}], lambda c: CASE WHEN length(c) <= chars THEN c ELSE rtrim(substr(c, 1, chars - 3)) || '...' END)[1]) END AS blocks FROM u9),
+cand AS MATERIALIZED (SELECT c.*, blocks FROM cand0 c JOIN ub USING (query_id, section_id))"""
+
+
+_TWO = _blocks("2")
+_FULL = _blocks("2")     # the default preset takes two blocks for either class
+
+
+@query("rank_evidence_units", f"""
+WITH d AS (SELECT doc_id, {sql.strip('text')} AS t FROM documents), u1 AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS ls, {sentences('t')} AS ss FROM d)
+SELECT doc_id, len(u) AS n_units, md5(array_to_string(u, '|')) AS units FROM (SELECT doc_id, CASE WHEN len(ls) >= 2 AND (len(list_filter(ls, lambda x: length(x) > 180)) = 0
+  OR len(list_filter(ls, lambda x: regexp_matches(x, '^[-*•]|^\\d+[\\.\\)]\\s+'))) > 0) THEN ls WHEN len(ss) > 1 THEN ss WHEN len(ls) > 1 THEN ls ELSE [t] END AS u FROM u1)""")
+def rank_evidence_units(spark, sf):
+    """G13."""
+    u = F.col("u")
+    return table(spark, sf, "documents").select("doc_id", E.evidence_units(F.col("text")).alias("u")).select(
+        "doc_id", F.size(u).alias("n_units"), F.md5(F.array_join(u, "|")).alias("units"))
+
+
+@query("rank_evidence_blocks", f"""
+WITH {CAND}, {_FULL} SELECT query_id, section_id, len(blocks) AS n_blocks, md5(array_to_string(blocks, '|')) AS blocks,
+  md5(array_to_string(list_transform(blocks[1:3], lambda b: {sql.truncate('b', 320)}), '|')) AS snippets FROM cand""")
+def rank_evidence_blocks(spark, sf):
+    """G14-G17."""
+    b = F.col("b")
+    return candidates(spark, sf).withColumn("b", E.evidence_blocks()).select(
+        "query_id", "section_id", F.size(b).alias("n_blocks"), F.md5(F.array_join(b, "|")).alias("blocks"), F.md5(F.array_join(
+            E.snippets(b), "|")).alias("snippets"))
+
+
+_KW = lambda x: f"list_transform([{sql.kept(x)}], lambda k: {sql.with_pairs('k')})[1]"
+RERANKED = f"""{CAND}, {_TWO}, snip AS (SELECT *, array_to_string(list_transform(blocks[1:2], lambda b: {sql.truncate('b', 320)}), ' ') AS snip FROM cand),
+feat AS (SELECT *, {_overlap('expanded', _KW('snip'))} AS f_snippet, CASE WHEN list_contains({sql.arr(EXPECTED)}, section_type) THEN 1.0 ELSE 0 END::DOUBLE AS f_type, {_ALIGN} AS f_tag,
+  list_transform([{sql.uniq('list_concat(focus, topics)')}], lambda q: {_overlap('q', 'title_terms')})[1] AS f_title,
+  {_score('focus', sql.norm("section_title || ' ' || snip || ' ' || body"), _FW, 2)} AS f_focus, {_score('focus', sql.norm("section_title || ' ' || snip || ' ' || body"), _PW, 3)} AS f_precise FROM snip),
+ranked AS MATERIALIZED (SELECT *, 0.72::DOUBLE * score + 0.14::DOUBLE * f_snippet + 0.08::DOUBLE * f_type + 0.04::DOUBLE * f_tag + 0.02::DOUBLE * f_title + 0.06::DOUBLE * f_focus + 0.08::DOUBLE * f_precise AS h FROM feat)"""
+
+
+@query("rank_features", f"""
+WITH {RERANKED} SELECT query_id, section_id, round(f_snippet, 6) AS snippet, f_type AS type, f_tag AS tag, round(f_title, 6) AS title, round(f_focus, 6) AS focus,
+  round(f_precise, 6) AS precise, round(h, 6) AS h_score FROM ranked""")
+def rank_features(spark, sf):
+    """G2-G8, G10 (no profile)."""
+    r = lambda c: F.round(c, 6).alias(c)
+    return R.rerank(candidates(spark, sf)).select("query_id", "section_id", r("snippet"), "type", "tag", r("title"), r("focus"), r("precise"), r("h_score"))
+
+
+@query("rank_score_details", f"""
+WITH {RERANKED} SELECT query_id, section_id, round_even(score, 4) AS base, round_even(f_snippet, 4) AS snippet, round_even(round(h, 9), 4) AS h_score FROM ranked""")
+def rank_score_details(spark, sf):
+    """G10."""
+    out = R.rerank(candidates(spark, sf)).withColumn("h_score", F.round("h_score", 9))
+    return R.score_details(out).select("query_id", "section_id", "base", "snippet", "h_score")
+
+
+@query("rank_role_alignment", f"""
+WITH {CAND}, p AS (SELECT *, lower(topics[1]) AS a, lower(section_title) AS full_title FROM cand0)
+SELECT query_id, section_id, (CASE WHEN list_contains(tags, 'linking') THEN 1 ELSE 0 END + CASE WHEN list_contains(tags, 'being') THEN 1 ELSE 0 END) / 3.0::DOUBLE AS role FROM p""")
+def rank_role_alignment(spark, sf):
+    """A profile with the tags linking, being and their whole value."""
+    p = F.struct(F.lit("Linking Being").alias("role"), F.lit("").alias("grade"), F.lit("").alias("department"), F.lit("").alias("location"))
+    return candidates(spark, sf).select("query_id", "section_id", R.role_alignment(p, F.col("metadata_tags")).alias("role"))
+
+
+@query("rank_topic_alignment", f"""
+WITH {CAND} SELECT query_id, section_id, CASE WHEN len(topics) = 0 OR len(tags) = 0 THEN 0 WHEN list_has_any(topics, tags) THEN 1.0 ELSE 0.0 END::DOUBLE AS same,
+  CASE WHEN len(topics) = 0 OR len(tags) = 0 THEN 0 WHEN list_has_any(topics, tags) THEN 0.82 ELSE 0.5 END::DOUBLE AS contained FROM cand0""")
+def rank_topic_alignment(spark, sf):
+    """Equal labels, then labels with a word added to the topic side (contained, or one of two words shared)."""
+    c = candidates(spark, sf)
+    more = F.transform("topic_hints", lambda t: F.concat(t, F.lit(" notes")))
+    tags = F.transform("metadata_tags", lambda t: F.concat(t, F.lit(" notes x")))
+    shared = E.topic_alignment(more, F.col("metadata_tags"))
+    both = E.topic_alignment(more, tags)
+    return c.select("query_id", "section_id", E.topic_alignment(F.col("topic_hints"), F.col("metadata_tags")).alias("same"), F.when(
+        shared > 0, shared).otherwise(F.when(both > 0, F.lit(0.5)).otherwise(0.0)).alias("contained"))
+
+
+FINAL = f"""{RERANKED}, blended AS (SELECT *, max(h) OVER (PARTITION BY query_id) AS hb, CASE WHEN rank % 2 = 0 THEN (rank / 12.0)::DOUBLE END AS rel FROM ranked),
+final AS MATERIALIZED (SELECT *, hb >= 0.82::DOUBLE AS skipped, round(CASE WHEN hb >= 0.82::DOUBLE THEN h ELSE 0.7::DOUBLE * h + 0.3::DOUBLE * coalesce(rel, h) END, 9) AS final FROM blended)"""
+
+
+def final(spark, sf):
+    r = R.rerank(candidates(spark, sf))
+    given = r.filter("rank % 2 = 0").select("query_id", "section_id", (F.col("rank") / 12.0).alias("relevance"))
+    return R.blend_relevance(r, given).withColumn("final_score", F.round("final_score", 9))
+
+
+@query("rank_blended_relevance", f"WITH {FINAL} SELECT query_id, section_id, skipped, round(final, 6) AS final_score FROM final")
+def rank_blended_relevance(spark, sf):
+    """Relevance supplied for every second candidate."""
+    return final(spark, sf).select("query_id", "section_id", F.col("relevance_skipped").alias("skipped"), F.round("final_score", 6).alias("final_score"))
+
+
+_LIM = "CASE WHEN multi THEN 8 WHEN exact THEN 3 WHEN list_contains(intents, 'document_lookup') THEN 8 ELSE 4 END"
+
+
+@query("rank_diversified", f"""
+WITH {FINAL}, g AS (SELECT *, doc_id % 5 AS grp FROM final), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, grp ORDER BY final DESC, section_id) = 1 OR exact AS first FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, final DESC, section_id) AS position FROM f)
+SELECT query_id, section_id, position, CASE WHEN multi THEN 24 WHEN exact THEN 10 WHEN list_contains(intents, 'document_lookup') THEN 24 ELSE 12 END AS rerank_limit FROM o WHERE position <= {_LIM}""")
+def rank_diversified(spark, sf):
+    """Documents grouped by id modulo 5, so that a group has several sections."""
+    c = R.limits(final(spark, sf)).withColumn("doc_id", F.col("doc_id") % 5)
+    return R.diversify(c).select("query_id", "section_id", "position", "rerank_limit")
+
+
+@query("rank_preferred_boost", f"""
+WITH {HITS} SELECT query_id, section_id, round(score + CASE WHEN rank IN (2, 5) THEN 0.08 ELSE 0 END::DOUBLE, 6) AS score FROM hits""")
+def rank_preferred_boost(spark, sf):
+    """G1: places 2 and 5 were active before."""
+    h = hits(spark, sf)
+    return R.boost_preferred(h, h.filter("rank in (2, 5)")).select("query_id", "section_id", F.round("score", 6).alias("score"))
+
+
+@query("rank_documents", f"""
+WITH {HITS}, d AS (SELECT query_id, doc_id % 7 AS doc_id, max(score) AS s, bool_or(rank = 3) AS p FROM hits GROUP BY 1, 2), b AS (SELECT query_id, doc_id, s + CASE WHEN p THEN 0.08 ELSE 0 END::DOUBLE AS s FROM d),
+m AS (SELECT query_id, doc_id, max(s) AS s FROM (SELECT * FROM b UNION ALL SELECT query_id, doc_id % 7, score FROM hits) GROUP BY 1, 2)
+SELECT query_id, doc_id, round(s, 6) AS doc_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS doc_rank FROM m""")
+def rank_documents(spark, sf):
+    """Document ranking from sections, merged with the sections again."""
+    h = hits(spark, sf).withColumn("doc_id", F.col("doc_id") % 7)
+    docs = R.docs_from_sections(h, h.filter("rank = 3"))
+    return R.merge_rankings(docs, h).select("query_id", "doc_id", F.round("doc_score", 6).alias("doc_score"), "doc_rank")
+
+
+@query("rank_sources", f"""
+WITH {HITS}, p AS (SELECT query_id, 'd/' || (doc_id % 9) AS path_key, arg_min(section_id, rank) AS section_id, arg_min(score, rank) AS score, min(rank) AS rank FROM hits GROUP BY 1, 2),
+b AS (SELECT *, min(rank) OVER (PARTITION BY query_id) AS fr, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS bs FROM p)
+SELECT query_id, path_key, section_id, score, rank FROM b WHERE rank = fr OR score >= greatest(0.24::DOUBLE, 0.45::DOUBLE * bs)""")
+def rank_sources(spark, sf):
+    """G21."""
+    h = hits(spark, sf).withColumn("path_key", F.concat(F.lit("d/"), F.col("doc_id") % 9))
+    return R.sources(h).select("query_id", "path_key", "section_id", "score", "rank")
+
+
+@query("rank_lookup_scores", f"""
+WITH {CAND}, t AS (SELECT *, list_distinct({sql.tokens('section_title')}) AS tt, {sql.norm('section_title')} AS tn FROM cand0)
+SELECT query_id, section_id, round(CASE WHEN NOT list_contains(intents, 'document_lookup') THEN 0 WHEN len(tt) = 0 THEN CASE WHEN tn <> '' AND contains(qn, tn) THEN 1 ELSE 0 END
+  ELSE least(1.0::DOUBLE, 0.5::DOUBLE * CASE WHEN tn <> '' AND contains(qn, tn) THEN 1 ELSE 0 END + 0.35::DOUBLE * (len(list_intersect(list_distinct(qtoks), tt)) / len(tt)::DOUBLE)
+  + 0.15::DOUBLE * {_overlap('expanded', 'title_terms')}) END, 6) AS lookup_score FROM t""")
+def rank_lookup_scores(spark, sf):
+    """G19."""
+    return R.lookup_score(candidates(spark, sf), "section_title").select("query_id", "section_id", F.round("lookup_score", 6).alias("lookup_score"))
+
+
+# --- decisions --------------------------------------------------------------------------
+_SUP = ("len(list_filter(blocks, lambda b: list_transform([" + sql.norm("b") + "], lambda n: len(list_filter(CASE WHEN exact OR len(expanded) = 0 THEN focus ELSE expanded END, "
+        "lambda t: contains(n, replace(t, '_', ' ')))) > 0)[1])) > 0")
+ANSWER = f"""{CAND}, {_TWO}, flags AS (SELECT *, {_SUP} AS ok, floor({_score('focus', sql.norm("section_title || ' ' || body"), _PW, 3)} + 0.5)::INT AS cnt, {_ALIGN} AS al,
+  len(list_intersect(title_terms, expanded)) AS tov FROM cand),
+per AS (SELECT query_id, arg_min(score, rank) AS best, arg_min(al, rank) AS align, arg_min(tov, rank) AS tov, any_value(len(topics)) AS topics, bool_or(exact) AS exact, bool_or(multi) AS multi,
+  count(*) FILTER (ok) AS support, count(DISTINCT doc_id) FILTER (ok) AS sdocs, count(DISTINCT doc_id) AS docs, sum(cnt) AS exacts FROM flags GROUP BY 1),
+answers AS MATERIALIZED (SELECT query_id, best, support, CASE WHEN best < 0.24 THEN 'weak' WHEN best >= 2 THEN 'score' WHEN align >= 0.55 THEN 'topic' WHEN support < 1 THEN 'unsupported' WHEN exact AND exacts < 30 THEN 'inexact'
+  WHEN multi AND docs > 1 AND sdocs < 2 THEN 'narrow' WHEN topics > 0 AND align = 0 AND tov = 0 THEN 'off_topic' ELSE 'support' END AS reason FROM per)"""
+
+
+def answers(spark, sf):
+    c = candidates(spark, sf).withColumn("lookup_score", F.lit(0.0))
+    return D.answerability(c, sure_score=2.0, min_exact=30)
+
+
+@query("rank_answerable", f"WITH {ANSWER} SELECT query_id, reason, reason IN ('score', 'topic', 'support') AS answerable, support FROM answers")
+def rank_answerable(spark, sf):
+    """G22, G23 with thresholds at which every rule has a say."""
+    return answers(spark, sf).select("query_id", "reason", "answerable", "support")
+
+
+@query("rank_confidence", f"""
+WITH {HITS}, b AS (SELECT query_id, max(score) FILTER (rank >= 1 + query_id % 6) AS s FROM hits GROUP BY 1)
+SELECT query_id, round(s, 6) AS best_score, CASE WHEN s >= 0.55 THEN 'High' WHEN s >= 0.38 THEN 'Medium' ELSE 'Low' END AS confidence FROM b""")
+def rank_confidence(spark, sf):
+    """G24 over hits without their first ones, so that all levels occur."""
+    return D.question_confidence(hits(spark, sf).filter("rank >= 1 + query_id % 6")).withColumn("best_score", F.round("best_score", 6))
+
+
+_DUAL = f"""{HITS}, dd AS (SELECT query_id, doc_id, max(score) AS s FROM hits GROUP BY 1, 2), dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM dd),
+two AS (SELECT query_id, max(doc_id) FILTER (r = 1) AS doc_a, max(doc_id) FILTER (r = 2) AS doc_b, max(s) FILTER (r = 1) AS a, max(s) FILTER (r = 2) AS b FROM dr WHERE r <= 2 GROUP BY 1),
+duals AS (SELECT query_id, doc_a, doc_b, b / a AS ratio FROM two WHERE query_id % 4 = 3 AND a >= 0.38 AND b / a >= 0.3)"""
+
+
+def _duals(spark, sf):
+    docs = R.docs_from_sections(hits(spark, sf))
+    return D.dual_candidates(docs, analyzed(spark, sf), ratio=0.3)
+
+
+@query("rank_dual_answers", f"WITH {_DUAL} SELECT query_id, doc_a, doc_b, round(ratio, 6) AS score_ratio FROM duals")
+def rank_dual_answers(spark, sf):
+    """G25 with a low ratio."""
+    return _duals(spark, sf).withColumn("score_ratio", F.round("score_ratio", 6))
+
+
+@query("rank_dual_sections", f"""
+WITH {_DUAL} SELECT query_id, side, section_id, rank FROM (SELECT query_id, 'A' AS side, doc_a AS d FROM duals UNION ALL SELECT query_id, 'B', doc_b FROM duals) s
+JOIN hits h USING (query_id) WHERE h.doc_id = s.d""")
+def rank_dual_sections(spark, sf):
+    """Sections of either side."""
+    return D.dual_sections(_duals(spark, sf), hits(spark, sf)).select("query_id", "side", "section_id", "rank")
+
+
+_NOISE = ("ething", "thth", "nicht")
+
+
+@query("rank_exact_context", f"""
+WITH {HITS}, r AS (SELECT h.*, first_value(score) OVER (PARTITION BY query_id ORDER BY rank) AS b, {sql.any_contains("lower(section_title)", _NOISE)} AS mark FROM hits h JOIN lines USING (section_id)),
+n AS (SELECT *, score < 0.8::DOUBLE * b AND mark AS noisy, score < greatest(0.65::DOUBLE * b, 0.55::DOUBLE) AS low FROM r), f AS (SELECT *, min(rank) FILTER (NOT noisy) OVER (PARTITION BY query_id) AS fr FROM n)
+SELECT query_id, section_id, rank FROM f WHERE CASE WHEN fr IS NOT NULL THEN NOT noisy AND (NOT low OR rank = fr) ELSE rank <= 3 END""")
+def rank_exact_context(spark, sf):
+    """G26 with markers that occur."""
+    h = hits(spark, sf).join(_sections(spark, sf).select("section_id", "section_title"), "section_id").withColumn("summary", F.lit(""))
+    return D.exact_context(h, noisy=_NOISE).select("query_id", "section_id", "rank")
+
+
+_SIGNAL = (f"CASE WHEN {sql.any_contains('x', ('thth', 'para'))} THEN 5 ELSE 0 END + CASE WHEN contains(x, 'component') THEN 2 ELSE 0 END + CASE WHEN lang <> 'en' THEN 1 ELSE 0 END "
+           f"- CASE WHEN {sql.any_contains('x', ('nicht', 'thon'))} THEN 6 ELSE 0 END")
+
+
+@query("rank_aggregate_context", f"""
+WITH {HITS}, x AS (SELECT h.*, lang, doc_id % 5 AS g, {sql.norm("section_title || ' ' || substr(body, 1, 500)")} AS x0, replace(lower(section_title || '  ' || substr(body, 1, 500)), 'ß', 'ss') AS x FROM hits h JOIN lines USING (section_id, doc_id)),
+s AS (SELECT *, {_SIGNAL} AS signal FROM x), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY signal DESC, score DESC, rank) = 1 AS first FROM s),
+p AS (SELECT *, CASE WHEN first OR signal >= 2 THEN 1 WHEN signal >= 1 THEN 2 END AS step FROM f)
+SELECT query_id, section_id, signal, row_number() OVER (PARTITION BY query_id ORDER BY step, signal DESC, score DESC, rank) AS selected FROM p WHERE step IS NOT NULL""")
+def rank_aggregate_context(spark, sf):
+    """G27 with markers that occur, documents grouped by id modulo 5."""
+    s = _sections(spark, sf).select("section_id", "section_title", "body", "lang")
+    kind = F.when(F.col("lang") == "en", "scope").otherwise("general")
+    h = hits(spark, sf).join(s, "section_id").withColumn("doc_id", F.col("doc_id") % 5).withColumn("signal", D.aggregate_signal(
+        F.col("section_title"), F.lit(""), F.col("body"), kind, ("thth", "para"), ("nicht", "thon")))
+    return D.aggregate_context(h).select("query_id", "section_id", "signal", "selected")
+
+
+@query("rank_evidence_table", f"""
+WITH {CAND}, {_FULL}, g AS (SELECT *, doc_id % 5 AS grp FROM cand), al AS (SELECT *, min(rank) OVER (PARTITION BY query_id, grp) AS fr, row_number() OVER (PARTITION BY query_id, grp ORDER BY rank) AS sn FROM g),
+a2 AS (SELECT *, 'D' || dense_rank() OVER (PARTITION BY query_id ORDER BY fr) AS da FROM al),
+b AS (SELECT query_id, rank, section_id, da, sn, body, intents, exact, ctx, multi, unnest(blocks) AS block, unnest(range(0, len(blocks))) AS pos FROM a2),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, {sql.norm('block')} ORDER BY rank, pos) AS rn FROM b)
+SELECT query_id, section_id, da || ':S' || sn || '.E' || row_number() OVER (PARTITION BY query_id, section_id ORDER BY pos) AS tag, md5(block) AS block,
+  CASE WHEN contains(lower(body), '<table') OR len(regexp_extract_all(body, '\\|')) >= 6 THEN 'table' WHEN regexp_matches(body, '\\n\\s{{0,4}}[-*•]\\s') THEN 'list' ELSE 'prose' END AS kind,
+  CASE WHEN exact OR ctx THEN 0 WHEN list_contains(intents, 'document_lookup') THEN 2 WHEN multi THEN 3 ELSE 1 END AS doc_limit FROM k WHERE rn = 1""")
+def rank_evidence_table(spark, sf):
+    """G18, G28, G29, documents grouped by id modulo 5."""
+    c = candidates(spark, sf).withColumn("doc_id", F.col("doc_id") % 5)
+    return D.evidence_table(c).select("query_id", "section_id", "tag", F.md5("block").alias("block"), "kind", "doc_limit")
+
+
+_NUM = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '\\d+(?:[.,]\\d+)*'), lambda n: replace(n, ',', '')))"
+
+
+@query("rank_grounding", f"""
+WITH p AS (SELECT doc_id, text || ' (' || n_chars || ' of 1,000)' AS answer, CASE WHEN doc_id % 2 = 0 THEN text || ' ' || n_chars || ' 1000' ELSE text END AS evidence FROM documents)
+SELECT doc_id, regexp_matches(substr(answer, 1, 600), '\\d') AS needed, NOT regexp_matches(substr(answer, 1, 600), '\\d')
+  OR len(list_filter({_NUM('answer')}, lambda n: NOT list_contains({_NUM('evidence')}, n))) = 0 AS grounded FROM p""")
+def rank_grounding(spark, sf):
+    """Answers that add two numbers to a text, with evidence that holds them for even documents."""
+    d = table(spark, sf, "documents")
+    answer = F.concat("text", F.lit(" ("), "n_chars", F.lit(" of 1,000)"))
+    evidence = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" "), "n_chars", F.lit(" 1000"))).otherwise(F.col("text"))
+    return d.select("doc_id", D.needs_grounding(answer).alias("needed"), D.numbers_grounded(answer, evidence).alias("grounded"))
+
+
+def _routes_sql():
+    from lectern.suite import analysis_queries as A
+    return f"""WITH {A.ANALYSIS}, s AS (SELECT *, len(list_filter(string_split(question, '?'), lambda p: trim(p) <> '')) AS parts FROM analysis)
+SELECT query_id, CASE WHEN {A.CONVERSATIONAL} IS NOT NULL THEN 'conversational' WHEN {A.NEEDS_PROFILE} THEN 'clarify_profile' WHEN {A.NEEDS_CLARIFY} THEN 'clarify_question'
+  WHEN turn % 11 = 4 THEN 'faq' WHEN turn % 7 = 2 THEN 'cached' WHEN parts > 1 AND NOT ctx THEN 'compound' WHEN turn % 3 = 0 THEN 'retrieve' WHEN turn % 3 = 1 THEN 'fallback' ELSE 'unanswered' END AS route
+FROM s JOIN (SELECT query_id, turn FROM questions) USING (query_id)"""
+
+
+@query("rank_routes", _routes_sql())
+def rank_routes(spark, sf):
+    """The outcome ladder; later decisions stand in by turn number."""
+    q = Q.analyze_questions(inputs.questions(spark, sf))
+    c = F.col
+    marks = F.size(F.filter(F.split("question", r"\?"), lambda p: F.trim(p) != ""))
+    rows = q.select("query_id", Q.conversational_intent(c("question")).alias("conversational"), Q.needs_profile(
+        c("normalized_question"), c("intents"), c("topic_hints")).alias("needs_profile"), Q.needs_clarification(
+        c("normalized_question"), c("intents"), c("topic_hints"), c("focus_terms"), c("context_dependent"), F.lit(False)).alias("needs_clarification"),
+        (c("turn") % 11 == 4).alias("faq_hit"), (c("turn") % 7 == 2).alias("cache_hit"), marks.alias("sub_questions"), "context_dependent",
+        (c("turn") % 3 == 0).alias("answerable"), (c("turn") % 3 == 1).alias("fallback_answerable"))
+    return rows.select("query_id", D.route().alias("route"))
+
+

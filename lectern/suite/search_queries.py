@@ -144,11 +144,11 @@ def search_keyword_salted(spark, sf):
 
 @query("search_fuzzy_terms", f"""
 WITH {INDEX}, v AS (SELECT DISTINCT term AS match FROM terms WHERE field = 'document_title'), t AS (SELECT DISTINCT term FROM qtf),
-j AS (SELECT term, match, levenshtein(term, match) AS distance, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS n FROM t, v
+j AS (SELECT term, match, levenshtein(translate(term, 'éèêçñóíáúäöüàâîôû', 'ABCDEFGHIJKLMNOPQR'), translate(match, 'éèêçñóíáúäöüàâîôû', 'ABCDEFGHIJKLMNOPQR')) AS distance, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS n FROM t, v
   WHERE abs(length(term) - length(match)) <= 2)
 SELECT term, match, distance::INT AS distance, round(1 - distance / least(length(term), length(match)), 6) AS weight FROM j WHERE distance <= n""")
 def search_fuzzy_terms(spark, sf):
-    """passage words near words of document titles (DuckDB counts edits in bytes; ASCII words agree)."""
+    """passage words near words of document titles (the SQL maps accented letters to one byte each, as it counts edits in bytes)."""
     ix = S.build_index(inputs.lines(spark, sf), ("document_title",))
     return S.fuzzy_terms(S.query_terms(questions(spark, sf)), ix.terms).select(
         "term", "match", "distance", F.round("weight", 6).alias("weight"))
