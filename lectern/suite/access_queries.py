@@ -1 +1,71 @@
-"""Queries."""
+"""Access grants."""
+from pyspark.sql import functions as F
+
+from lectern.operators import access as A
+from lectern.suite import inputs, query, table
+
+AT = "2030-01-01 00:00:00"
+
+
+@query("access_grants", f"""
+WITH {inputs.GRANTS}, n AS (SELECT user_id, doc_id, granted_at FROM grants UNION ALL SELECT DISTINCT u.user_id::VARCHAR, d.doc_id::VARCHAR, TIMESTAMP '{AT}' FROM (SELECT DISTINCT user_id FROM events) u,
+  (SELECT doc_id FROM labels WHERE toxic = 1) d UNION ALL SELECT DISTINCT user_id::VARCHAR, '*', TIMESTAMP '{AT}' FROM events WHERE user_id % 70 = 1),
+g AS (SELECT user_id, doc_id, max(granted_at) AS at_time FROM n GROUP BY 1, 2) SELECT user_id, count(*) AS n_grants, count(*) FILTER (at_time = TIMESTAMP '{AT}') AS fresh FROM g GROUP BY 1""")
+def access_grants(spark, sf):
+    """H1, H2: all users get the toxic documents, some become administrators."""
+    users = table(spark, sf, "events").select("user_id").distinct()
+    docs = table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
+    g = A.grant(inputs.grants(spark, sf), users, docs, AT)
+    g = A.grant_admin(g, users.filter("user_id % 70 = 1"), AT)
+    return g.groupBy("user_id").agg(F.count("*").alias("n_grants"), F.count_if(F.col("granted_at") == F.lit(AT).cast("timestamp")).alias("fresh"))
+
+
+@query("access_revocations", f"""
+WITH {inputs.GRANTS} SELECT g.user_id, g.doc_id FROM grants g WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id::VARCHAR = g.doc_id)
+  AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND e.user_id::VARCHAR = g.user_id AND (e.event_id % 1000)::VARCHAR = g.doc_id)""")
+def access_revocations(spark, sf):
+    """H3, H4: errors revoke their own grant, toxic documents lose all grants."""
+    pairs = table(spark, sf, "events").filter("event_type = 'error'").select(
+        F.col("user_id").cast("string").alias("user_id"), (F.col("event_id") % 1000).cast("string").alias("doc_id"))
+    g = A.revoke(inputs.grants(spark, sf), pairs)
+    return A.revoke_document(g, table(spark, sf, "labels").filter("toxic = 1")).select("user_id", "doc_id")
+
+
+_ASKED = "asked AS (SELECT DISTINCT (user_id + 20)::VARCHAR AS user_id FROM events)"
+
+
+def _asked(spark, sf):
+    return table(spark, sf, "events").select((F.col("user_id") + 20).cast("string").alias("user_id")).distinct()
+
+
+@query("access_reach", f"""
+WITH {inputs.GRANTS}, {_ASKED}, p AS (SELECT user_id, bool_or(doc_id = '*') AS a, count(DISTINCT doc_id) FILTER (doc_id <> '*') AS n FROM grants GROUP BY 1)
+SELECT user_id, coalesce(a, false) AS is_admin, coalesce(n, 0) AS n_docs FROM asked LEFT JOIN p USING (user_id)""")
+def access_reach(spark, sf):
+    """H5, unknown users included."""
+    return A.accessible(inputs.grants(spark, sf), _asked(spark, sf))
+
+
+@query("access_visible_rows", f"""
+WITH {inputs.GRANTS} SELECT c.conv_id, c.turn FROM conversations c WHERE EXISTS (SELECT 1 FROM grants g WHERE g.user_id = (c.conv_id % 170)::VARCHAR AND (g.doc_id = '*' OR g.doc_id = (c.turn + c.conv_id * 7)::VARCHAR))""")
+def access_visible_rows(spark, sf):
+    """H6 on conversation turns with a user and a document each."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", (F.col("conv_id") % 170).cast("string").alias("user_id"),
+                                                    (F.col("turn") + F.col("conv_id") * 7).alias("doc_id"))
+    return A.visible(rows, inputs.grants(spark, sf)).select("conv_id", "turn")
+
+
+@query("access_visible_documents", f"""
+WITH {inputs.GRANTS}, {_ASKED}, boss AS (SELECT DISTINCT user_id FROM grants WHERE doc_id = '*')
+SELECT g.user_id, g.doc_id FROM grants g JOIN asked USING (user_id) WHERE g.doc_id = '*' OR (g.user_id NOT IN (SELECT user_id FROM boss) AND g.doc_id IN (SELECT doc_id::VARCHAR FROM documents))""")
+def access_visible_documents(spark, sf):
+    """H6 as a list: documents each user can open, an administrator as one row."""
+    return A.visible_documents(table(spark, sf, "documents"), inputs.grants(spark, sf), _asked(spark, sf))
+
+
+@query("access_rejected", "SELECT conv_id, turn, role <> 'system' AS accepted FROM conversations")
+def access_rejected(spark, sf):
+    """H7: system turns have no user."""
+    rows = table(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("role") != "system", F.col("role")).otherwise(" ").alias("user_id"))
+    ok, bad = A.require_user(rows)
+    return ok.select("conv_id", "turn", F.lit(True).alias("accepted")).unionByName(bad.select("conv_id", "turn", F.lit(False).alias("accepted")))
