@@ -87,23 +87,34 @@ def term_join(postings: DataFrame, wanted: DataFrame, on: Sequence[str], spread:
     return left.join(right, [*on, "_salt"]).drop("_salt")
 
 
-def grams(text: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
+GRAM_SIZES = (1, 2, 3, 8, 24)
+
+
+def grams(text: Column, sizes: Sequence[int] = GRAM_SIZES) -> Column:
     """Distinct character grams of a text."""
-    def of(t):
-        n = F.length(t)
+    def of(chars):
+        n = F.size(chars)
         some = lambda s: F.when(n >= s, F.transform(F.sequence(F.lit(1), F.greatest(n - (s - 1), F.lit(1))),
-                                                    lambda i: F.substring(t, i, F.lit(s)))).otherwise(
+                                                    lambda i: F.array_join(F.slice(chars, i, s), ""))).otherwise(
             F.array().cast("array<string>"))
-        return F.array_distinct(F.flatten(F.array(*[some(s) for s in sizes])))
-    return let(text, of)
+        return F.array_distinct(F.concat(*[some(s) for s in sizes]))
+    return let(F.split(text, ""), of)
 
 
-def substring_join(texts: DataFrame, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
-    """Pairs where the phrase is a substring of the text, as an equi-join.
+def substring_join(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """Pairs (``key``, phrase columns) where the phrase is a substring of the text, as an equi-join.
 
-    A phrase is keyed by its first three characters (or all of a shorter one); a text is exploded
-    to its distinct one- to three-character grams; matches of the key are verified.
+    A phrase is keyed by its head of the longest gram size it reaches; a text gives its distinct
+    grams of the sizes in use.  Only keys and grams travel; candidates are verified on the text.
     """
-    keyed = phrases.filter(F.col(phrase) != "").withColumn("_g", F.substring(phrase, 1, 3))
-    return texts.withColumn("_g", F.explode(grams(F.col(text)))).join(keyed, "_g").filter(
-        F.col(text).contains(F.col(phrase))).drop("_g")
+    size = F.lit(None).cast("int")
+    for s in GRAM_SIZES:
+        size = F.when(F.length(phrase) >= s, s).otherwise(size)
+    keyed = phrases.filter(F.col(phrase) != "").withColumn("_s", size).withColumn(
+        "_g", F.substring(F.col(phrase), F.lit(1), F.col("_s")))
+    sizes = sorted(r[0] for r in keyed.select("_s").distinct().collect())     # at most five numbers
+    if not sizes:
+        return texts.select(key).join(phrases, F.lit(False))
+    some = texts.select(key, F.explode(grams(F.col(text), sizes)).alias("_g"))
+    pairs = some.join(keyed.drop("_s"), "_g").drop("_g")
+    return pairs.join(texts.select(key, F.col(text).alias("_t")), key).filter(F.col("_t").contains(F.col(phrase))).drop("_t")

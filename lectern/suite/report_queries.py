@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators import evaluation as V, governance as G, reports as R
 from lectern.plans import search as S
+from lectern.plans.common import substring_join
 from lectern.suite import inputs, query, sql, table
 from lectern.suite import metadata_queries as MQ, search_queries as SQ, text_queries as TQ
 
@@ -190,9 +191,8 @@ def _results(spark, sf, boosts):
     q = SQ.questions(spark, sf)
     hits = S.keyword_search(q, ix, 3, boosts).select(F.col("query_id").alias("id"), "rank", F.concat(F.lit("report OF doc "), "doc_id", F.lit(" end")).alias(
         "document_title"), F.lit("Line").alias("section_title"))
-    from lectern.plans.common import substring_join
     d, b = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    truth = substring_join(d, "text", b, "passage").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    truth = substring_join(d, "doc_id", "text", b, "passage").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     at = lambda *v: F.array(*[F.lit(x) for x in v])
     cases = b.join(truth, "item_id", "left").select(
         F.col("item_id").alias("id"), F.concat(F.lit("Report of doc "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(" end")).alias("source_document"),
@@ -215,15 +215,10 @@ _BODY_RUN = """kb AS (SELECT query_id, section_id, doc_id, round(s / 1.0, 9) AS
 khits2 AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM kb)"""
 
 
-def exact_hit(spark, sf, boosts, drop_words=True):
-    """Results where the expected document must match by its full name (no half-of-words rule)."""
-    return _results(spark, sf, boosts)
-
-
 @query("eval_results", f"WITH {_EVAL} SELECT id, r = 1 AS hit_at_1, r IS NOT NULL AS hit_at_3, round(1.0 / r, 6) AS reciprocal_rank FROM res")
 def eval_results(spark, sf):
     """Names share their long words, so any document counts by the half-of-words rule."""
-    return _results(spark, sf, None or {"section_title": 4.0, "document_title": 3.0, "keywords": 3.0, "body": 1.0}).select(
+    return _results(spark, sf, ALL).select(
         "id", "hit_at_1", "hit_at_3", F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
 
 
@@ -232,9 +227,8 @@ def _strict(spark, sf, boosts):
     ix = SQ.index(spark, sf)
     hits = S.keyword_search(SQ.questions(spark, sf), ix, 3, boosts).select(F.col("query_id").alias("id"), "rank", F.concat(F.lit("<"), "doc_id", F.lit(">")).alias(
         "document_title"), F.lit("Line").alias("section_title"))
-    from lectern.plans.common import substring_join
     d, b = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark").select("item_id", F.col("text").alias("passage"))
-    truth = substring_join(d, "text", b, "passage").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    truth = substring_join(d, "doc_id", "text", b, "passage").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
     at = lambda *v: F.array(*[F.lit(x) for x in v])
     cases = b.join(truth, "item_id", "left").select(
         F.col("item_id").alias("id"), F.concat(F.lit("<"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(">")).alias("source_document"),

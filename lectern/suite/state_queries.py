@@ -1,4 +1,6 @@
 """Conversation state, usage and streams."""
+import uuid
+
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
@@ -252,7 +254,6 @@ def usage_resolved_prices(spark, sf):
 # --- streams over the same tables ---------------------------------------------------------
 def _run(spark, stream, mode, columns):
     """Run a stream to its end into a table of the shared folder; the last row per key counts."""
-    import uuid
     base = f"{shared_dir(spark)}/lectern/stream-{uuid.uuid4().hex}"
 
     def write(batch, epoch):
@@ -264,7 +265,7 @@ def _run(spark, stream, mode, columns):
 
 def _stream(spark, sf, name):
     path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 @query("stream_thread_state", f"""
