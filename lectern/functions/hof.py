@@ -9,9 +9,22 @@ from pyspark.sql import functions as F
 STRINGS = "array<string>"
 
 
-def lits(values: Sequence) -> Column:
-    """Literal array of strings (empty allowed)."""
-    return F.array(*[F.lit(v) for v in values]).cast(STRINGS) if values else F.array().cast(STRINGS)
+def sql_string(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_array(values: Sequence[str]) -> str:
+    return f"cast(array({', '.join(map(sql_string, values))}) as {STRINGS})"
+
+
+def lits(values: Sequence[str]) -> Column:
+    """Literal array of strings (empty allowed), one expression whatever its length."""
+    return F.expr(sql_array(values))
+
+
+def lit_map(table) -> Column:
+    """Literal map of strings."""
+    return F.expr("map(" + ", ".join(sql_string(x) for kv in table.items() for x in kv) + ")")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,17 +38,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def any_contains(text: Column, phrases: Sequence[str]) -> Column:
     """True when any phrase is a substring."""
-    out = F.lit(False)
-    for phrase in phrases:
-        out = out | text.contains(phrase)
-    return out
+    return F.exists(lits(phrases), lambda p: text.contains(p))
 
 
 def any_startswith(text: Column, phrases: Sequence[str]) -> Column:
-    out = F.lit(False)
-    for phrase in phrases:
-        out = out | text.startswith(phrase)
-    return out
+    return F.exists(lits(phrases), lambda p: text.startswith(p))
+
+
+def one_of(value: Column, values: Sequence[str]) -> Column:
+    """Membership in a short literal list."""
+    return F.array_contains(lits(values), value)
 
 
 def indices(arr: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.hof import STRINGS, any_contains, let, lits
+from lectern.functions.hof import STRINGS, let, lits, sql_array, sql_string
 from lectern.functions.text import normalize_text
 
 Lexicon = Mapping[str, Sequence[str]]
@@ -18,16 +18,16 @@ def phrase_tokens(phrase: str, stopwords: Sequence[str] = fixed.STOPWORDS) -> li
     return [t for t in re.findall("[a-z0-9]+", phrase.lower()) if t not in stopwords and len(t) >= 3]
 
 
-def _label_hit(norm: Column, tokens: Column, phrases: Sequence[str]) -> Column:
-    hit = any_contains(norm, phrases)
-    singles: list[str] = []
-    for phrase in phrases:
-        parts = phrase_tokens(phrase)
-        if len(parts) == 1 and parts[0] not in singles:
-            singles.append(parts[0])
-        elif len(parts) > 1:
-            hit = hit | (F.size(F.array_intersect(tokens, lits(sorted(set(parts))))) >= 2)
-    return hit | F.arrays_overlap(tokens, lits(singles)) if singles else hit
+def _literal(lexicon: Lexicon) -> Column:
+    """The lexicon as one literal: array<struct<name, phrases, singles, multis>>."""
+    rows = []
+    for name, phrases in lexicon.items():
+        parts = [phrase_tokens(p) for p in phrases]
+        singles = sorted({p[0] for p in parts if len(p) == 1})
+        multis = ", ".join(sql_array(sorted(set(p))) for p in parts if len(p) > 1)
+        rows.append(f"named_struct('name', {sql_string(name)}, 'phrases', {sql_array(phrases)}, 'singles', "
+                    f"{sql_array(singles)}, 'multis', cast(array({multis}) as array<array<string>>))")
+    return F.expr(f"array({', '.join(rows)})")
 
 
 def labels(text: Column, lexicon: Lexicon) -> Column:
@@ -41,9 +41,10 @@ def labels(text: Column, lexicon: Lexicon) -> Column:
         return F.array().cast(STRINGS)
 
     def match(norm):
-        return let(F.array_distinct(F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0))), lambda toks: (
-            F.array_compact(F.array(*[F.when(_label_hit(norm, toks, phrases), F.lit(name))
-                                      for name, phrases in lexicon.items()]))))
+        tokens = F.array_distinct(F.regexp_extract_all(norm, F.lit("[a-z0-9]+"), F.lit(0)))
+        return let(tokens, lambda toks: F.transform(F.filter(_literal(lexicon), lambda e: (
+            F.exists(e["phrases"], lambda p: norm.contains(p)) | F.arrays_overlap(toks, e["singles"])
+            | F.exists(e["multis"], lambda m: F.size(F.array_intersect(toks, m)) >= 2))), lambda e: e["name"]))
     return let(normalize_text(text), match)
 
 
@@ -58,6 +59,6 @@ def phrases_found(text: Column, phrases: Sequence[str]) -> Column:
 
 def flatten_map(keys: Column, table: Mapping[str, Sequence[str]]) -> Column:
     """Values of every key, in order, unique."""
-    m = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), lits(v))])
+    m = F.expr("map(" + ", ".join(f"{sql_string(k)}, {sql_array(v)}" for k, v in table.items()) + ")")
     return F.array_distinct(F.flatten(F.transform(
         keys, lambda k: F.coalesce(F.try_element_at(m, k), F.array().cast(STRINGS)))))

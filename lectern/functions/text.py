@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.hof import STRINGS, indices, let, replace_matches, slices_from
+from lectern.functions.hof import STRINGS, indices, let, lit_map, one_of, replace_matches, slices_from
 
 WS = r"[\s\x1c-\x1f\x85\p{Z}]"
 WS_CHARS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -90,9 +90,9 @@ def is_informative(c: Column, stopwords: Sequence[str] = fixed.STOPWORDS,
         return let(F.filter(F.split(norm, "_"), lambda p: p != ""), lambda parts: (
             (F.size(parts) > 0)
             & ~F.exists(parts, lambda p: (F.length(p) < 2) & ~is_digits(p))
-            & F.exists(parts, lambda p: ~p.isin(*stopwords))
-            & F.when(F.size(parts) == 1, ~is_digits(norm) & ~norm.isin(*generic)).otherwise(
-                F.exists(parts, lambda p: ~p.isin(*stopwords) & ~p.isin(*generic)))))
+            & F.exists(parts, lambda p: ~one_of(p, stopwords))
+            & F.when(F.size(parts) == 1, ~is_digits(norm) & ~one_of(norm, generic)).otherwise(
+                F.exists(parts, lambda p: ~one_of(p, stopwords) & ~one_of(p, generic)))))
     return F.coalesce(let(fold_case(strip(c)), check), F.lit(False))
 
 
@@ -103,8 +103,8 @@ def informative(terms: Column, **lists) -> Column:
 def informative_keywords(c: Column, generic: Sequence[str] = fixed.GENERIC_TERMS) -> Column:
     """Informative terms among ``keywordize(c)``; cheaper, as those terms hold no stop word or stray letter."""
     def keep(t):
-        pair = ~(F.substring_index(t, "_", 1).isin(*generic) & F.substring_index(t, "_", -1).isin(*generic))
-        return F.when(t.contains("_"), pair).otherwise(~is_digits(t) & ~t.isin(*generic))
+        pair = ~(one_of(F.substring_index(t, "_", 1), generic) & one_of(F.substring_index(t, "_", -1), generic))
+        return F.when(t.contains("_"), pair).otherwise(~is_digits(t) & ~one_of(t, generic))
     return F.filter(keywordize(c), keep)
 
 
@@ -376,7 +376,7 @@ def clean_whitespace(c: Column) -> Column:
 
 def unescape(c: Column, names: Mapping[str, int] = name2codepoint) -> Column:
     """Named and numeric character references that end in a semicolon."""
-    table = F.create_map(*[x for k, v in sorted(names.items()) for x in (F.lit(k), F.lit(chr(v)))])
+    table = lit_map({k: chr(v) for k, v in sorted(names.items())})
 
     def decode(hit):
         ref = F.substring(hit, 2, F.length(hit) - 2)

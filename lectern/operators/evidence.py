@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.functions import fixed
-from lectern.functions.hof import let
+from lectern.functions.hof import let, one_of
 from lectern.functions.text import WS, fold_case, is_digits, normalize_text, strip, tokenize, truncate, uniq
 
 SPANS = "array<struct<a:int,b:int>>"
 
 
 def _alignment_tokens(c: Column) -> Column:
-    return F.array_distinct(F.filter(tokenize(c), lambda t: ~t.isin(*fixed.ALIGNMENT_IGNORED_TOKENS)))
+    return F.array_distinct(F.filter(tokenize(c), lambda t: ~one_of(t, fixed.ALIGNMENT_IGNORED_TOKENS)))
 
 
 def topic_alignment(topics: Column, tags: Column) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import fixed
-from lectern.functions.hof import STRINGS, any_contains, any_startswith, let, lits
+from lectern.functions.hof import STRINGS, any_contains, any_startswith, let, lits, one_of
 from lectern.functions.lexicon import Lexicon, flatten_map, labels
-from lectern.functions.text import (fold_case, informative, is_digits, is_informative, kept_tokens, keywordize,
+from lectern.functions.text import (fold_case, informative, is_digits, kept_tokens, keywordize,
                                     normalize_numbers, normalize_text, profile_is_empty, profile_line,
                                     profile_tags, strip, tokenize, uniq, words)
 
@@ -48,14 +48,11 @@ def conversational_intent(text: Column, assistant_name: str = "") -> Column:
     identity = fixed.IDENTITY + ((f"what is {assistant_name.lower()}",) if assistant_name else ())
 
     def near(n, phrases):
-        out = F.lit(False)
-        for p in phrases:
-            out = out | (n.startswith(p) & (F.length(n) <= len(p) + 12))
-        return out
+        return F.exists(lits(phrases), lambda p: n.startswith(p) & (F.length(n) <= F.length(p) + 12))
     return let(normalize_text(text), lambda n: (
-        F.when((n == "") | n.isin(*fixed.GREETINGS), "greeting").when(n.isin(*fixed.FAREWELLS), "farewell")
-        .when(n.isin(*fixed.THANKS), "thanks").when(n.isin(*identity), "identity")
-        .when(n.isin(*fixed.CHITCHAT), "chitchat").when(near(n, fixed.GREETINGS), "greeting")
+        F.when((n == "") | one_of(n, fixed.GREETINGS), "greeting").when(one_of(n, fixed.FAREWELLS), "farewell")
+        .when(one_of(n, fixed.THANKS), "thanks").when(one_of(n, identity), "identity")
+        .when(one_of(n, fixed.CHITCHAT), "chitchat").when(near(n, fixed.GREETINGS), "greeting")
         .when(near(n, fixed.FAREWELLS), "farewell").when(near(n, fixed.THANKS), "thanks")
         .when(any_contains(n, identity), "identity")
         .when(any_contains(n, fixed.SELF_REFERENCES), "self_referential")))
@@ -76,12 +73,13 @@ def focus_terms(text: Column, rules: QuestionRules = DEFAULT, limit: int = 20) -
     known = lits(phrase_terms(rules.topics))
 
     def build(raw):
-        singles = F.filter(raw, lambda t: is_informative(t, stopwords=rules.stopwords))
+        # kept tokens hold no stop word, so a token carries meaning unless it is a number or generic
+        plain = lambda t: ~is_digits(t) & ~one_of(t, fixed.GENERIC_TERMS)
+        singles = F.filter(raw, plain)
         pairs = F.zip_with(F.slice(raw, 1, F.greatest(F.size(raw) - 1, F.lit(0))), F.slice(raw, 2, F.size(raw)),
                            lambda a, b: F.struct(a.alias("a"), b.alias("b")))
         good = F.filter(F.when(F.size(raw) > 1, pairs).otherwise(F.array().cast("array<struct<a:string,b:string>>")),
-                        lambda p: is_informative(p["a"], stopwords=rules.stopwords) & (
-                            is_informative(p["b"], stopwords=rules.stopwords) | is_digits(p["b"]))
+                        lambda p: (plain(p["a"]) & (plain(p["b"]) | is_digits(p["b"])))
                         | F.array_contains(known, F.concat(p["a"], F.lit("_"), p["b"])))
         terms = F.concat(singles, F.transform(good, lambda p: F.concat(p["a"], F.lit("_"), p["b"])))
         fallback = F.filter(raw, lambda t: (F.length(t) >= 2) | (is_digits(t) & (t != "0")))
@@ -91,10 +89,10 @@ def focus_terms(text: Column, rules: QuestionRules = DEFAULT, limit: int = 20) -
 
 def is_document_lookup(text: Column, normalized: Column, rules: QuestionRules = DEFAULT) -> Column:
     """E4."""
-    toks = F.filter(tokenize(text), lambda t: ~t.isin(*rules.stopwords))
+    toks = F.filter(tokenize(text), lambda t: ~one_of(t, rules.stopwords))
     return F.coalesce(let(toks, lambda t: _has(t, rules.lookup_nouns) & (
-        any_contains(normalized, rules.lookup_phrases) | F.try_element_at(t, F.lit(1)).isin(*rules.lookup_verbs)
-        | ((F.size(t) <= 6) & F.try_element_at(t, F.lit(-1)).isin(*rules.lookup_nouns)))), F.lit(False))
+        any_contains(normalized, rules.lookup_phrases) | one_of(F.try_element_at(t, F.lit(1)), rules.lookup_verbs)
+        | ((F.size(t) <= 6) & one_of(F.try_element_at(t, F.lit(-1)), rules.lookup_nouns)))), F.lit(False))
 
 
 def intents(text: Column, normalized: Column, rules: QuestionRules = DEFAULT) -> Column:
@@ -114,7 +112,7 @@ def multi_doc(text: Column, normalized: Column, intent: Column, rules: QuestionR
 def exact_match(text: Column, normalized: Column, intent: Column, focus: Column, multi: Column,
                 rules: QuestionRules = DEFAULT) -> Column:
     """E6."""
-    n = F.size(F.filter(tokenize(text), lambda t: ~t.isin(*rules.stopwords)))
+    n = F.size(F.filter(tokenize(text), lambda t: ~one_of(t, rules.stopwords)))
     digit = F.exists(focus, lambda t: F.exists(F.split(t, "_"), is_digits))
     pair = F.exists(focus, lambda t: t.contains("_"))
     return ~multi & ~_has(intent, ("document_lookup", "aggregate", "comparison")) & (
@@ -127,10 +125,10 @@ def context_dependent(text: Column, normalized: Column, focus: Column, rules: Qu
     pair = F.exists(focus, lambda t: t.contains("_"))
 
     def test(raw):
-        return let(F.filter(raw, lambda t: ~t.isin(*rules.stopwords)), lambda inf: (
+        return let(F.filter(raw, lambda t: ~one_of(t, rules.stopwords)), lambda inf: (
             any_contains(normalized, rules.references) | (F.size(inf) == 0) | _has(raw, rules.reference_tokens)
             | ((F.size(inf) == 1) & ~pair & ~is_digits(F.coalesce(F.try_element_at(inf, F.lit(1)), F.lit(""))))
-            | ((F.size(inf) <= 2) & ~pair & F.forall(inf, lambda t: t.isin(*rules.fillers) | is_digits(t)))))
+            | ((F.size(inf) <= 2) & ~pair & F.forall(inf, lambda t: one_of(t, rules.fillers) | is_digits(t)))))
     return let(tokenize(text), test)
 
 
@@ -294,7 +292,7 @@ def needs_clarification(normalized: Column, intent: Column, topics: Column, focu
                         has_active: Column) -> Column:
     """The question is too vague to search with."""
     vague = any_contains(normalized, fixed.VAGUE_PHRASES)
-    plain = F.forall(focus, lambda t: t.isin(*fixed.GENERIC_FOCUS_TERMS)) & (
+    plain = F.forall(focus, lambda t: one_of(t, fixed.GENERIC_FOCUS_TERMS)) & (
         (F.size(focus) <= 2) | (F.size(words(normalized)) <= 6))
     return (context & ~has_active) | (~_has(intent, ("aggregate", "document_lookup")) & (F.size(topics) == 0)
                                       & (vague | plain))

@@ -19,8 +19,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table.  Text tables stored in fewer pieces than there are cores are spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, KEYS[name])
+    return df
 
 
 def load() -> None:
