@@ -105,7 +105,7 @@ def count_terms(weighted: Column) -> Column:
             F.aggregate(run, F.lit(0.0), lambda a, x: a + x["w"]).alias("w"),
             F.size(run).alias("n"),
             F.element_at(run, 1)["pos"].alias("pos"))))
-    return let(F.array_sort(weighted), runs)
+    return let(F.sort_array(weighted), runs)
 
 
 def term_frequencies(tokens: Column) -> Column:
@@ -116,7 +116,7 @@ def term_frequencies(tokens: Column) -> Column:
         return let(starts, lambda st: F.transform(st, lambda p, j: F.struct(
             F.element_at(s, p).alias("term"),
             (F.coalesce(F.try_element_at(st, j + 2), F.size(s) + 1) - p).alias("tf"))))
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)
 
 
 def replace_matches(text: Column, pattern: str, fn: Callable[[Column], Column]) -> Column:

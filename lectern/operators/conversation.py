@@ -170,7 +170,7 @@ def unique_sources(sources: DataFrame, path: str = "source_path") -> DataFrame:
 def answer_key(question: Column, active_docs: Column) -> Column:
     """Cache key of a question and its active documents."""
     return F.substring(F.sha2(F.concat(fold_case(collapse(question)), F.lit("\x00"), F.array_join(
-        F.array_sort(active_docs), "\x01")), 256), 1, 24)
+        F.sort_array(active_docs), "\x01")), 256), 1, 24)
 
 
 def answer_cache(log: DataFrame, ttl_seconds: int = 3600, context: str = "context_dependent",
@@ -212,7 +212,7 @@ def source_images(sources: DataFrame, sections: DataFrame, path: str = "source_p
     Images are gathered per path first, so a path cited by many sources is collected once.
     """
     images = sections.filter(F.size("images") > 0).groupBy(path_key(F.col(path)).alias("_k")).agg(
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "images"))),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "images"))),
                               lambda s: s["images"])).alias("source_images"))
     return sources.withColumn("_k", path_key(F.col(path))).join(images, "_k", "left").withColumn(
         "source_images", F.coalesce("source_images", F.array().cast(STRINGS))).drop("_k")

@@ -78,7 +78,7 @@ def evidence_spans(scores: Column, neighbours: int, limit: Column) -> Column:
 
     ``scores``: array of unit scores.  Result: array<struct<a, b>> of 1-based unit positions.
     """
-    ranked = F.array_sort(F.filter(F.transform(scores, lambda s, i: F.struct(
+    ranked = F.sort_array(F.filter(F.transform(scores, lambda s, i: F.struct(
         (-s).alias("s"), (i + 1).alias("i"))), lambda x: x["s"] < 0))
 
     def take(acc, x):
@@ -87,7 +87,7 @@ def evidence_spans(scores: Column, neighbours: int, limit: Column) -> Column:
         clash = F.exists(acc, lambda o: (b >= o["a"]) & (a <= o["b"]))
         return F.when((F.size(acc) >= limit) | clash, acc).otherwise(F.concat(acc, F.array(F.struct(
             a.alias("a"), b.alias("b"))).cast(SPANS)))
-    chosen = F.array_sort(F.aggregate(ranked, F.array().cast(SPANS), take))
+    chosen = F.sort_array(F.aggregate(ranked, F.array().cast(SPANS), take))
 
     def merge(acc, x):
         last = F.try_element_at(acc, F.lit(-1))

@@ -202,7 +202,7 @@ def related_documents(docs: DataFrame, key: str = "doc_id", category: str = "cat
 def _first_titles(docs: DataFrame, category: str, title: str, k: int) -> DataFrame:
     w = Window.partitionBy(category).orderBy(title)
     return (docs.select(category, title).distinct().withColumn("_n", F.row_number().over(w))
-            .filter(F.col("_n") <= k).groupBy(category).agg(F.array_sort(F.collect_list(title)).alias("_t")))
+            .filter(F.col("_n") <= k).groupBy(category).agg(F.sort_array(F.collect_list(title)).alias("_t")))
 
 
 def superseded(docs: DataFrame, replacements: DataFrame, name: str = "file_name") -> DataFrame:

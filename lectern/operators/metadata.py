@@ -46,7 +46,7 @@ def auto_tags(parts: Sequence[tuple[Column, float]], limit: int) -> Column:
             t.alias("term"), (i + n * 1_000_000).alias("pos"),
             F.when(t.contains("_"), F.lit(w + 0.6)).otherwise(F.lit(float(w))).alias("w")))
     weighted = F.flatten(F.array(*[weigh(part, n, w) for n, (part, w) in enumerate(parts)]))
-    ranked = F.array_sort(F.transform(count_terms(weighted), lambda t: F.struct(
+    ranked = F.sort_array(F.transform(count_terms(weighted), lambda t: F.struct(
         (-F.round(t["w"], 6)).alias("w"),
         F.when(t["term"].contains("_"), F.lit(-1)).otherwise(F.lit(0)).alias("u"),
         (-F.length(t["term"])).alias("len"), t["pos"].alias("pos"), t["term"].alias("term"))))
@@ -91,7 +91,7 @@ def keywords(parts: Column, limit: int = 16) -> Column:
     terms = F.filter(F.flatten(F.transform(parts, lambda p: informative_keywords(p))), lambda t: F.length(t) >= 3)
     counted = count_terms(F.transform(terms, lambda t, i: F.struct(
         t.alias("term"), i.alias("pos"), F.lit(1.0).alias("w"))))
-    ranked = F.array_sort(F.transform(counted, lambda t: F.struct(
+    ranked = F.sort_array(F.transform(counted, lambda t: F.struct(
         (-t["n"]).alias("n"), t["pos"].alias("pos"), t["term"].alias("term"))))
     return F.transform(F.slice(ranked, 1, limit), lambda t: t["term"])
 
@@ -193,7 +193,7 @@ def entity_lookup(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 def entity_map(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Entities of a document as one ordered array (bounded by what one document names)."""
-    return entities.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
+    return entities.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(
         "pos", "name", "category", "context", "synonyms"))).alias("entities"))
 
 
@@ -214,14 +214,14 @@ def entity_text(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
     part = F.concat(F.col("name"), F.lit(" ("), F.col("context"), F.when(F.size("synonyms") > 0, F.concat(
         F.lit("; also: "), F.array_join(F.slice("synonyms", 1, 5), ", "))).otherwise(F.lit("")), F.lit(")"))
     lines = entities.groupBy(doc, "category").agg(F.concat(
-        F.initcap(F.translate(F.first("category"), "_", " ")), F.lit(": "), F.array_join(F.transform(F.array_sort(
+        F.initcap(F.translate(F.first("category"), "_", " ")), F.lit(": "), F.array_join(F.transform(F.sort_array(
             F.collect_list(F.struct("pos", part.alias("t")))), lambda s: s["t"]), "; ")).alias("line"))
-    return lines.groupBy(doc).agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+    return lines.groupBy(doc).agg(F.array_join(F.transform(F.sort_array(F.collect_list(
         F.struct("category", "line"))), lambda s: s["line"]), "\n").alias("entity_text"))
 
 
 def entities_by_category(entities: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Entity names per document and category, in order."""
     return entities.groupBy(doc, "category").agg(
-        F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))),
+        F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "name"))),
                                                          lambda s: s["name"]), ", ").alias("names"))

@@ -189,7 +189,7 @@ def entity_expand(analysis: DataFrame, lookup: DataFrame, key: str = "query_id",
     hits = terms.join(lookup.select("key", F.lower("name").alias("entity"), F.concat(
         F.col("synonyms"), context).alias("adds")), "key")
     first = hits.groupBy(key, "entity").agg(F.min(F.struct("pos", "adds")).alias("f"))
-    grouped = first.groupBy(key).agg(F.flatten(F.transform(F.array_sort(F.collect_list("f")), lambda s: s["adds"]))
+    grouped = first.groupBy(key).agg(F.flatten(F.transform(F.sort_array(F.collect_list("f")), lambda s: s["adds"]))
                                      .alias("entity_terms"))
     out = analysis.join(grouped, key, "left").withColumn(
         "entity_terms", F.coalesce("entity_terms", F.array().cast(STRINGS)))

@@ -348,7 +348,7 @@ def excerpt(units: DataFrame, doc: str = "doc_id", pos: str = "pos", text: str =
     kept = head.withColumn("_b", F.coalesce(F.sum(F.length("_h")).over(before), F.lit(0))).filter(
         F.col("_b") < total)
     return kept.groupBy(doc).agg(F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct(pos, "_h"))), lambda s: s["_h"]), "\n\n").alias("excerpt"))
+        F.sort_array(F.collect_list(F.struct(pos, "_h"))), lambda s: s["_h"]), "\n\n").alias("excerpt"))
 
 
 def excerpt_in_row(units: Column, per_unit: int = 300, total: int = 3000) -> Column:

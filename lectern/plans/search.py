@@ -327,7 +327,7 @@ def blend(channel_hits: Mapping[str, DataFrame], weights: Mapping[str, float], k
     weight = F.create_map(*[F.lit(x) for c, w in weights.items() for x in (c, float(w))])
     wide = norm.groupBy("query_id", "section_id", "doc_id").agg(
         F.round(F.sum(F.element_at(weight, F.col("channel")) * F.col("norm")), 9).alias("score"),
-        *[at(c).alias(c + "_score") for c in CHANNELS], F.array_sort(F.collect_set("channel")).alias("matched_by"))
+        *[at(c).alias(c + "_score") for c in CHANNELS], F.sort_array(F.collect_set("channel")).alias("matched_by"))
     return top_k(wide, k)
 
 
@@ -429,7 +429,7 @@ def faq_evidence(hits: DataFrame, faqs: DataFrame, k: int = 30) -> DataFrame:
     line = F.concat(F.lit("Q: "), F.col("question"), F.lit("\nA: "), F.col("answer"))
     rows = hits.filter(F.col("rank") <= k).join(faqs.select("faq_id", "document_title", "question", "answer"), "faq_id")
     return rows.groupBy("query_id", "document_title").agg(F.min("rank").alias("first_rank"), F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", line.alias("t")))), lambda s: s["t"]), "\n").alias("evidence"))
+        F.sort_array(F.collect_list(F.struct("rank", line.alias("t")))), lambda s: s["t"]), "\n").alias("evidence"))
 
 
 def faq_fallback(title: Column, faq: Column, summary: Column, limit: int = 260) -> Column:

@@ -143,7 +143,7 @@ def document_bundle(docs: DataFrame, sections: DataFrame, doc: str = "doc_id", l
     Sections past the limit are left out before the collect, so the array is bounded.
     """
     first = sections.filter(F.col("order_index") < limit)
-    nested = first.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct(
+    nested = first.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(
         "order_index", "section_id", "section_title", "body"))).alias("sections"))
     return docs.join(nested, doc, "left")
 

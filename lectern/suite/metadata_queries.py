@@ -146,7 +146,7 @@ def _entity_json(spark, sf):
     kind = F.element_at(F.array(F.lit("role"), F.lit("Benefit "), F.lit("mystery")), (F.col("order_index") % 3 + 1).cast("int"))
     item = F.struct(word.alias("name"), kind.alias("category"), F.concat(F.lit("Seen in line "), F.col("order_index")).alias("context"),
                     F.array(F.concat(word, F.lit("s")), F.lit(" "), F.lower("lang")).alias("synonyms"))
-    per_doc = ln.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("order_index", item.alias("e")))).alias("x"))
+    per_doc = ln.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("order_index", item.alias("e")))).alias("x"))
     return per_doc.select("doc_id", F.concat(F.lit("Here: "), F.to_json(F.transform("x", lambda s: s["e"])), F.lit(" done")).alias("raw"))
 
 
@@ -269,7 +269,7 @@ def gov_regulation_tags(spark, sf):
     """Every line as a paragraph, patterns of words that occur."""
     ln = inputs.lines(spark, sf)
     para = F.concat(F.lit("<p>"), F.translate("body", "<&", "  "), F.lit("</p>"))
-    docs = ln.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", para.alias("p")))),
+    docs = ln.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_index", para.alias("p")))),
                                                              lambda s: s["p"]), "").alias("html"))
     return G.regulation_tags(docs, patterns=TERMS).select("doc_id", "pos", "regulation")
 

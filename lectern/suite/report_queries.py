@@ -43,7 +43,7 @@ WITH {TQ.PAIRS} SELECT conv_id, count(*) AS faqs, md5(string_agg(question || sub
 def report_faq_files(spark, sf):
     """J2."""
     pairs = R.parse_faq_files(TQ.faq_texts(spark, sf), "conv_id", "faq")
-    joined = pairs.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat("question", "answer").alias("t")))),
+    joined = pairs.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", F.concat("question", "answer").alias("t")))),
                                                                         lambda s: s["t"]), "|")).alias("pairs"))
     return R.faq_counts(pairs, "conv_id").join(joined, "conv_id")
 

@@ -204,7 +204,7 @@ def faq_texts(spark, sf):
     line = F.when(F.col("role") == "user", F.concat(F.lit("Q: "), F.replace("text", F.lit("\n"), F.lit(" ")))).otherwise(
         F.concat(F.lit("A: "), "text", F.lit("\n")))
     return c.groupBy("conv_id").agg(F.concat(F.lit("Source: conv/"), F.first("conv_id"), F.lit(".txt\n\n"), F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n")).alias("faq"))
+        F.transform(F.sort_array(F.collect_list(F.struct("turn", line.alias("l")))), lambda s: s["l"]), "\n")).alias("faq"))
 
 
 # pairs of a FAQ text: blocks start at Q:, the answer at the last A: of a block
