@@ -187,12 +187,12 @@ def usage_costs(spark, sf):
 
 
 @query("usage_snapshot", f"""
-WITH {COSTED} SELECT model_name, count(*) AS calls, sum(it)::BIGINT AS input_tokens, sum(ot)::BIGINT AS output_tokens, round(sum(tc), 6) AS total_cost_usd,
+WITH {COSTED} SELECT model_name, count(*) AS calls, sum(it)::BIGINT AS input_tokens, sum(ot)::BIGINT AS output_tokens, round(sum(tc) * 1e6, 2) AS total_cost,
   arg_max(request_id, (ts, request_id)) AS last_request_id FROM totals GROUP BY 1""")
 def usage_snapshot(spark, sf):
     """I16."""
-    return U.usage_snapshot(costed(spark, sf)).select("model_name", "calls", "input_tokens", "output_tokens", F.round("total_cost_usd", 6).alias(
-        "total_cost_usd"), "last_request_id")
+    return U.usage_snapshot(costed(spark, sf)).select("model_name", "calls", "input_tokens", "output_tokens", F.round(F.col("total_cost_usd") * 1e6, 2).alias(
+        "total_cost"), "last_request_id")
 
 
 @query("usage_history", f"WITH {COSTED} SELECT request_id, model_name, round(tc * 1e6, 4) AS total FROM totals ORDER BY ts DESC, request_id DESC LIMIT 100")
@@ -281,7 +281,7 @@ def stream_thread_state(spark, sf):
 
 
 @query("stream_usage_totals", f"""
-WITH {COSTED} SELECT date_trunc('hour', ts) AS hour, model_name, count(*) AS calls, sum(it)::BIGINT AS input_tokens, round(sum(tc), 6) AS total_cost_usd FROM totals GROUP BY 1, 2""")
+WITH {COSTED} SELECT date_trunc('hour', ts) AS hour, model_name, count(*) AS calls, sum(it)::BIGINT AS input_tokens, round(sum(tc) * 1e6, 2) AS total_cost FROM totals GROUP BY 1, 2""")
 def stream_usage_totals(spark, sf):
     """I16 as a stream of hourly totals."""
     ev = _stream(spark, sf, "events").select(
@@ -289,7 +289,7 @@ def stream_usage_totals(spark, sf):
         F.get_json_object("props", "$.k").cast("bigint").alias("output_tokens"), F.col("ts").cast("timestamp").alias("ts"))
     out = _run(spark, jobs.usage_totals_stream(U.call_cost(ev, prices(spark))), "update", ["window", "model_name", "calls", "input_tokens", "total_cost_usd"])
     last = out.groupBy(F.col("window.start").alias("hour"), "model_name").agg(F.max_by(F.struct("calls", "input_tokens", "total_cost_usd"), "epoch").alias("s"))
-    return last.select("hour", "model_name", "s.calls", "s.input_tokens", F.round("s.total_cost_usd", 6).alias("total_cost_usd"))
+    return last.select("hour", "model_name", "s.calls", "s.input_tokens", F.round(F.col("s.total_cost_usd") * 1e6, 2).alias("total_cost"))
 
 
 @query("stream_first_questions", """
