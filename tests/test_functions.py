@@ -41,10 +41,10 @@ def test_labels_follow_lexicon_order(spark):
 
 
 @pytest.mark.parametrize("text,expected", [
-    ("<reasoning>hidden thoughts</reasoning>\nPlans mentioned\nEvidence: D1:S1.E1 - internal\nSource: File A\n- Bali\nReference: File B",
-     "Plans mentioned\n- Bali"),
+    ("<reasoning>hidden thoughts</reasoning>\nPlans mentioned\nEvidence: D1:S1.E1 - internal\nSource: File A\n- Item\nReference: File B",
+     "Plans mentioned\n- Item"),
     ("S2.E1: the plan rewards a lunch.", "the plan rewards a lunch."),
-    ("The End Game【】\nBali []", "The End Game\nBali"),
+    ("The End Game【】\nItem []", "The End Game\nItem"),
 ])
 def test_sanitize(spark, text, expected):
     assert one(spark, T.sanitize_answer(LIT(text)))[0] == expected
