@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from lectern.llm.common import pieces
 
 BLANK = "▁"
-CACHE = 300_000
+CACHE = 600_000
 LONGEST_CACHED = 64
+START = ("", 0, [], {}, "", "")
 
 
 class Codec(dict):
@@ -23,7 +24,7 @@ class Codec(dict):
     A text is cut before each run of blanks, where no merge can reach across (checked on the vocabulary).  For a
     stretch, `last[i]` is the one token that ends the encoding of its first i characters: of the tokens an automaton
     finds ending at i, the one that stands beside `last[i - its length]` when both are encoded together.  The ids are
-    read off backwards.  As a dictionary it keeps what short stretches gave, up to CACHE of them.
+    read off backwards.  As a dictionary it keeps what short stretches gave, up to CACHE of them, in two generations.
     """
 
     def __init__(self, path: str):
@@ -38,16 +39,23 @@ class Codec(dict):
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.text[i] = piece
                 self.rank[piece] = (-model.get_score(i), i)
+        self.shown = {i: p.replace(BLANK, " ") for i, p in self.text.items()}
         self.unknown = model.unk_id()
         self.prefix = BLANK if model.encode("a b", out_type=str)[0].startswith(BLANK) else ""
         self.cut = re.compile(f"{BLANK}+[^{BLANK}]*|[^{BLANK}]+")
         if any(re.search(f"[^{BLANK}]{BLANK}", p) for p in self.rank):
             self.cut = re.compile("(?s).+")
+        self.chars = frozenset(p for p in self.rank if len(p) == 1)
         self.found = ahocorasick.Automaton()
         for piece in self.rank:
-            self.found.add_word(piece, piece)
+            self.found.add_word(piece, self.token(piece, [self.rank[piece][1]]))
         self.found.make_automaton()
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.unseen: dict[str, tuple] = {}
+        self.older: dict[str, tuple[str, str]] = {}
+
+    def token(self, piece: str, ids: list[int]) -> tuple[str, int, list[int], dict[str, bool], str, str]:
+        """Piece, length, ids, what is known of tokens on its left, the ids in decimal, the text they decode to."""
+        return piece, len(piece), ids, {}, ",".join(map(str, ids)), self.pieces_text(ids)
 
     def merged(self, text: str) -> list[str]:
         """Best merge first, leftmost among equals: the definition, used on pairs of tokens only."""
@@ -63,34 +71,53 @@ class Codec(dict):
 
     def fits(self, left: str, right: str) -> bool:
         """Whether the two tokens stay apart and whole when their texts are encoded together."""
-        known = self.beside.get((left, right))
-        if known is None:
-            if len(self.beside) >= 2 * CACHE:
-                self.beside.clear()
-            known = self.beside[left, right] = self.merged(left + right) == ([left, right] if left else [right])
-        return known
-
-    def stretch(self, text: str) -> list[int]:
-        last = [""] * (len(text) + 1)
-        ends: list[list[str]] = [[] for _ in text]
-        for i, piece in self.found.iter(text):
-            ends[i].append(piece)
-        for i, char in enumerate(text):
-            for piece in (*ends[i], *([char] if char not in self.rank else ())):
-                if self.fits(last[i + 1 - len(piece)], piece):
-                    last[i + 1] = piece
-                    break
-            else:
-                raise ValueError(f"no token ends at {i} of {text[max(0, i - 40):i + 1]!r}")
-        ids, at = [], len(text)
+        return self.merged(left + right) == ([left, right] if left else [right])
+
+    def stretch(self, text: str) -> list[tuple]:
+        """The tokens of a stretch."""
+        last: list = [START] + [None] * len(text)
+        found = self.found.iter(text)
+        if not self.chars.issuperset(text):
+            found = self.with_unknown(text, found)
+        for i, token in found:
+            if last[i + 1] is not None:
+                continue
+            left, beside = last[i + 1 - token[1]][0], token[3]
+            good = beside.get(left)
+            if good is None:
+                if len(beside) >= CACHE:
+                    beside.clear()
+                good = beside[left] = self.fits(left, token[0])
+            if good:
+                last[i + 1] = token
+        out, at = [], len(text)
         while at:
-            piece = last[at]
-            if piece in self.rank:
-                ids.append(self.rank[piece][1])
-            else:
-                ids += [self.by_byte.get(b, self.unknown) for b in reversed(piece.encode())]
-            at -= len(piece)
-        return ids[::-1]
+            token = last[at]
+            if token is None:
+                raise ValueError(f"no token ends at {at} of {text[max(0, at - 40):at]!r}")
+            out.append(token)
+            at -= token[1]
+        return out[::-1]
+
+    def with_unknown(self, text: str, found) -> Iterator:
+        """The automaton's matches in order of their ends, and a token of bytes for each character without a piece."""
+        at = 0
+        for i, token in found:
+            while at < i or at == i and text[at] not in self.chars:
+                if text[at] not in self.chars:
+                    yield at, self.as_bytes(text[at])
+                at += 1
+            yield i, token
+        for k in range(at, len(text)):
+            if text[k] not in self.chars:
+                yield k, self.as_bytes(text[k])
+
+    def as_bytes(self, char: str) -> tuple:
+        if char not in self.unseen:
+            if len(self.unseen) >= CACHE:
+                self.unseen.clear()
+            self.unseen[char] = self.token(char, [self.by_byte.get(b, self.unknown) for b in char.encode()])
+        return self.unseen[char]
 
     def pieces_text(self, ids: list[int]) -> str:
         out, run = [], bytearray()
@@ -100,14 +127,18 @@ class Codec(dict):
                 continue
             out.append(run.decode("utf-8", "replace"))
             run.clear()
-            out.append(self.text[i].replace(BLANK, " ") if i in self.text else " ⁇ ")
+            out.append(self.shown.get(i, " ⁇ "))
         return "".join(out) + run.decode("utf-8", "replace")
 
     def __missing__(self, text: str) -> tuple[str, str]:
-        ids = self.stretch(text)
-        made = ",".join(map(str, ids)), self.pieces_text(ids)
+        if text in self.older:
+            made = self.older[text]
+        else:
+            tokens = self.stretch(text)
+            made = ",".join([t[4] for t in tokens]), "".join([t[5] for t in tokens])
         if len(text) <= LONGEST_CACHED:
-            if len(self) >= CACHE:
+            if len(self) >= CACHE:       # two generations: what is asked for again comes back from the older one
+                self.older = dict(self)
                 self.clear()
             self[text] = made
         return made

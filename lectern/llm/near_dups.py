@@ -77,7 +77,7 @@ def intersections(texts: pa.ChunkedArray, size: int, columns: int = 8192) -> tup
 
 
 def near_documents(df: DataFrame, id: str = "doc_id", text: str = "text", size: int = 4, percent: int = 80,
-                   block_rows: int = 256, scratch: Scratch | None = None) -> DataFrame:
+                   block_rows: int = 1024, scratch: Scratch | None = None) -> DataFrame:
     """Per row: its number of distinct shingles, component (smallest id reachable) and whether it is the one kept.
 
     Documents are linked if 100 * intersection >= `percent` * union of their sets of `size`-word shingles (shorter
