@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import codec, near_dups, personal, quality, repeats, secrets, vector_dups
+from lectern.llm import codec, licenses, near_dups, personal, quality, repeats, secrets, url_graph, vector_dups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_license_scan", licenses.oracle())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op2_minhash_near_dedup")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_documents(table(spark, sf_dir, "documents"))
@@ -35,6 +40,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+@query("op4_url_filter")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_graph.judge_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(table(spark, sf_dir, "documents"))
