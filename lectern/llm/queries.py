@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lectern.llm import codec, licenses, near_dups, personal, quality, repeats, secrets, url_graph, vector_dups
+from lectern.llm import codec, decontaminate, licenses, near_dups, personal, quality, repeats, secrets, url_graph, vector_dups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +45,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_graph.judge_urls(table(spark, sf_dir, "pages"))
 
 
+@query("op5_decontamination")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op6_pii")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.find_personal(table(spark, sf_dir, "documents"))
