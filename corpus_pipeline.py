@@ -14,15 +14,20 @@ MASK = "[SECRET]"
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the classifier accepts.  Rows that share an id stay together if any is accepted; null ids stay."""
-    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"))
-    rejected = scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0").select("doc_id")
+    scratch = Scratch(spark)
+    scored = quality.score_quality(docs, table(spark, sf_dir, "labels"), scratch=scratch)
+    rejected = Scratch(spark).store(
+        scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).filter("best = 0").select("doc_id"))
+    scratch.clear()
     return docs.join(rejected, "doc_id", "left_anti").select(docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id; rows equal in id and text stay once, null ids stay."""
-    judged = near_dups.near_documents(docs)
+    scratch = Scratch(spark)
+    judged = near_dups.near_documents(docs, scratch=scratch)
     by_id = Scratch(spark).store(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    scratch.clear()
     left = docs.join(by_id.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
     often = by_id.filter("kept and n > 1").select("doc_id")
     return left.join(often, "doc_id", "left_anti").select(docs.columns).union(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from lectern.llm.common import pieces
 
 BLANK = "▁"
-CACHE = 600_000
+CACHE = 900_000
 LONGEST_CACHED = 64
 START = ("", 0, [], {}, "", "")
 

@@ -40,6 +40,10 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[0])
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        """Delete all tables stored through this object."""
+        self.drop(*(kept for _, kept in self.paths.values()))
+
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text",
            limit: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
