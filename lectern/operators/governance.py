@@ -157,12 +157,14 @@ ELEMENT = r"(?i)<(?:p|li)[^>]*>[^<]*(?:<(?!/?(?:p|li)\b)[^>]*>[^<]*)*</(?:p|li)>
 
 def regulation_tags(docs: DataFrame, html: str = "html", key: str = "doc_id",
                     patterns: Sequence[tuple[str, str]] = fixed.REGULATIONS,
-                    max_bytes: int = 400_000) -> DataFrame:
+                    max_bytes: int | None = None) -> DataFrame:
     """One row per paragraph or list item with the first matching regulation.
 
-    Documents over ``max_bytes`` are passed over; that is the rule, not a sample.
+    All documents by default; with ``max_bytes`` longer ones are passed over.
     """
-    units = docs.filter(F.octet_length(html) <= max_bytes).select(key, F.posexplode(
+    if max_bytes is not None:
+        docs = docs.filter(F.octet_length(html) <= max_bytes)
+    units = docs.select(key, F.posexplode(
         F.regexp_extract_all(F.col(html), F.lit(ELEMENT), F.lit(0))).alias("pos", "element"))
     first = F.coalesce(*[F.when(F.col("element").rlike("(?i)" + p), F.lit(ref)) for p, ref in patterns])
     return units.withColumn("regulation", first).filter(F.col("regulation").isNotNull())

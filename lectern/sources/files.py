@@ -137,12 +137,9 @@ def delete_documents(ids: DataFrame, *tables: DataFrame, doc: str = "doc_id") ->
             for t in tables]
 
 
-def document_bundle(docs: DataFrame, sections: DataFrame, doc: str = "doc_id", limit: int = 500) -> DataFrame:
-    """A document with its sections nested in order, at most ``limit`` (the read's own page size).
-
-    Sections past the limit are left out before the collect, so the array is bounded.
-    """
-    first = sections.filter(F.col("order_index") < limit)
+def document_bundle(docs: DataFrame, sections: DataFrame, doc: str = "doc_id", limit: int | None = None) -> DataFrame:
+    """A document with all its sections nested in order, or the first ``limit`` (a page of them)."""
+    first = sections if limit is None else sections.filter(F.col("order_index") < limit)
     nested = first.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(
         "order_index", "section_id", "section_title", "body"))).alias("sections"))
     return docs.join(nested, doc, "left")

@@ -263,7 +263,7 @@ _FIRST = "CASE " + " ".join(f"WHEN regexp_matches(e, {sql.q('(?i)' + p.replace(c
 
 @query("gov_regulation_tags", f"""
 WITH {inputs.LINES}, e AS (SELECT doc_id, order_index AS pos, '<p>' || replace(replace(body, '<', ' '), '&', ' ') || '</p>' AS e FROM lines),
-s AS (SELECT doc_id FROM lines GROUP BY doc_id HAVING sum(strlen('<p>' || replace(replace(body, '<', ' '), '&', ' ') || '</p>')) <= 400000)
+s AS (SELECT doc_id FROM lines GROUP BY doc_id)
 SELECT doc_id, pos, {_FIRST} AS regulation FROM e JOIN s USING (doc_id) WHERE {_FIRST} IS NOT NULL""")
 def gov_regulation_tags(spark, sf):
     """Every line as a paragraph, patterns of words that occur."""

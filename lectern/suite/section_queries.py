@@ -439,7 +439,7 @@ def ingest_deletes(spark, sf):
 
 
 @query("ingest_bundles", f"""
-WITH {SECTIONS}, b AS (SELECT doc_id, list(section_title ORDER BY order_index) AS t FROM sections WHERE order_index < 500 GROUP BY doc_id)
+WITH {SECTIONS}, b AS (SELECT doc_id, list(section_title ORDER BY order_index) AS t FROM sections GROUP BY doc_id)
 SELECT d.doc_id, d.source, len(t) AS n_sections, array_to_string(t, '|') AS titles FROM documents d LEFT JOIN b USING (doc_id)""")
 def ingest_bundles(spark, sf):
     """Documents with their sections nested."""

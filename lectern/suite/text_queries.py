@@ -124,7 +124,9 @@ def _sanitize(source):
     for tag in T.REASONING:
         x = f"regexp_replace({x}, {sql.q(f'(?is)<{tag}' + chr(92) + 'b[^>]*>.*?</' + tag + '>')}, '', 'g')"
     x = f"regexp_replace({x}, '(?i)</?(?:reasoning|thinking|think|analysis)\\b[^>]*>', '', 'g')"
-    for pattern, to in T.SANITIZE_STEPS:
+    for pattern, to in fixed.SANITIZE_STEPS:
+        if "(?=" in pattern:        # no look-ahead in this engine: what follows is taken and put back
+            pattern, to = pattern.replace("(?=", "("), to + "$1"
         x = f"regexp_replace({x}, {sql.q(pattern)}, {sql.q(to.replace('$', chr(92)))}, 'g')"
     return f"trim({x}, ' ' || chr(9) || chr(10) || chr(13))"
 
