@@ -72,7 +72,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64))
 _STEP = 0x5851F42D4C957F2D
-_powers: list[np.ndarray] = []
+
+
+class _Local(list):
+    """A list that each process fills for itself: empty when sent to a task."""
+
+    def __reduce__(self):
+        return _Local, ()
+
+
+_powers = _Local()
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
