@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed, hof, text as T
 from lectern.functions.lexicon import labels
 from lectern.operators import decisions as D, evidence as E, questions as Q, rerank as R, sections as S
-from lectern.sources.pages import parse_page
+from lectern.sources.pages import page_units
 
 LIT = F.lit
 
@@ -98,14 +98,31 @@ def test_text_units_and_titles(spark):
     assert title == "Travel Rules 2024"
 
 
-def test_page_tree_with_tables_and_unclosed_tags():
-    page = parse_page("<title>T</title><body><nav><p>menu</p></nav><div class='share'><p>noise</p></div><h1>Head</h1><p>one<p>two<ul><li>x<li>y</ul>"
-                      "<table><tr><th>a<td></td><td>b<table><tr><td>in</td></tr></table></td></tr></table><p>one</body>")
+def parsed(spark, html):
+    return page_units(spark.createDataFrame([(html,)], "html string")).first().page
+
+
+def test_page_with_tables_and_unclosed_tags(spark):
+    page = parsed(spark, "<title>T</title><body><nav><p>menu</p></nav><div class='share'><p>noise</p></div><h1>Head</h1><p>one<p>two<ul><li>x<li>y</ul>"
+                         "<table><tr><th>a<td></td><td>b<table><tr><td>in</td></tr></table></td></tr></table><p>one</body>")
     assert [(u["tag"], u["text"]) for u in page["primary"]] == [
         ("h1", "Head"), ("p", "one"), ("p", "two"), ("li", "x"), ("li", "y"), ("table", "a | in")]
     assert page["title"] == "T"
 
 
+def test_deep_and_empty_pages(spark):
+    page = parsed(spark, "<div>" * 3000 + "<p>deep")
+    assert [(u.tag, u.text) for u in page.primary] == [("p", "deep")]
+    for html in (None, "", "<"):
+        assert not parsed(spark, html).primary
+
+
+def test_block_units_of_marked_headings(spark):
+    page = parsed(spark, "<div><div class='title'>Scope</div><div>Who it is for.</div><dl><dt>Term<dd>Meaning</dl></div>")
+    assert [(u.tag, u.text) for u in page.blocks] == [
+        ("h3", "Scope"), ("p", "Who it is for."), ("h3", "Term"), ("p", "Meaning")]
+
+
 def test_question_flags(spark):
     df = spark.createDataFrame([("Please list all contests",), ("what about this one",), ("who approves travel above 5 lakh",)], "question string")
     a, b, c = Q.analyze_questions(df).collect()
