@@ -173,15 +173,20 @@ def canonical_title(c: Column) -> Column:
     return collapse(out)
 
 
-def extract_version(title: Column, text: Column) -> Column:
-    """Version number from the title and the first 600 characters."""
-    return F.regexp_extract(F.concat(title, F.lit("\n"), F.substring(text, 1, 600)),
+def head(c: Column, chars: int | None = None) -> Column:
+    """The first ``chars`` characters; by default the whole text."""
+    return c if chars is None else F.substring(c, 1, chars)
+
+
+def extract_version(title: Column, text: Column, chars: int | None = None) -> Column:
+    """Version number from the title and the text (its first ``chars`` characters)."""
+    return F.regexp_extract(F.concat(title, F.lit("\n"), head(text, chars)),
                             f"(?i){fixed.VERSION}", 1)
 
 
-def extract_date(title: Column, text: Column) -> Column:
-    """Month-name date from the title and the first 1,000 characters, as written."""
-    return strip(F.regexp_extract(F.concat(title, F.lit("\n"), F.substring(text, 1, 1000)),
+def extract_date(title: Column, text: Column, chars: int | None = None) -> Column:
+    """Month-name date from the title and the text (its first ``chars`` characters), as written."""
+    return strip(F.regexp_extract(F.concat(title, F.lit("\n"), head(text, chars)),
                                   f"(?i){fixed.DATE}", 0))
 
 
@@ -344,9 +349,9 @@ def profile_is_empty(p: Column) -> Column:
 
 
 def embedding_text(title: Column, summary: Column, raw: Column, entities: Column | None = None,
-                   faq: Column | None = None, excerpt: int = 600) -> Column:
-    """Title, summary, entities, questions, then the first characters of the raw text."""
-    parts = [title, summary, entities, faq, strip(F.substring(raw, 1, excerpt))]
+                   faq: Column | None = None, excerpt: int | None = None) -> Column:
+    """Title, summary, entities, questions, then the raw text (its first ``excerpt`` characters)."""
+    parts = [title, summary, entities, faq, strip(head(raw, excerpt))]
     return strip(F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts if p is not None]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import fixed
 from lectern.functions.hof import any_contains, let
-from lectern.functions.text import content_kind, fold_case, supports, uniq
+from lectern.functions.text import content_kind, fold_case, head, supports, uniq
 from lectern.operators.evidence import aliases, dedup_evidence, document_limit, evidence_blocks, topic_alignment
 from lectern.operators.rerank import precise_count
 
@@ -111,9 +111,9 @@ def exact_context(hits: DataFrame, scale: float = 0.65, floor: float = 0.55,
 
 def aggregate_signal(title: Column, summary: Column, body: Column, section_type: Column,
                      positive: Sequence[str] = fixed.POSITIVE_MARKERS,
-                     negative: Sequence[str] = fixed.NEGATIVE_MARKERS) -> Column:
+                     negative: Sequence[str] = fixed.NEGATIVE_MARKERS, chars: int | None = None) -> Column:
     """+5 positive marker, +2 component, +1 general type, -6 negative marker."""
-    text = fold_case(F.concat_ws(" ", title, summary, F.substring(body, 1, 500)))
+    text = fold_case(F.concat_ws(" ", title, summary, head(body, chars)))
     return let(text, lambda t: F.when(any_contains(t, positive), 5).otherwise(0) + F.when(
         t.contains("component"), 2).otherwise(0) + F.when(section_type == "general", 1).otherwise(0) - F.when(
         any_contains(t, negative), 6).otherwise(0))
@@ -151,9 +151,9 @@ def evidence_table(candidates: DataFrame, preset: str = "high") -> DataFrame:
 
 
 # --- grounding ------------------------------------------------------------------------
-def needs_grounding(answer: Column) -> Column:
-    """A digit in the first 600 characters."""
-    return F.substring(answer, 1, 600).rlike(r"\d")
+def needs_grounding(answer: Column, chars: int | None = None) -> Column:
+    """A digit in the answer (its first ``chars`` characters)."""
+    return head(answer, chars).rlike(r"\d")
 
 
 def numbers(c: Column) -> Column:

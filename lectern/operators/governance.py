@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import fixed
 from lectern.functions.hof import any_contains, let, lits
-from lectern.functions.text import strip_tags, words
+from lectern.functions.text import head, strip_tags, words
 
 Rules = Sequence[tuple[str, Sequence[str]]]
 
@@ -103,12 +103,12 @@ def first_rule(text: Column, rules: Rules, default: str) -> Column:
 
 
 def governance(docs: DataFrame, name: str = "file_name", text: str = "text",
-               rules: Mapping[str, tuple[Rules, str]] = GOVERNANCE) -> DataFrame:
-    """Document type, audience (also from the first 3,000 characters), category, owner, review."""
+               rules: Mapping[str, tuple[Rules, str]] = GOVERNANCE, chars: int | None = None) -> DataFrame:
+    """Document type, audience (also from the text, or its first ``chars`` characters), category, owner, review."""
     low = F.lower(F.col(name))
     out = docs
     for column, (ordered, default) in rules.items():
-        where = F.concat(low, F.lower(F.substring(F.col(text), 1, 3000))) if column == "audience" else low
+        where = F.concat(low, F.lower(head(F.col(text), chars))) if column == "audience" else low
         out = out.withColumn(column, first_rule(where, ordered, default))
     return out.withColumn("review_cycle", review_cycle(F.col("doc_type")))
 
@@ -147,9 +147,9 @@ def governance_version(name: Column, text: Column) -> Column:
                                            _search(name, r"(?i)v[.\s]*(\d+[\d.]+)"), F.lit("1.0")))
 
 
-def classification(name: Column, text: Column, rules: Rules = CLASSIFICATION_RULES) -> Column:
-    """Sensitivity class from the name and the first 500 characters."""
-    return first_rule(F.lower(F.concat(name, F.substring(text, 1, 500))), rules, "INTERNAL USE ONLY")
+def classification(name: Column, text: Column, rules: Rules = CLASSIFICATION_RULES, chars: int | None = None) -> Column:
+    """Sensitivity class from the name and the text (its first ``chars`` characters)."""
+    return first_rule(F.lower(F.concat(name, head(text, chars))), rules, "INTERNAL USE ONLY")
 
 
 ELEMENT = r"(?i)<(?:p|li)[^>]*>[^<]*(?:<(?!/?(?:p|li)\b)[^>]*>[^<]*)*</(?:p|li)>"
@@ -225,7 +225,7 @@ def markup_title(html: Column, name: Column) -> Column:
 
 def improvement_report(docs: DataFrame, name: str = "file_name", text: str = "text",
                        fallbacks: Mapping[str, str] | None = None, weak_titles: Sequence[str] = (),
-                       rules: Mapping[str, tuple[Rules, str]] = GOVERNANCE) -> DataFrame:
+                       rules: Mapping[str, tuple[Rules, str]] = GOVERNANCE, chars: int | None = None) -> DataFrame:
     """One row per file with its inferred attributes and notes, ``Clean`` when there are none."""
     n, t = F.col(name), F.col(text)
     kb = F.floor(F.octet_length(t) / 1024)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions.hof import STRINGS, count_terms, let
 from lectern.functions.lexicon import Lexicon, first_label, labels, phrases_found
-from lectern.functions.text import (canonical_title, extract_date, extract_version, file_stem, humanize,
+from lectern.functions.text import (canonical_title, extract_date, extract_version, file_stem, head, humanize,
                                     informative_keywords, keywordize, normalize_text, parsed_date, strip, uniq)
 
 
@@ -20,19 +20,21 @@ def _join(*parts: Column) -> Column:
     return F.concat_ws("\n", *parts)
 
 
-def document_type(title: Column, text: Column, lexicon: Lexicon = fixed.DOCUMENT_TYPES) -> Column:
-    """First label over the title and the first 1,200 characters, else ``document``."""
-    return first_label(_join(title, F.substring(text, 1, 1200)), lexicon, "document")
+def document_type(title: Column, text: Column, lexicon: Lexicon = fixed.DOCUMENT_TYPES,
+                  chars: int | None = None) -> Column:
+    """First label over the title and the text (its first ``chars`` characters), else ``document``."""
+    return first_label(_join(title, head(text, chars)), lexicon, "document")
 
 
-def section_type(title: Column, text: Column, lexicon: Lexicon = fixed.SECTION_TYPES) -> Column:
-    """First label over the title and the first 900 characters, else ``general``."""
-    return first_label(_join(title, F.substring(text, 1, 900)), lexicon, "general")
+def section_type(title: Column, text: Column, lexicon: Lexicon = fixed.SECTION_TYPES,
+                 chars: int | None = None) -> Column:
+    """First label over the title and the text (its first ``chars`` characters), else ``general``."""
+    return first_label(_join(title, head(text, chars)), lexicon, "general")
 
 
-def audiences(title: Column, text: Column, words: Sequence[str] = fixed.AUDIENCES) -> Column:
-    """Audience words that are substrings of the title and the first 2,000 characters."""
-    return phrases_found(_join(title, F.substring(text, 1, 2000)), words)
+def audiences(title: Column, text: Column, words: Sequence[str] = fixed.AUDIENCES, chars: int | None = None) -> Column:
+    """Audience words that are substrings of the title or the text (its first ``chars`` characters)."""
+    return phrases_found(_join(title, head(text, chars)), words)
 
 
 def auto_tags(parts: Sequence[tuple[Column, float]], limit: int) -> Column:
@@ -70,20 +72,22 @@ def _or_else(first: Column, then: Column) -> Column:
     return let(first, lambda a: F.when(F.size(a) > 0, a).otherwise(then))
 
 
-def document_tags(title: Column, path: Column, text: Column, topics: Lexicon = fixed.TOPICS) -> Column:
+def document_tags(title: Column, path: Column, text: Column, topics: Lexicon = fixed.TOPICS,
+                  chars: int | None = None) -> Column:
     """From title, canonical title and file stem; then title and text; then the topic lexicon."""
     return _first_non_empty(
         auto_tags([(title, 4), (canonical_title(title), 3), (F.translate(file_stem(path), "_", " "), 2)], 6),
-        auto_tags([(title, 3), (F.substring(text, 1, 2500), 1)], 6),
-        labels(_join(title, F.substring(text, 1, 2000)), topics))
+        auto_tags([(title, 3), (head(text, chars), 1)], 6),
+        labels(_join(title, head(text, chars)), topics))
 
 
-def section_tags(doc_title: Column, title: Column, text: Column, topics: Lexicon = fixed.TOPICS) -> Column:
+def section_tags(doc_title: Column, title: Column, text: Column, topics: Lexicon = fixed.TOPICS,
+                 chars: int | None = None) -> Column:
     """D3, D4 for sections: section title and document title; then title and text; then topics."""
     return _first_non_empty(
         auto_tags([(title, 4), (doc_title, 2)], 5),
-        auto_tags([(title, 3), (F.substring(text, 1, 1400), 1)], 5),
-        labels(_join(doc_title, title, F.substring(text, 1, 1200)), topics))
+        auto_tags([(title, 3), (head(text, chars), 1)], 5),
+        labels(_join(doc_title, title, head(text, chars)), topics))
 
 
 def keywords(parts: Column, limit: int = 16) -> Column:
@@ -130,7 +134,7 @@ def document_metadata(docs: DataFrame, title: str = "title", path: str = "source
     tags = F.concat(F.col("metadata_tags"), F.col("audiences"))
     return (out.withColumn("keywords", keywords(F.concat(
                 F.array(t, F.col("canonical_title"), F.translate(file_stem(p), "_", " ")), tags,
-                F.array(F.substring(x, 1, 2500)))))
+                F.array(x))))
             .withColumn("token_counts", token_counts(F.concat(
                 F.array(t, F.col("canonical_title")), tags, F.array(x))))
             .withColumn("token_length", token_length(F.col("token_counts"))))
@@ -145,7 +149,7 @@ def section_metadata(sections: DataFrame, doc_title: str = "document_title", tit
            .withColumn("metadata_tags", section_tags(d, t, x, topics))
            .withColumn("title_terms", title_terms(t)))
     tags = F.col("metadata_tags")
-    return (out.withColumn("keywords", keywords(F.concat(F.array(t), tags, F.array(F.substring(x, 1, 1600)))))
+    return (out.withColumn("keywords", keywords(F.concat(F.array(t), tags, F.array(x))))
             .withColumn("token_counts", token_counts(F.concat(F.array(t, d), tags, F.array(x))))
             .withColumn("token_length", token_length(F.col("token_counts"))))
 

@@ -39,15 +39,15 @@ def parse_ingestion_logs(logs: DataFrame, text: str = "value") -> DataFrame:
         _field(t, "Tags").alias("tags"), _field(t, "Keywords").alias("keywords"),
         F.coalesce(F.regexp_extract(t, r"Section count:\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias("sections"),
         t.contains("=== Document Summary ===").alias("has_summary"), F.when(
-            t.contains("=== Document Summary ==="), F.substring(strip(F.split(F.split(
-                t, "=== Document Summary ===", 3)[1], "=== Section", 2)[0]), 1, 500)).otherwise("").alias("summary"),
+            t.contains("=== Document Summary ==="), strip(F.split(F.split(
+                t, "=== Document Summary ===", 3)[1], "=== Section", 2)[0])).otherwise("").alias("summary"),
         _field(t, "Source file name").alias("source_file"))
 
 
 def parse_faq_files(files: DataFrame, doc: str = "document", text: str = "value") -> DataFrame:
-    """One row per question-and-answer pair, answers cut at 300 characters."""
+    """One row per question-and-answer pair."""
     return files.select(doc, F.posexplode(parse_faq(F.col(text))).alias("n", "p")).select(
-        doc, "n", "p.question", F.substring("p.answer", 1, 300).alias("answer"))
+        doc, "n", "p.question", "p.answer")
 
 
 def faq_counts(pairs: DataFrame, doc: str = "document") -> DataFrame:
@@ -55,25 +55,24 @@ def faq_counts(pairs: DataFrame, doc: str = "document") -> DataFrame:
 
 
 def parse_retrieval_logs(logs: DataFrame, text: str = "value") -> DataFrame:
-    """Question, intent, likely documents, top score, answer head and answered flag of a retrieval log."""
+    """Question, intent, likely documents, top score, answer and answered flag of a retrieval log."""
     t = F.col(text)
-    answer = F.substring(strip(F.regexp_extract(
-        t, r"=== Final Answer ===\s*([\s\S]+?)(?:=== Sources ===|\z)", 1)), 1, 400)
+    answer = strip(F.regexp_extract(t, r"=== Final Answer ===\s*([\s\S]+?)(?:=== Sources ===|\z)", 1))
     out = logs.select(
         *[c for c in logs.columns if c != text], _field(t, "User question").alias("question"),
         _field(t, "Inferred answer intent").alias("intent"),
-        F.substring(_field(t, "Likely matching documents"), 1, 100).alias("top_docs"),
+        _field(t, "Likely matching documents").alias("top_docs"),
         F.regexp_extract(t, r"score=([\d.]+)", 1).try_cast("double").alias("top_score"), answer.alias("_a"))
     return out.filter(F.col("question") != "").withColumn(
-        "answered", (F.col("_a") != "") & ~F.lower("_a").contains("couldn't find")).withColumn(
-        "answer", F.substring("_a", 1, 200)).drop("_a")
+        "answered", (F.col("_a") != "") & ~F.lower("_a").contains("couldn't find")).withColumnRenamed(
+        "_a", "answer")
 
 
 def parse_failures(logs: DataFrame, name: str = "file_name", text: str = "value") -> DataFrame:
     """J4."""
     t = F.col(text)
     return logs.select(F.coalesce(F.nullif(_field(t, "Source file name"), F.lit("")), F.col(name)).alias("file"),
-                       F.substring(_field(t, "Reason", "unknown"), 1, 200).alias("reason"))
+                       _field(t, "Reason", "unknown").alias("reason"))
 
 
 def corpus_quality(docs: DataFrame) -> DataFrame:

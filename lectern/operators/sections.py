@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from lectern.functions import fixed
 from lectern.functions.hof import STRINGS, indices, let, pack, slices_from
-from lectern.functions.text import (clean_whitespace, collapse, estimate_tokens, file_stem, fold_case,
+from lectern.functions.text import (clean_whitespace, collapse, estimate_tokens, file_stem, fold_case, head,
                                     strip, strip_tags, truncate, words)
 
 UNITS = "array<struct<tag:string,text:string>>"
@@ -329,10 +329,11 @@ def toc(html: Column) -> Column:
     return let(F.regexp_extract_all(html, F.lit(r"(?i)<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>"), F.lit(0)), build)
 
 
-def overview(html: Column, heads: str = "purpose|scope|introduction|overview") -> Column:
-    """The paragraph after a purpose-like heading, 41 to 400 characters; else null."""
+def overview(html: Column, heads: str = "purpose|scope|introduction|overview",
+             chars: int | None = None) -> Column:
+    """The paragraph after a purpose-like heading, of 41 characters or more (its first ``chars``); else null."""
     hit = F.regexp_extract(html, rf"(?is)(?:{heads})[^>]*</h[1-4]>\s*<p[^>]*>(.*?)</p>", 1)
-    return let(F.substring(strip_tags(hit), 1, 400), lambda t: F.when(F.length(t) > 40, t))
+    return let(head(strip_tags(hit), chars), lambda t: F.when(F.length(t) > 40, t))
 
 
 def needs_explanation(text: Column, is_image: Column, min_chars: int = 250) -> Column:

@@ -27,13 +27,15 @@ ENGLISH_STOP = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "
                 "this", "to", "was", "will", "with")
 TEXT_FIELDS = ("section_title", "document_title", "summary", "body")
 SIMILARITY_FIELDS = ("body", "summary", "section_title")
+ALL = (1 << 31) - 1
+SCORES = 4_000_000
 
 
 # --- analysis -------------------------------------------------------------------
 def analyze(c: Column, stopwords: Sequence[str] = ENGLISH_STOP) -> Column:
     """words of letters and digits, lower case, stop words left out.
 
-    Stemming is a map over the vocabulary (``apply_stems``), identity by default.
+    Stemming is a map over words (``stem``, such as ``light_stem``), none by default.
     """
     return F.filter(F.regexp_extract_all(fold_case(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
                     lambda t: ~t.isin(*stopwords))
@@ -137,17 +139,16 @@ def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 # --- channels ---------------------------------------------------------------------
-def _pairs(index: Index, wanted: DataFrame, **join) -> DataFrame:
-    """(query_id, section_id, doc_id, field, hits, score) before any cut."""
-    hits = term_join(index.postings, wanted, ["field", "term"], "section_id", **join)
+def _pairs(index: Index, wanted: DataFrame, within: DataFrame | None = None, **join) -> DataFrame:
+    """(query_id, section_id, doc_id, field, score) before any cut; F15: only postings of the sections in ``within``."""
+    postings = index.postings if within is None else index.postings.join(
+        within.select("section_id"), "section_id", "left_semi")
+    hits = term_join(postings, wanted, ["field", "term"], "section_id", **join)
     return hits.withColumn("_s", F.col("w") * F.col("impact"))
 
 
-def _visible(pairs: DataFrame, questions: DataFrame, grants: DataFrame | None, within: DataFrame | None = None
-             ) -> DataFrame:
-    """Metadata and access filters come before any limit, so hidden sections never use up a place."""
-    if within is not None:
-        pairs = pairs.join(within.select("section_id"), "section_id", "left_semi")
+def _visible(pairs: DataFrame, questions: DataFrame, grants: DataFrame | None) -> DataFrame:
+    """F16: access filters come before any limit, so hidden sections never use up a place."""
     if grants is None:
         return pairs
     who = questions.select("query_id", F.col("user_id").cast("string").alias("user_id"))
@@ -175,8 +176,8 @@ def keyword_search(questions: DataFrame, index: Index, k: int = 10, boosts: Mapp
         "query_id", "field", "term", (F.col("idf") * F.col("qw") * F.element_at(boost, F.col("field"))).alias("w")))
     per_field = [F.sum(F.when(F.col("field") == f, F.col("_s")).otherwise(0.0)) for f in fields]
     best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
-    scored = _pairs(index, wanted, **join).groupBy("query_id", "section_id", "doc_id").agg(best.alias("score"))
-    return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants, within), k)
+    scored = _pairs(index, wanted, within, **join).groupBy("query_id", "section_id", "doc_id").agg(best.alias("score"))
+    return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants), k)
 
 
 def similarity_search(questions: DataFrame, index: Index, k: int = 10, max_terms: int = 25, share: float = 0.3,
@@ -203,17 +204,23 @@ def similarity_search(questions: DataFrame, index: Index, k: int = 10, max_terms
     return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants), k)
 
 
-HITS = "query_id long, section_id string, doc_id long, score double"
+def _hits(qs: DataFrame, ss: DataFrame) -> str:
+    """Schema of hits: ids keep the types they came with."""
+    kind = {f.name: f.dataType.simpleString() for f in [*ss.schema, *qs.schema]}
+    return ", ".join(f"{c} {kind[c]}" for c in ("query_id", "section_id", "doc_id")) + ", score double"
 
 
 def _best_of(matrix: np.ndarray, ids: pd.DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
-    """The first ``k`` rows per query of one block, ties by section id."""
-    scores = np.round(matrix @ queries.T, 9)
-    cut = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else scores.min(axis=0)
-    row, col = np.nonzero(scores >= cut)
-    out = ids.iloc[row].reset_index(drop=True)
-    out["query_id"], out["score"] = query_ids[col], scores[row, col]
-    return _first(out, k)
+    """The first ``k`` rows per query of one block, ties by section id; at most SCORES scores are held at once."""
+    step, parts = max(1, SCORES // len(matrix)), []
+    for lo in range(0, len(queries), step):
+        scores = np.round(matrix @ queries[lo:lo + step].T, 9)
+        cut = np.partition(scores, len(scores) - k, axis=0)[len(scores) - k] if len(scores) > k else scores.min(axis=0)
+        row, col = np.nonzero(scores >= cut)
+        out = ids.iloc[row].reset_index(drop=True)
+        out["query_id"], out["score"] = query_ids[lo:lo + step][col], scores[row, col]
+        parts.append(_first(out, k))
+    return pd.concat(parts)
 
 
 def _first(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -237,8 +244,8 @@ def vector_search(questions: DataFrame, sections: DataFrame, k: int = 10, grants
     """
     unit = lambda df, *c: df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(
         *c, l2_normalize(F.col("vector")).alias("v"))
-    qs = unit(questions, F.col("query_id").cast("long"), *(["user_id"] if grants is not None else []))
-    ss = unit(sections, "section_id", F.col("doc_id").cast("long"))
+    qs = unit(questions, "query_id", *(["user_id"] if grants is not None else []))
+    ss = unit(sections, "section_id", "doc_id")
     if grants is None:
         size = qs.agg(F.sum(F.size("v"))).first()[0] or 0
         if size <= max_query_values:
@@ -260,7 +267,7 @@ def vector_search(questions: DataFrame, sections: DataFrame, k: int = 10, grants
 def _broadcast_vectors(qs: DataFrame, ss: DataFrame, k: int) -> DataFrame:
     rows = qs.select("query_id", "v").toPandas()          # size checked by the caller
     if rows.empty:
-        return qs.sparkSession.createDataFrame([], HITS)
+        return qs.sparkSession.createDataFrame([], _hits(qs, ss))
     shared = qs.sparkSession.sparkContext.broadcast((_stack(rows["v"]), rows["query_id"].to_numpy()))
 
     def scan(batches):
@@ -272,7 +279,7 @@ def _broadcast_vectors(qs: DataFrame, ss: DataFrame, k: int) -> DataFrame:
                 best = new if best is None else _first(pd.concat([best, new]), k)
         if best is not None:
             yield best[["query_id", "section_id", "doc_id", "score"]]
-    return ss.mapInPandas(scan, HITS)
+    return ss.mapInPandas(scan, _hits(qs, ss))
 
 
 def _blocked_vectors(qs: DataFrame, ss: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
@@ -292,7 +299,7 @@ def _blocked_vectors(qs: DataFrame, ss: DataFrame, k: int, block_rows: int, bloc
         return _best_of(_stack(a["v"]), a[["section_id", "doc_id"]], _stack(b["v"]), b["query_id"].to_numpy(), k)[
             ["query_id", "section_id", "doc_id", "score"]]
     keys = ["scope", "sb", "qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, HITS)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, _hits(qs, ss))
 
 
 # --- blending ----------------------------------------------------------------------
@@ -376,14 +383,14 @@ def resolve(hits: DataFrame, sections: DataFrame) -> DataFrame:
 
 # --- document search and questions-and-answers ---------------------------------------
 def search_documents(questions: DataFrame, index: Index, sections: DataFrame, page: int = 1, size: int = 10,
-                     grants: DataFrame | None = None, **options) -> DataFrame:
-    """best section per document of the first min(8·size, 200) hits, one page of them."""
-    hits = keyword_search(questions, index, min(size * 8, 200), grants=grants, **options)
+                     grants: DataFrame | None = None, most: int = ALL, **options) -> DataFrame:
+    """best section per document of all hits (the first ``most``), one page of them; ``total`` counts all."""
+    hits = keyword_search(questions, index, most, grants=grants, **options)
     best = hits.groupBy("query_id", "doc_id").agg(F.max_by(F.struct("section_id", "score"), F.struct(
         F.col("score"), -F.col("rank"))).alias("b")).select("query_id", "doc_id", "b.section_id", "b.score")
-    ranked = top_k(best, 200, tie=("section_id",), rank="position")
+    ranked = top_k(best, page * size, tie=("section_id",), rank="position")
     total = best.groupBy("query_id").agg(F.count("*").alias("total"))
-    shown = ranked.filter((F.col("position") > (page - 1) * size) & (F.col("position") <= page * size))
+    shown = ranked.filter(F.col("position") > (page - 1) * size)
     source = F.col("body") if "summary" not in sections.columns else F.coalesce(
         F.nullif(F.col("summary"), F.lit("")), F.col("body"))
     t = F.col("_t")
@@ -409,13 +416,13 @@ def faq_fastpath(questions: DataFrame, faqs: DataFrame, min_score: float = 0.92,
         faqs.select("faq_id", F.col("question").alias("faq_question"), "answer"), "faq_id")
 
 
-def related_questions(hits: DataFrame, faqs: DataFrame, questions: DataFrame, k: int = 3, min_score: float = 0.55
-                      ) -> DataFrame:
+def related_questions(hits: DataFrame, faqs: DataFrame, questions: DataFrame, k: int = 3, min_score: float = 0.55,
+                      most: int = ALL) -> DataFrame:
     """up to three near stored questions, not the asked one, unique whatever the case.
 
-    ``hits`` is a faq search with k + 5 rows per question.
+    All ``hits`` of the faq search count (the first ``most`` of a question).
     """
-    near = hits.filter((F.col("score") >= min_score) & (F.col("rank") <= k + 5)).join(
+    near = hits.filter((F.col("score") >= min_score) & (F.col("rank") <= most)).join(
         faqs.select("faq_id", F.col("question").alias("related")), "faq_id").join(
         questions.select("query_id", "question"), "query_id")
     key = lambda c: fold_case(F.btrim(F.col(c)))
@@ -473,8 +480,8 @@ def section_hints(fallback: DataFrame, sections: DataFrame, k: int = 5, min_scor
 
 def inject_document(hits: DataFrame, lookups: DataFrame, sections: DataFrame, min_score: float = 0.55) -> DataFrame:
     """lookups(query_id, doc_id, lookup_score) over the mark replace a question's hits by the whole document."""
-    named = lookups.filter(F.col("lookup_score") >= min_score).groupBy("query_id").agg(F.max_by(
-        "doc_id", F.struct(F.col("lookup_score"), -F.col("doc_id"))).alias("doc_id"))
+    named = lookups.filter(F.col("lookup_score") >= min_score).groupBy("query_id").agg(F.min_by(
+        "doc_id", F.struct(-F.col("lookup_score"), F.col("doc_id"))).alias("doc_id"))
     whole = named.join(sections.select("doc_id", "section_id", "order_index"), "doc_id").select(
         "query_id", "section_id", "doc_id", F.lit(1.0).alias("score"), (F.col("order_index") + 1).alias("rank"))
     kept = hits.select("query_id", "section_id", "doc_id", "score", "rank").join(named, "query_id", "left_anti")

@@ -22,11 +22,12 @@ def access_grants(spark, sf):
 
 @query("access_revocations", f"""
 WITH {inputs.GRANTS} SELECT g.user_id, g.doc_id FROM grants g WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id::VARCHAR = g.doc_id)
-  AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND e.user_id::VARCHAR = g.user_id AND (e.event_id % 1000)::VARCHAR = g.doc_id)""")
+  AND NOT EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'error' AND e.user_id::VARCHAR = g.user_id AND (e.event_id % (SELECT count(*) FROM documents))::VARCHAR = g.doc_id)""")
 def access_revocations(spark, sf):
     """H3, H4: errors revoke their own grant, toxic documents lose all grants."""
+    n = table(spark, sf, "documents").count()
     pairs = table(spark, sf, "events").filter("event_type = 'error'").select(
-        F.col("user_id").cast("string").alias("user_id"), (F.col("event_id") % 1000).cast("string").alias("doc_id"))
+        F.col("user_id").cast("string").alias("user_id"), (F.col("event_id") % n).cast("string").alias("doc_id"))
     g = A.revoke(inputs.grants(spark, sf), pairs)
     return A.revoke_document(g, table(spark, sf, "labels").filter("toxic = 1")).select("user_id", "doc_id")
 

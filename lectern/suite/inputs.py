@@ -59,9 +59,9 @@ def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def grants(spark: SparkSession, sf: str) -> DataFrame:
-    """Grants from events: a user gets the document event_id % 1000; users divisible by 50 are administrators."""
-    ev = table(spark, sf, "events")
-    some = ev.select(F.col("user_id").cast("string").alias("user_id"), (F.col("event_id") % 1000).cast(
+    """Grants from events: a user gets the document whose id is event_id modulo the number of documents; users divisible by 50 are administrators."""
+    ev, n = table(spark, sf, "events"), table(spark, sf, "documents").count()
+    some = ev.select(F.col("user_id").cast("string").alias("user_id"), (F.col("event_id") % n).cast(
         "string").alias("doc_id"), F.col("ts").cast("timestamp").alias("granted_at"))
     boss = ev.filter("user_id % 50 = 0").select(F.col("user_id").cast("string").alias("user_id"),
                                                 F.lit("*").alias("doc_id"), F.col("ts").cast("timestamp").alias("granted_at"))
@@ -69,7 +69,7 @@ def grants(spark: SparkSession, sf: str) -> DataFrame:
 
 
 GRANTS = ("grants AS (SELECT user_id, doc_id, max(granted_at) AS granted_at FROM (SELECT user_id::VARCHAR AS user_id, "
-          "(event_id % 1000)::VARCHAR AS doc_id, ts AS granted_at FROM events UNION ALL SELECT user_id::VARCHAR, '*', ts "
+          "(event_id % (SELECT count(*) FROM documents))::VARCHAR AS doc_id, ts AS granted_at FROM events UNION ALL SELECT user_id::VARCHAR, '*', ts "
           "FROM events WHERE user_id % 50 = 0) GROUP BY 1, 2)")
 
 

@@ -16,7 +16,7 @@ def labelled(source, text, lexicon):
 
 
 @query("meta_document_types", f"""
-WITH {inputs.TITLED}, x AS (SELECT doc_id, title || chr(10) || substr(text, 1, 1200) AS x FROM titled), {labelled('x', 'x', TYPES)}
+WITH {inputs.TITLED}, x AS (SELECT doc_id, title || chr(10) || text AS x FROM titled), {labelled('x', 'x', TYPES)}
 SELECT doc_id, coalesce(labels[1], 'document') AS document_type FROM l1""")
 def meta_document_types(spark, sf):
     """D1."""
@@ -25,7 +25,7 @@ def meta_document_types(spark, sf):
 
 
 @query("meta_section_types", f"""
-WITH {inputs.LINES}, x AS (SELECT section_id, section_title || chr(10) || substr(body, 1, 900) AS x FROM lines), {labelled('x', 'x', inputs.LEXICON)}
+WITH {inputs.LINES}, x AS (SELECT section_id, section_title || chr(10) || body AS x FROM lines), {labelled('x', 'x', inputs.LEXICON)}
 SELECT section_id, coalesce(labels[1], 'general') AS section_type FROM l1""")
 def meta_section_types(spark, sf):
     """D2."""
@@ -34,7 +34,7 @@ def meta_section_types(spark, sf):
 
 
 @query("meta_audiences", f"""
-WITH {inputs.TITLED}, x AS (SELECT doc_id, title || chr(10) || substr(text, 1, 2000) AS x FROM titled), n AS (SELECT doc_id, {sql.norm('x')} AS n FROM x)
+WITH {inputs.TITLED}, x AS (SELECT doc_id, title || chr(10) || text AS x FROM titled), n AS (SELECT doc_id, {sql.norm('x')} AS n FROM x)
 SELECT doc_id, array_to_string(list_filter({sql.arr(WORDS)}, lambda w: contains(n, w)), '|') AS audiences FROM n""")
 def meta_audiences(spark, sf):
     """D5."""
@@ -60,8 +60,8 @@ _CANON = f"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
   {sql.q(fixed.VERSION)}, '', 'gi'), {sql.q(fixed.DATE)}, '', 'gi'), '\\bmajor version\\b', '', 'g'), '\\bfinal\\b', '', 'g'), '[_\\-]+', ' ', 'g')"""
 DOC_TAGS = f"""{inputs.TITLED}, tagged_in AS (SELECT doc_id AS id, title, stem, text, {sql.collapse(_CANON)} AS canonical FROM titled),
 {ranked_tags([('title', 4), ('canonical', 3), ('stem', 2)], 'tagged_in', 'tags_a', 6)},
-{ranked_tags([('title', 3), ('substr(text, 1, 2500)', 1)], 'tagged_in', 'tags_b', 6)},
-tagged_x AS (SELECT id, title || chr(10) || substr(text, 1, 2000) AS x FROM tagged_in), {labelled('tagged_x', 'x', inputs.LEXICON)},
+{ranked_tags([('title', 3), ('text', 1)], 'tagged_in', 'tags_b', 6)},
+tagged_x AS (SELECT id, title || chr(10) || text AS x FROM tagged_in), {labelled('tagged_x', 'x', inputs.LEXICON)},
 doc_tags AS (SELECT t.id AS doc_id, CASE WHEN len(a.tags) > 0 THEN a.tags WHEN len(b.tags) > 0 THEN b.tags ELSE l.labels END AS tags
   FROM tagged_in t LEFT JOIN tags_a a USING (id) LEFT JOIN tags_b b USING (id) LEFT JOIN l1 l USING (id))"""
 
@@ -76,8 +76,8 @@ def meta_document_tags(spark, sf):
 @query("meta_section_tags", f"""
 WITH {inputs.LINES}, i AS (SELECT section_id AS id, section_title, document_title, body FROM lines),
 {ranked_tags([('section_title', 4), ('document_title', 2)], 'i', 'a', 5)},
-{ranked_tags([('section_title', 3), ('substr(body, 1, 1400)', 1)], 'i', 'b', 5)},
-x AS (SELECT id, document_title || chr(10) || section_title || chr(10) || substr(body, 1, 1200) AS x FROM i), {labelled('x', 'x', inputs.LEXICON)}
+{ranked_tags([('section_title', 3), ('body', 1)], 'i', 'b', 5)},
+x AS (SELECT id, document_title || chr(10) || section_title || chr(10) || body AS x FROM i), {labelled('x', 'x', inputs.LEXICON)}
 SELECT id AS section_id, array_to_string(CASE WHEN len(a.tags) > 0 THEN a.tags WHEN len(b.tags) > 0 THEN b.tags ELSE l.labels END, '|') AS tags
 FROM i LEFT JOIN a USING (id) LEFT JOIN b USING (id) LEFT JOIN l1 l USING (id)""")
 def meta_section_tags(spark, sf):
@@ -96,13 +96,13 @@ def top_keywords(source, parts_cte, name):
 
 @query("meta_keywords", f"""
 WITH {inputs.TITLED}, p AS (SELECT doc_id AS id, 0 AS part, title AS x FROM titled UNION ALL SELECT doc_id, 1, stem FROM titled
-  UNION ALL SELECT doc_id, 2, substr(text, 1, 2500) FROM titled), {top_keywords('titled', 'p', 'kw')}
+  UNION ALL SELECT doc_id, 2, text FROM titled), {top_keywords('titled', 'p', 'kw')}
 SELECT d.doc_id, coalesce(array_to_string(kws, '|'), '') AS keywords FROM documents d LEFT JOIN kw ON kw.id = d.doc_id""")
 def meta_keywords(spark, sf):
     """D6."""
     d = inputs.first_line_documents(spark, sf)
     stem = F.translate(F.regexp_replace(F.regexp_extract("source_path", r"([^/]*)$", 1), r"\.[^.]*$", ""), "_", " ")
-    return d.select("doc_id", F.array_join(M.keywords(F.array("title", stem, F.substring("text", 1, 2500))), "|").alias("keywords"))
+    return d.select("doc_id", F.array_join(M.keywords(F.array("title", stem, "text")), "|").alias("keywords"))
 
 
 @query("meta_term_counts", f"""
@@ -223,7 +223,7 @@ def rule_sql(x, rules, default):
 
 _REVIEW = "CASE doc_type " + " ".join(f"WHEN {sql.q(k)} THEN {sql.q(v)}" for k, v in G.REVIEW_CYCLES.items()) + " ELSE 'Annual' END"
 GOVERNED = (f"{_FILES}, governed AS (SELECT *, {_REVIEW} AS review_cycle FROM (SELECT *, {rule_sql('lower(file_name)', *G.GOVERNANCE['doc_type'])} AS doc_type, "
-            f"{rule_sql('lower(file_name) || lower(substr(text, 1, 3000))', *G.GOVERNANCE['audience'])} AS audience, "
+            f"{rule_sql('lower(file_name) || lower(text)', *G.GOVERNANCE['audience'])} AS audience, "
             f"{rule_sql('lower(file_name)', *G.GOVERNANCE['category'])} AS category, {rule_sql('lower(file_name)', *G.GOVERNANCE['owner'])} AS owner FROM files))")
 
 
@@ -245,7 +245,7 @@ _VERSION = ("'v' || coalesce(nullif(regexp_extract(text, '[Vv]ersion\\s+(\\d+[\\
 
 @query("gov_names_and_dates", f"""
 WITH {_FILES} SELECT doc_id, {_KW} AS keywords, {_DATE} AS dated, {_DATED} IS NULL AS inferred, {_VERSION} AS version,
-  {rule_sql('lower(file_name || substr(text, 1, 500))', G.CLASSIFICATION_RULES, 'INTERNAL USE ONLY')} AS classification FROM files""")
+  {rule_sql('lower(file_name || text)', G.CLASSIFICATION_RULES, 'INTERNAL USE ONLY')} AS classification FROM files""")
 def gov_names_and_dates(spark, sf):
     """D16-D19."""
     n, t = F.col("file_name"), F.col("text")

@@ -326,7 +326,7 @@ _SIGNAL = (f"CASE WHEN {sql.any_contains('x', ('thth', 'para'))} THEN 5 ELSE 0 E
 
 
 @query("rank_aggregate_context", f"""
-WITH {HITS}, x AS (SELECT h.*, lang, doc_id % 5 AS g, {sql.norm("section_title || ' ' || substr(body, 1, 500)")} AS x0, replace(lower(section_title || '  ' || substr(body, 1, 500)), 'ß', 'ss') AS x FROM hits h JOIN lines USING (section_id, doc_id)),
+WITH {HITS}, x AS (SELECT h.*, lang, doc_id % 5 AS g, {sql.norm("section_title || ' ' || body")} AS x0, replace(lower(section_title || '  ' || body), 'ß', 'ss') AS x FROM hits h JOIN lines USING (section_id, doc_id)),
 s AS (SELECT *, {_SIGNAL} AS signal FROM x), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, g ORDER BY signal DESC, score DESC, rank) = 1 AS first FROM s),
 p AS (SELECT *, CASE WHEN first OR signal >= 2 THEN 1 WHEN signal >= 1 THEN 2 END AS step FROM f)
 SELECT query_id, section_id, signal, row_number() OVER (PARTITION BY query_id ORDER BY step, signal DESC, score DESC, rank) AS selected FROM p WHERE step IS NOT NULL""")
@@ -358,7 +358,7 @@ _NUM = lambda x: f"list_distinct(list_transform(regexp_extract_all({x}, '\\d+(?:
 
 @query("rank_grounding", f"""
 WITH p AS (SELECT doc_id, text || ' (' || n_chars || ' of 1,000)' AS answer, CASE WHEN doc_id % 2 = 0 THEN text || ' ' || n_chars || ' 1000' ELSE text END AS evidence FROM documents)
-SELECT doc_id, regexp_matches(substr(answer, 1, 600), '\\d') AS needed, NOT regexp_matches(substr(answer, 1, 600), '\\d')
+SELECT doc_id, regexp_matches(answer, '\\d') AS needed, NOT regexp_matches(answer, '\\d')
   OR len(list_filter({_NUM('answer')}, lambda n: NOT list_contains({_NUM('evidence')}, n))) = 0 AS grounded FROM p""")
 def rank_grounding(spark, sf):
     """Answers that add two numbers to a text, with evidence that holds them for even documents."""

@@ -32,14 +32,14 @@ _DOCS = ("docs AS (SELECT doc_id, lang || ' title ' || (doc_id % 300) AS title,
 
 
 @query("report_ingestion_logs", f"""
-WITH {_DOCS} SELECT doc_id, title, document_type, version, audiences, sections, source_file, true AS has_summary, md5(substr({sql.strip('text')}, 1, 500)) AS summary FROM docs""")
+WITH {_DOCS} SELECT doc_id, title, document_type, version, audiences, sections, source_file, true AS has_summary, md5({sql.strip('text')}) AS summary FROM docs""")
 def report_ingestion_logs(spark, sf):
     """J1."""
     return _docs(spark, sf).select("doc_id", "title", "document_type", "version", "audiences", "sections", "source_file", "has_summary", F.md5("summary").alias("summary"))
 
 
 @query("report_faq_files", f"""
-WITH {TQ.PAIRS} SELECT conv_id, count(*) AS faqs, md5(string_agg(question || substr(answer, 1, 300), '|' ORDER BY n)) AS pairs FROM faq_pairs GROUP BY 1""")
+WITH {TQ.PAIRS} SELECT conv_id, count(*) AS faqs, md5(string_agg(question || answer, '|' ORDER BY n)) AS pairs FROM faq_pairs GROUP BY 1""")
 def report_faq_files(spark, sf):
     """J2."""
     pairs = R.parse_faq_files(TQ.faq_texts(spark, sf), "conv_id", "faq")
@@ -61,16 +61,16 @@ def _retrieval_logs(spark, sf):
 
 
 @query("report_retrieval_logs", f"""
-WITH a AS (SELECT conv_id, turn, substr({sql.strip(_A)}, 1, 400) AS a FROM conversations WHERE role = 'assistant')
+WITH a AS (SELECT conv_id, turn, {sql.strip(_A)} AS a FROM conversations WHERE role = 'assistant')
 SELECT conv_id, turn, 'what about ' || conv_id AS question, 'timeline' AS intent, 'doc ' || turn AS top_docs, ('0.' || (turn % 9 + 1))::DOUBLE AS top_score, a <> '' AND NOT contains(lower(a), 'couldn''t find') AS answered,
-  md5(substr(a, 1, 200)) AS answer FROM a""")
+  md5(a) AS answer FROM a""")
 def report_retrieval_logs(spark, sf):
     """J3."""
     return R.parse_retrieval_logs(_retrieval_logs(spark, sf)).withColumn("answer", F.md5("answer"))
 
 
 @query("report_answered_rate", f"""
-WITH a AS (SELECT substr({sql.strip(_A)}, 1, 400) AS a FROM conversations WHERE role = 'assistant'), b AS (SELECT a <> '' AND NOT contains(lower(a), 'couldn''t find') AS ok FROM a)
+WITH a AS (SELECT {sql.strip(_A)} AS a FROM conversations WHERE role = 'assistant'), b AS (SELECT a <> '' AND NOT contains(lower(a), 'couldn''t find') AS ok FROM a)
 SELECT count(*) AS questions, count(*) FILTER (ok) AS answered, round(avg(ok::INT), 6) AS answered_rate FROM b""")
 def report_answered_rate(spark, sf):
     """J10."""

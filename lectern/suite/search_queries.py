@@ -86,10 +86,10 @@ def vector_sections(spark, sf):
                         F.col("doc_id") + F.col("order_index")).select("section_id", "doc_id", "vector")
 
 
-@query("search_index_terms", f"WITH {INDEX} SELECT field, term, df, round(idf, 6) AS idf FROM terms WHERE df > 1")
+@query("search_index_terms", f"WITH {INDEX} SELECT field, term, df, round(idf, 6) AS idf FROM terms")
 def search_index_terms(spark, sf):
     """terms of the index that occur more than once."""
-    return index(spark, sf).terms.filter("df > 1").select("field", "term", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf).terms.select("field", "term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("search_postings", f"""
@@ -243,7 +243,7 @@ def search_resolved(spark, sf):
 
 
 @query("search_documents", f"""
-WITH {KEYWORD}, b AS (SELECT query_id, doc_id, arg_min(section_id, rank) AS section_id, min(rank) AS r, max(score) AS score FROM khits WHERE rank <= 80 GROUP BY 1, 2),
+WITH {KEYWORD}, b AS (SELECT query_id, doc_id, arg_min(section_id, rank) AS section_id, min(rank) AS r, max(score) AS score FROM khits GROUP BY 1, 2),
 p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS position, count(*) OVER (PARTITION BY query_id) AS total FROM b)
 SELECT query_id, position, p.doc_id, section_id, document_title, section_title, round(score, 4) AS score,
   rtrim(substr(body, 1, 240)) || CASE WHEN length(body) > 240 THEN '…' ELSE '' END AS snippet, total FROM p JOIN lines USING (section_id) WHERE position > 10 AND position <= 20""")

@@ -329,7 +329,7 @@ def _marked(spark, sf):
 
 
 @query("section_overviews", """
-WITH t AS (SELECT doc_id, substr(trim(text, ' ' || chr(10)), 1, 400) AS o FROM documents) SELECT doc_id, CASE WHEN length(o) > 40 THEN o END AS overview FROM t""")
+WITH t AS (SELECT doc_id, trim(text, ' ' || chr(10)) AS o FROM documents) SELECT doc_id, CASE WHEN length(o) > 40 THEN o END AS overview FROM t""")
 def section_overviews(spark, sf):
     """B27."""
     return _marked(spark, sf).select("doc_id", S.overview(F.col("html")).alias("overview"))
@@ -491,11 +491,11 @@ def ingest_messages(spark, sf):
 @query("ingest_faq_rows", """
 WITH v AS (SELECT vec_id, label, embedding FROM embeddings), d AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents),
 p AS (SELECT doc_id, source, unnest(range(0, least(len(l), 2))) AS n, unnest(l[1:2]) AS question FROM d)
-SELECT p.doc_id, p.doc_id || '_faq_' || n AS faq_id, question, source AS answer, round(list_sum(embedding)::DOUBLE, 4) AS vector_sum FROM p JOIN v ON v.vec_id = p.doc_id % 500 + 0 WHERE n < 2""")
+SELECT p.doc_id, p.doc_id || '_faq_' || n AS faq_id, question, source AS answer, round(list_sum(embedding)::DOUBLE, 4) AS vector_sum FROM p JOIN v ON v.vec_id = p.doc_id % (SELECT count(*) FROM embeddings) WHERE n < 2""")
 def ingest_faq_rows(spark, sf):
     """Lines as questions with two vectors each; the link of vectors to documents is synthetic."""
     d, v = table(spark, sf, "documents"), table(spark, sf, "embeddings")
-    docs = d.withColumn("vec_id", F.col("doc_id") % 500).join(v, "vec_id").select(
+    docs = d.withColumn("vec_id", F.col("doc_id") % v.count()).join(v, "vec_id").select(
         "doc_id", F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("question"), F.col("source").alias("answer"))).alias(
             "faq_pairs"), F.array("embedding", "embedding").alias("faq_vectors"))
     total = F.aggregate("question_embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))

@@ -29,11 +29,11 @@ def text_tokens(spark, sf):
 WITH t AS (SELECT lang, unnest({sql.kept('text')}) AS t FROM documents),
 p AS (SELECT lang, {sql.kept('text')} AS k FROM documents), b AS (SELECT lang, unnest({sql.pairs('k')}) AS t FROM p)
 SELECT lang, replace(t, '_', ' ') AS term, count(*) AS n FROM (SELECT * FROM t UNION ALL SELECT * FROM b)
-GROUP BY 1, 2 HAVING count(*) > 20""")
+GROUP BY 1, 2""")
 def text_humanized_terms(spark, sf):
-    """Frequent terms per language, written for people."""
+    """Terms per language, written for people."""
     return table(spark, sf, "documents").select("lang", F.explode(T.keywordize(F.col("text"))).alias("t")).groupBy(
-        "lang", "t").agg(F.count("*").alias("n")).filter("n > 20").select("lang", T.humanize(F.col("t")).alias("term"), "n")
+        "lang", "t").agg(F.count("*").alias("n")).select("lang", T.humanize(F.col("t")).alias("term"), "n")
 
 
 @query("text_lexicon_labels", f"""
@@ -99,8 +99,8 @@ WITH {inputs.TITLED}, t AS (SELECT doc_id, text, title || ' Final_Major Version
   || ' - 12 March 20' || (10 + doc_id % 15) AS title FROM titled),
 c AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({sql.norm('title')},
   {sql.q(_V)}, '', 'gi'), {sql.q(_D)}, '', 'gi'), '\\bmajor version\\b', '', 'g'), '\\bfinal\\b', '', 'g'), '[_\\-]+', ' ', 'g') AS c FROM t)
-SELECT doc_id, {sql.collapse('c')} AS canonical, regexp_extract(title || chr(10) || substr(text, 1, 600), {sql.q('(?i)' + _V)}, 1) AS version,
-  trim(regexp_extract(title || chr(10) || substr(text, 1, 1000), {sql.q('(?i)' + _D)})) AS dated,
+SELECT doc_id, {sql.collapse('c')} AS canonical, regexp_extract(title || chr(10) || text, {sql.q('(?i)' + _V)}, 1) AS version,
+  trim(regexp_extract(title || chr(10) || text, {sql.q('(?i)' + _D)})) AS dated,
   make_date(2010 + doc_id % 15, 3, 12)::VARCHAR AS parsed FROM c""")
 def text_title_parts(spark, sf):
     """Canonical title, version and date of titles with all of them."""
@@ -258,7 +258,7 @@ def text_profiles(spark, sf):
 
 @query("text_embedding_layout", f"""
 WITH {inputs.TITLED} SELECT doc_id, md5(trim(concat_ws(chr(10), nullif(title, ''), nullif({sql.truncate('text', 100)}, ''),
-  {sql.strip('substr(text, 1, 600)')}))) AS layout FROM titled""")
+  {sql.strip('text')}))) AS layout FROM titled""")
 def text_embedding_layout(spark, sf):
     """C25."""
     d = inputs.first_line_documents(spark, sf)
