@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 ADMIN = "*"
 
 
-def grant(grants: DataFrame, users: DataFrame, docs: DataFrame, at) -> DataFrame:
+def grant(grants: DataFrame, users: DataFrame, docs: DataFrame, at, cell_rows: int = 5_000) -> DataFrame:
     """H1: every listed user gets every listed document; a repeated grant keeps one row, the latest.
 
-    The product of the two lists is the grant itself.  It is built by exploding the (short) list of
-    documents on each user row.
+    The product of the two lists is the grant itself.  Both are dealt into groups of about ``cell_rows``, and each pair
+    of groups is a key of an equi-join, so no task holds more than such a pair.
     """
-    listed = docs.agg(F.collect_set(F.col("doc_id").cast("string")).alias("_d"))
-    new = users.select(F.col("user_id").cast("string")).join(F.broadcast(listed)).select(
-        "user_id", F.explode("_d").alias("doc_id"), F.lit(at).cast("timestamp").alias("granted_at"))
+    left = users.select(F.col("user_id").cast("string")).dropna().distinct()
+    right = docs.select(F.col("doc_id").cast("string")).dropna().distinct()
+    groups = [max(1, -(-df.count() // cell_rows)) for df in (left, right)]
+
+    def dealt(df: DataFrame, column: str, own: int) -> DataFrame:
+        mine, other = f"_{own}", f"_{1 - own}"
+        return df.withColumn(mine, F.pmod(F.xxhash64(column), F.lit(groups[own]))).withColumn(
+            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups[1 - own] - 1).cast("long"))))
+    new = dealt(left, "user_id", 0).join(dealt(right, "doc_id", 1), ["_0", "_1"]).select(
+        "user_id", "doc_id", F.lit(at).cast("timestamp").alias("granted_at"))
     return latest(grants.unionByName(new))
 
 

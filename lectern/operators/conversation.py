@@ -207,12 +207,9 @@ def expire(cache: DataFrame, now, prefix: str = "") -> DataFrame:
 
 
 def source_images(sources: DataFrame, sections: DataFrame, path: str = "source_path") -> DataFrame:
-    """All images of the sections with the source's path key, in section order.
+    """All images of the sections with the source's path key, one row each with its place: (order_index, pos).
 
-    Images are gathered per path first, so a path cited by many sources is collected once.
+    Rows are kept as rows, as a path may have any number of images; a source without images has none.
     """
-    images = sections.filter(F.size("images") > 0).groupBy(path_key(F.col(path)).alias("_k")).agg(
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("order_index", "images"))),
-                              lambda s: s["images"])).alias("source_images"))
-    return sources.withColumn("_k", path_key(F.col(path))).join(images, "_k", "left").withColumn(
-        "source_images", F.coalesce("source_images", F.array().cast(STRINGS))).drop("_k")
+    images = sections.select(path_key(F.col(path)).alias("_k"), "order_index", F.posexplode("images").alias("pos", "image"))
+    return sources.withColumn("_k", path_key(F.col(path))).join(images, "_k").drop("_k")

@@ -144,14 +144,14 @@ def state_cache_expiry(spark, sf):
 
 
 @query("state_source_images", """
-WITH s AS (SELECT 'P/' || source AS path, doc_id, [lang || doc_id] AS im FROM documents), g AS (SELECT lower(path) AS k, string_agg(im[1], '|' ORDER BY doc_id) AS images FROM s GROUP BY 1)
-SELECT DISTINCT d.source, g.images FROM documents d JOIN g ON g.k = 'p/' || d.source""")
+WITH s AS (SELECT lower('P/' || source) AS k, doc_id, lang || doc_id AS image FROM documents), d AS (SELECT DISTINCT source FROM documents)
+SELECT d.source, s.doc_id AS order_index, s.image FROM d JOIN s ON s.k = 'p/' || d.source""")
 def state_source_images(spark, sf):
-    """One image per document, gathered by source."""
+    """One image per document, found by its source."""
     d = table(spark, sf, "documents")
     s = d.select(F.concat(F.lit("P\\"), "source").alias("source_path"), F.col("doc_id").alias("order_index"), F.array(F.concat("lang", "doc_id")).alias("images"))
     asked = d.select("source", F.concat(F.lit("p/"), "source").alias("source_path")).distinct()
-    return C.source_images(asked, s).select("source", F.array_join("source_images", "|").alias("images"))
+    return C.source_images(asked, s).select("source", "order_index", "image")
 
 
 # --- usage -------------------------------------------------------------------------------

@@ -174,3 +174,25 @@ def test_messages_and_dead_letters(spark):
     parsed = messages.parse_messages(spark.createDataFrame([(r,) for r in raw], "value string"))
     assert rows(messages.accepted(parsed).select("source_path", "text")) == [("/a", "hi"), ("/b", "y")]
     assert messages.dead_letters(parsed).count() == 2
+
+
+def test_vector_search_keeps_text_ids(spark, monkeypatch):
+    monkeypatch.setattr(S, "SCORES", 5)                  # several slices of questions
+    rng = random.Random(4)
+    vec = lambda: [rng.gauss(0, 1) for _ in range(4)]
+    qs, ss = {f"q{i}": vec() for i in range(7)}, {f"{i:x}" * 8: vec() for i in range(12)}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = sorted((q, s, "d" + s) for q, a in qs.items() for s in sorted(ss, key=lambda s: -cos(a, ss[s]))[:3])
+    q = spark.createDataFrame([(k, v, "u") for k, v in qs.items()], "query_id string, vector array<double>, user_id string")
+    s = spark.createDataFrame([(k, "d" + k, v) for k, v in ss.items()], "section_id string, doc_id string, vector array<double>")
+    grants = spark.createDataFrame([("u", "d" + k) for k in ss], "user_id string, doc_id string")
+    for got in (S.vector_search(q, s, 3), S.vector_search(q, s, 3, max_query_values=1), S.vector_search(q, s, 3, grants)):
+        assert rows(got.select("query_id", "section_id", "doc_id")) == want
+
+
+def test_grant_in_cells(spark):
+    none = spark.createDataFrame([], "user_id string, doc_id string, granted_at timestamp")
+    users = spark.createDataFrame([(i,) for i in range(7)] * 2, "user_id int")
+    docs = spark.createDataFrame([(i,) for i in range(11)], "doc_id int")
+    got = A.grant(none, users, docs, "2024-01-01", cell_rows=2)
+    assert rows(got.select("user_id", "doc_id")) == sorted((str(u), str(d)) for u in range(7) for d in range(11))
