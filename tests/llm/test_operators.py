@@ -132,6 +132,30 @@ def test_decontamination(spark, edges):
     assert decontaminate.longest_common(list("abcbdab"), list("bdcaba")) == 4
 
 
+def test_decontamination_finds_paraphrases_of_any_cosine(spark):
+    rng = random.Random(11)
+    common = ["".join(rng.choice("klmnop") for _ in range(5)) for _ in range(300)]
+    item = [rng.choice(common) for _ in range(36)] + ["rareone", "raretwo", "rarethree", "rarefour"]
+    rng.shuffle(item)
+    texts = [(k, " ".join(rng.choice(common) for _ in range(150))) for k in range(300)]
+    expected = set()
+    for k in range(40):
+        told = list(item)
+        rest = [i for i, w in enumerate(item) if not w.startswith("rare")]
+        for i in rng.sample(rest, 8 if k < 20 else 15):
+            told[i] = f"new{k}x{i}"
+        expected.add((1000 + k, "verbatim" if k < 20 else "paraphrase"))
+        texts.append((1000 + k, " ".join(rng.choice(common) for _ in range(60)) + " " + " ".join(told) + " " +
+                      " ".join(rng.choice(common) for _ in range(50))))
+    without = [w if not w.startswith("rare") else "gone" for w in item]
+    without[[i for i, w in enumerate(item) if not w.startswith("rare")][0]] = "gone"
+    texts += [(2000, " ".join(without)), (2001, " ".join(without[:18] + ["x"] * 9 + without[27:]))]
+    expected.add((2000, "verbatim"))
+    got = decontaminate.contaminated(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(
+        [(1, " ".join(item))], "item_id long, text string"), rank=16)
+    assert {(r.doc_id, r.kind) for r in got.collect()} == expected
+
+
 PERSONAL = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
