@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one with the smallest id; rows equal in id and text stay once, null ids stay."""
     scratch = Scratch(spark)
-    judged = near_dups.near_documents(docs, scratch=scratch)
+    judged = near_dups.near_documents(docs, size=5, scratch=scratch)
     by_id = Scratch(spark).store(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
     scratch.clear()
     left = docs.join(by_id.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
