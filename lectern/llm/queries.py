@@ -5,8 +5,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import codec, decontaminate, licenses, near_dups, personal, quality, repeats, secrets, url_graph, vector_dups
+from lectern.llm import (codec, curriculum, decontaminate, filter_audit, licenses, near_dups, personal, quality, repeats, secrets,
+                         turn_trie, url_graph, vector_dups)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +75,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_embedding_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dups.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_curriculum_mix", curriculum.oracle())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = curriculum.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source", "source_size", "target", "taken",
+                        F.round("position", 9).alias("position"), F.size("copies").alias("n_copies"))
+
+
+@query("op12_conversation_trie", turn_trie.oracle())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_filter_audit", filter_audit.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
