@@ -134,10 +134,11 @@ def mix_sources(df: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: f
     made = placed.join(offsets, ["shard", *group]).withColumn("copies", F.filter(
         F.transform(F.array(*(F.lit(k).cast("long") for k in range(1, repeats + 1))), copy), lambda c: c["words"] > 0))
     taken = F.aggregate("copies", F.lit(0).cast("long"), lambda total, c: total + c["words"])
-    return made.select(
+    out = made.select(
         "doc_id", "size", F.when(~F.col("_none"), F.col("_source")).alias("source"), "source_size", "target",
         taken.alias("taken"), F.when(F.size("copies") > 0, F.col("copies")[0]["position"]).alias("position"), "copies",
-        *(F.col(f"_keep_{c}").alias(c) for c in keep)).orderBy(F.col("position").asc_nulls_last())
+        *(F.col(f"_keep_{c}").alias(c) for c in keep), "_key", "_any")
+    return out.orderBy(F.col("position").asc_nulls_last(), "_key", "_any").drop("_key", "_any")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
