@@ -1,6 +1,7 @@
 """Shared pieces: stored tables, bounded text pieces, word hashes over whole byte buffers."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,7 +17,8 @@ PIECE_BYTES = 1 << 20
 class Scratch:
     """Tables written to the shared folder (`spark.checkpoint.dir`) that cut lineage and survive lost executors.
 
-    A folder of its own is set only where the session names none.  `drop` deletes a table that nothing reads any more.
+    A session that names no folder gets one of its own only where driver and executors are one process.  `drop` deletes
+    a table that nothing reads any more; what a result still reads goes when the session ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -24,6 +26,8 @@ class Scratch:
         name = "spark.checkpoint.dir"
         top = spark.conf.get(name, None) or spark.sparkContext.getConf().get(name, None)
         if not top:
+            if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+                raise ValueError(f"set {name} to a folder that all executors share")
             top = tempfile.mkdtemp(prefix="spark-")
             spark.conf.set(name, top)
         self.top = f"{top.rstrip('/')}/llm"
@@ -31,6 +35,8 @@ class Scratch:
     def store(self, df: DataFrame) -> DataFrame:
         path = f"{self.top}/{uuid.uuid4().hex}"
         df.write.parquet(path)
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).deleteOnExit(place)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = (path, kept)
         return kept
