@@ -26,10 +26,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group: the one with the smallest id; rows equal in id and text stay once, null ids stay."""
     scratch = Scratch(spark)
     judged = near_dups.near_documents(docs, size=5, scratch=scratch)
-    by_id = Scratch(spark).store(judged.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n")))
+    by_id = Scratch(spark).store(judged.filter("doc_id is not null").groupBy("doc_id").agg(
+        F.max("kept").alias("kept"), F.count("*").alias("n")))
     scratch.clear()
-    left = docs.join(by_id.filter("not kept").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # The ids to drop grow with the corpus: a merge join at every size, not one that turns into another.
+    left = docs.join(by_id.filter("not kept").select("doc_id").hint("merge"), "doc_id", "left_anti").select(docs.columns)
     often = by_id.filter("kept and n > 1").select("doc_id")
+    if often.isEmpty():
+        return left
     return left.join(often, "doc_id", "left_anti").select(docs.columns).union(
         left.join(often, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
