@@ -193,7 +193,8 @@ def find_personal(df: DataFrame, id: str = "doc_id", text: str = "text", thresho
 
     Vote patterns are counted over every row (pre-aggregated, a few thousand keys at most); EM and the classifier
     see only these counts.  Nulls count as empty texts; each row gives one row, repeated and null ids included; an
-    empty table gives none; other columns are not read.  Spans are kind:start:end in code points, end exclusive.
+    empty table gives none; other columns are not read.  Spans are kind:start:end in code points, end exclusive;
+    `found` says whether there are any.
     """
     rows = df.select(df[id].alias("doc_id"), df[text].alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -239,7 +240,7 @@ def find_personal(df: DataFrame, id: str = "doc_id", text: str = "text", thresho
 
     names = ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]
     return rows.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"n_{k} bigint" for k in BASE)
-                           + ", base_sha256 string, spans string")
+                           + ", base_sha256 string, spans string").withColumn("found", F.col("spans") != "")
 
 
 def show(spans: list[tuple[int, int, int]]) -> str:
