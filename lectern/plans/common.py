@@ -1,6 +1,7 @@
 """Shared pieces of search plans: stored tables, checked broadcasts, ranking, skew-safe term joins."""
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -15,10 +16,15 @@ BROADCAST_ROWS = 2_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one only where none is named."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where none is named, a temporary one is set if driver and executors are one process; on a cluster that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None)
     if not named:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
@@ -27,11 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
 def store(df: DataFrame) -> DataFrame:
     """Write a table that several parts of a plan read, and read it back.
 
-    The written table has real size statistics, is pruned by column, and outlives any executor.
+    The written table has real size statistics, is pruned by column, outlives any executor, and goes when the session
+    ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
