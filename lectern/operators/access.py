@@ -1,10 +1,15 @@
 """Access grants and row-level visibility.  A grant on ``*`` makes an administrator."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.plans.common import broadcast_if_small, store
+
 ADMIN = "*"
+EVERYTHING = "*"
 
 
 def grant(grants: DataFrame, users: DataFrame, docs: DataFrame, at, cell_rows: int = 5_000) -> DataFrame:
@@ -77,6 +82,55 @@ def visible(rows: DataFrame, grants: DataFrame, user: str = "user_id", doc: str
         F.coalesce("_admin", "_ok", F.lit(False))).select(*rows.columns)
 
 
+@dataclass
+class Visibility:
+    """F16: what the asking users may see, by classes of users with equal grants.
+
+    ``askers``: query_id, _class, _all (an administrator); ``documents``: _doc and _may, the classes that may see it.
+    """
+    askers: DataFrame
+    documents: DataFrame
+
+    def __post_init__(self):
+        self._near = [broadcast_if_small(self.askers), broadcast_if_small(self.documents)]
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """Rows by query_id with their user's class; rows of users who may see nothing are left out."""
+        return rows.join(self._near[0], "query_id")
+
+    def mark(self, rows: DataFrame, doc: str = "doc_id") -> DataFrame:
+        """Rows by document with the classes that may see them."""
+        return rows.withColumn("_doc", F.col(doc).cast("string")).join(
+            self._near[1], "_doc", "left").drop("_doc")
+
+    @staticmethod
+    def allows() -> Column:
+        """On rows that carry both: whether the user may see the document."""
+        return F.col("_all") | F.coalesce(F.array_contains("_may", F.col("_class")), F.lit(False))
+
+
+def visibility(questions: DataFrame, grants: DataFrame, user: str = "user_id") -> Visibility:
+    """F16: asking users folded into classes of equal grant sets, named by their first user.
+
+    A set is known by its size and two sums over SHA-256 digests of its documents, so a user with any number of grants
+    is a partial aggregate.  A document is listed once with the classes that may see it, not once per user.
+    """
+    who = questions.select("query_id", F.col(user).cast("string").alias("user_id"))
+    mine = grants.join(broadcast_if_small(who.select("user_id").distinct()), "user_id", "left_semi").select(
+        "user_id", "doc_id").distinct()
+    boss = mine.filter(F.col("doc_id") == ADMIN).select("user_id", F.lit(True).alias("_all"))
+    some = store(mine.join(boss, "user_id", "left_anti"))
+    part = lambda at: F.conv(F.substring(F.sha2("doc_id", 256), at, 15), 16, 10).cast("decimal(38,0)")
+    signed = some.groupBy("user_id").agg(F.count("*").alias("n"), F.sum(part(1)).alias("a"), F.sum(part(16)).alias("b"))
+    named = signed.groupBy("n", "a", "b").agg(F.concat(F.lit("of "), F.min("user_id")).alias("_class"))
+    classes = signed.join(named, ["n", "a", "b"]).select("user_id", "_class", F.lit(False).alias("_all"))
+    askers = who.join(classes.unionByName(boss.withColumn("_class", F.lit(EVERYTHING))), "user_id").select(
+        "query_id", "_class", "_all")
+    documents = some.withColumn("_class", F.concat(F.lit("of "), "user_id")).join(named.select("_class"), "_class").groupBy(
+        F.col("doc_id").alias("_doc")).agg(F.sort_array(F.collect_set("_class")).alias("_may"))
+    return Visibility(store(askers), store(documents))
+
+
 def visible_documents(docs: DataFrame, grants: DataFrame, users: DataFrame) -> DataFrame:
     """H6 for a document list: (user_id, doc_id) each asking user can open.
 

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from lectern.functions.hof import let
 
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,16 +45,29 @@ def store(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def store_bucketed(df: DataFrame, table: str, by: str, buckets: int) -> DataFrame:
-    """A catalogue table bucketed by a column: later grouping on that column needs no shuffle."""
-    df.write.mode("overwrite").bucketBy(buckets, by).sortBy(by).option(
-        "path", f"{shared_dir(df.sparkSession)}/lectern/{table}").saveAsTable(table)
-    return df.sparkSession.table(table)
+def store_bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:
+    """As `store`, one file for each hash bucket of a column: later grouping on that column needs no shuffle.
+
+    The bucket of a row is pmod(hash(column), buckets).
+    """
+    spark = df.sparkSession
+    table = f"lectern_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lectern/{table}"
+    df.repartition(buckets, by).write.bucketBy(buckets, by).option("path", path).saveAsTable(table)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return spark.table(table)
 
 
-def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Checked size: at most ``max_rows`` rows (counting stops one row later)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def is_small(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Checked size: at most ``max_rows`` rows (counting stops one row later) and ``max_bytes`` of values."""
+    size = F.lit(0).cast("long")
+    for f in df.schema:
+        kind = f.dataType.typeName()
+        size = size + F.coalesce(F.octet_length(f.name) if kind in ("string", "binary") else F.octet_length(
+            F.to_json(F.struct(f.name))) if kind in ("array", "map", "struct") else F.lit(8), F.lit(0))
+    n, total = df.limit(max_rows + 1).select(size.alias("_b")).agg(F.count("*"), F.sum("_b")).first()
+    return n <= max_rows and (total or 0) <= max_bytes
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -73,15 +87,15 @@ def top_k(df: DataFrame, k: int, by: str | Sequence[str] = "query_id", score: st
 
 
 def term_join(postings: DataFrame, wanted: DataFrame, on: Sequence[str], spread: str,
-              max_broadcast: int = BROADCAST_ROWS, hot_rows: int | None = None) -> DataFrame:
+              max_broadcast: int = BROADCAST_ROWS, hot_rows: int | None = None, small: bool | None = None) -> DataFrame:
     """Join postings to the wanted terms of all questions.
 
     A small (checked) question side is broadcast: postings are read once and not shuffled.  Beyond
     that, postings of hot keys are spread over salts by a hash of ``spread`` and the question rows
     of those keys are repeated per salt, so no key is one task.  The hot list holds at most
-    total / hot_rows keys by construction.
+    total / hot_rows keys by construction.  ``small``: the answer of that check where the caller has it.
     """
-    if is_small(wanted, max_broadcast):
+    if is_small(wanted, max_broadcast) if small is None else small:
         return postings.join(F.broadcast(wanted), list(on))
     keys = wanted.select(*on).distinct()
     used = postings.join(keys, list(on), "left_semi")

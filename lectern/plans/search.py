@@ -12,13 +12,16 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import fixed
 from lectern.functions.hof import STRINGS, let, lits, term_frequencies
+from lectern.functions.stemming import stem_words
 from lectern.functions.text import fold_case, normalize_text, rstrip, truncate, uniq
 from lectern.functions.vectors import l2_normalize
-from lectern.operators.access import ADMIN, admins, visible
-from lectern.plans.common import broadcast_if_small, store, store_bucketed, term_join, top_k
+from lectern.operators.access import EVERYTHING, Visibility, visibility
+from lectern.plans.common import broadcast_if_small, is_small, store, store_bucketed, term_join, top_k
+from lectern.plans.spelling import near_words
 
 K1, B = 1.2, 0.75
 # --- fixed values: stop words of the standard English analyzer (public) ----------
@@ -33,52 +36,53 @@ SCORES = 4_000_000
 
 # --- analysis -------------------------------------------------------------------
 def analyze(c: Column, stopwords: Sequence[str] = ENGLISH_STOP) -> Column:
-    """words of letters and digits, lower case, stop words left out.
-
-    Stemming is a map over words (``stem``, such as ``light_stem``), none by default.
-    """
+    """words of letters and digits, lower case, stop words left out."""
     return F.filter(F.regexp_extract_all(fold_case(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)),
                     lambda t: ~t.isin(*stopwords))
 
 
-def light_stem(c: Column) -> Column:
-    """Plural endings only: ies -> y, sses -> ss, s dropped after other letters than s, u, i."""
-    return (F.when((F.length(c) > 4) & c.endswith("ies"), F.concat(F.substring(c, F.lit(1), F.length(c) - 3), F.lit("y")))
-            .when(c.endswith("sses"), F.substring(c, F.lit(1), F.length(c) - 2))
-            .when((F.length(c) > 3) & c.rlike("[^sui]s$"), F.substring(c, F.lit(1), F.length(c) - 1)).otherwise(c))
-
-
 # --- index ------------------------------------------------------------------------
 @dataclass
 class Index:
-    """postings(field, term, section_id, doc_id, impact), terms(field, term, df, idf), fields(...)."""
+    """postings(field, term, section_id, doc_id, impact, block), bounds(field, term, block, n, top), terms(field, term,
+    df, idf), fields(...).
+
+    Postings are a table bucketed by section: ``block`` is the bucket, ``top`` a term's largest impact in a block.
+    ``stemmed``: terms are stems, and questions are stemmed alike.
+    """
     postings: DataFrame
+    bounds: DataFrame
     terms: DataFrame
     fields: DataFrame
     has: Sequence[str] = field(default_factory=tuple)
+    blocks: int = 1
+    stemmed: bool = False
 
 
-def build_index(sections: DataFrame, fields: Sequence[str] = TEXT_FIELDS, table: str | None = None,
-                buckets: int = 200, stem=None) -> Index:
+def build_index(sections: DataFrame, fields: Sequence[str] = TEXT_FIELDS, blocks: int | None = None,
+                stem: bool = False) -> Index:
     """index tables of the text fields present, and of ``keywords`` as whole strings.
 
     Terms are counted inside the row, so counting shuffles nothing.  Lengths and document
-    frequencies are partial aggregates.  The tables are written once and read by every channel;
-    with ``table`` the postings are bucketed by section, and scoring needs no shuffle before its
-    top-k.
+    frequencies are partial aggregates.  The tables are written once and read by every channel.  Postings are bucketed
+    by section in ``blocks`` (the shuffle partitions by default), so summing them per section needs no shuffle.  With ``stem`` (F1) every distinct word is stemmed once, the stems are joined to the counts (frequent words
+    spread over salts), and the counts of words with one stem are added up; lengths stay those of the words.
     """
     present = [f for f in fields if f in sections.columns]
-    analyzed = lambda f: F.transform(analyze(F.col(f)), stem) if stem else analyze(F.col(f))
     rows = sections.select("section_id", F.col("doc_id"), F.explode(F.array(*[F.struct(
-        F.lit(f).alias("field"), let(analyzed(f), lambda t: F.struct(
+        F.lit(f).alias("field"), let(analyze(F.col(f)), lambda t: F.struct(
             F.size(t).alias("len"), term_frequencies(t).alias("tfs"))).alias("x")) for f in present])).alias("f"))
     per_field = store(rows.select("section_id", "doc_id", "f.field", "f.x.len", "f.x.tfs").filter("len > 0"))
     stats = store(per_field.groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")))
-    tf, share = F.col("t.tf").cast("double"), F.col("len") / F.col("avg_len")
-    postings = per_field.join(F.broadcast(stats), "field").select(
-        "field", "section_id", "doc_id", "len", "avg_len", F.explode("tfs").alias("t")).select(
-        "field", F.col("t.term").alias("term"), "section_id", "doc_id",
-        (tf / (tf + K1 * (1 - B + B * share))).alias("impact"))
+    counted = per_field.select("field", "section_id", "doc_id", "len", F.explode("tfs").alias("t")).select(
+        "field", F.col("t.term").alias("term"), "section_id", "doc_id", "len", F.col("t.tf").alias("tf"))
+    if stem:
+        stems = store(stem_words(counted).select(F.col("word").alias("term"), "stem"))
+        counted = term_join(counted, stems, ["term"], "section_id").groupBy(
+            "field", F.col("stem").alias("term"), "section_id", "doc_id", "len").agg(F.sum("tf").alias("tf"))
+    tf, share = F.col("tf").cast("double"), F.col("len") / F.col("avg_len")
+    postings = counted.join(F.broadcast(stats), "field").select(
+        "field", "term", "section_id", "doc_id", (tf / (tf + K1 * (1 - B + B * share))).alias("impact"))
     if "keywords" in sections.columns:
         whole = sections.select("section_id", "doc_id", F.explode(uniq(F.transform("keywords", lambda k: (
             normalize_text(k))))).alias("term"))
@@ -86,109 +90,157 @@ def build_index(sections: DataFrame, fields: Sequence[str] = TEXT_FIELDS, table:
             F.lit("keywords").alias("field"), "term", "section_id", "doc_id", F.lit(1 / (1 + K1)).alias("impact")))
         stats = stats.unionByName(sections.filter(F.size("keywords") > 0).agg(
             F.lit("keywords").alias("field"), F.count("*").alias("n_docs"), F.lit(1.0).alias("avg_len")))
-    postings = store_bucketed(postings, table, "section_id", buckets) if table else store(postings)
-    terms = postings.groupBy("field", "term").agg(F.count("*").alias("df")).join(
+    n = blocks or int(sections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    postings = store_bucketed(postings.withColumn("block", F.pmod(F.hash("section_id"), F.lit(n))), "section_id", n)
+    bounds = store(postings.groupBy("field", "term", "block").agg(F.count("*").alias("n"), F.max("impact").alias("top")))
+    terms = bounds.groupBy("field", "term").agg(F.sum("n").alias("df")).join(
         F.broadcast(stats), "field").withColumn("idf", F.log(
             1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).select("field", "term", "df", "idf", "n_docs")
-    return Index(postings, store(terms), stats, (*present, *(["keywords"] if "keywords" in sections.columns else [])))
+    return Index(postings, bounds, store(terms), stats,
+                 (*present, *(["keywords"] if "keywords" in sections.columns else [])), n, stem)
 
 
-def query_terms(questions: DataFrame, text: str = "question", stem=None) -> DataFrame:
+def query_terms(questions: DataFrame, text: str = "question", stem: bool = False) -> DataFrame:
     """Distinct analyzed terms of each question with their count."""
-    toks = F.transform(analyze(F.col(text)), stem) if stem else analyze(F.col(text))
-    return questions.select("query_id", F.explode(term_frequencies(toks)).alias("t")).select(
+    terms = questions.select("query_id", F.explode(term_frequencies(analyze(F.col(text)))).alias("t")).select(
         "query_id", F.col("t.term").alias("term"), F.col("t.tf").alias("qtf"))
-
-
-def deletions(c: Column, depth: int) -> Column:
-    """All strings left after deleting up to ``depth`` characters, the word itself included."""
-    out = F.array(c)
-    for _ in range(depth):
-        out = F.array_distinct(F.concat(out, F.flatten(F.transform(out, lambda w: F.when(
-            F.length(w) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(
-                F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))).otherwise(
-            F.array().cast(STRINGS))))))
-    return out
-
-
-def edits_allowed(c: Column) -> Column:
-    """none up to two characters, one up to five, else two."""
-    return F.when(F.length(c) <= 2, 0).when(F.length(c) <= 5, 1).otherwise(2)
+    if not stem:
+        return terms
+    return terms.join(stem_words(terms).withColumnRenamed("word", "term"), "term").groupBy(
+        "query_id", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
 
 
 def fuzzy_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(term, match, distance) of every question term against the vocabulary.
 
-    Two words within n edits share a string reachable from each by at most n deletions, so the
-    candidates are an equi-join on deletions, verified by the edit distance.  Only words are
-    compared, never texts.  Weight is 1 - distance / length of the shorter word.
+    Only words are compared, never texts.  Weight is 1 - distance / length of the shorter word.
     """
-    asked = terms.select("term").distinct().withColumn("_n", edits_allowed(F.col("term")))
-    at_depth = lambda c: (F.when(F.length(c) <= 2, F.array(c)).when(F.length(c) <= 5, deletions(c, 1))
-                          .otherwise(deletions(c, 2)))
-    # a vocabulary word can be longer or shorter than the question word by the allowed edits
-    words = vocabulary.select(F.col("term").alias("match")).distinct()
-    left = asked.withColumn("_d", F.explode(at_depth(F.col("term"))))
-    depth = F.when(F.length("match") <= 3, 1).otherwise(2)
-    right = words.withColumn("_d", F.explode(F.when(depth == 1, deletions(F.col("match"), 1)).otherwise(
-        deletions(F.col("match"), 2))))
-    d = F.levenshtein(F.col("term"), F.col("match"), 2)
-    return left.join(right, "_d").select("term", "match", "_n").distinct().withColumn("distance", d).filter(
-        (F.col("distance") >= 0) & (F.col("distance") <= F.col("_n"))).withColumn(
-        "weight", 1 - F.col("distance") / F.least(F.length("term"), F.length("match"))).drop("_n")
+    return near_words(terms, vocabulary).withColumn(
+        "weight", 1 - F.col("distance") / F.least(F.length("term"), F.length("match")))
 
 
 # --- channels ---------------------------------------------------------------------
-def _pairs(index: Index, wanted: DataFrame, within: DataFrame | None = None, **join) -> DataFrame:
-    """(query_id, section_id, doc_id, field, score) before any cut; F15: only postings of the sections in ``within``."""
-    postings = index.postings if within is None else index.postings.join(
-        within.select("section_id"), "section_id", "left_semi")
-    hits = term_join(postings, wanted, ["field", "term"], "section_id", **join)
-    return hits.withColumn("_s", F.col("w") * F.col("impact"))
+def _pairs(index: Index, wanted: DataFrame, within: DataFrame | None = None, see: Visibility | None = None,
+           only: Column | None = None, **join) -> DataFrame:
+    """(query_id, section_id, doc_id, field, score) before any cut; F15: only postings of the sections in ``within``.
 
+    F16: under access rules the postings of the asked terms carry the classes that may see their document, and a
+    question meets a posting only if its user's class is among them: a hidden section is never scored.
+    """
+    postings = index.postings if only is None else index.postings.filter(only)
+    if within is not None:
+        postings = postings.join(within.select("section_id"), "section_id", "left_semi")
+    if see is None:
+        return term_join(postings, wanted, ["field", "term"], "section_id", **join).withColumn(
+            "_s", F.col("w") * F.col("impact"))
+    terms = wanted.select("field", "term").distinct()
+    marked = see.mark(postings.join(F.broadcast(terms) if join.get("small") else broadcast_if_small(terms),
+                                    ["field", "term"], "left_semi"))
+    hits = term_join(marked, see.of(wanted), ["field", "term"], "section_id", **join).filter(see.allows())
+    return hits.drop("_may", "_class", "_all").withColumn("_s", F.col("w") * F.col("impact"))
 
-def _visible(pairs: DataFrame, questions: DataFrame, grants: DataFrame | None) -> DataFrame:
-    """F16: access filters come before any limit, so hidden sections never use up a place."""
-    if grants is None:
-        return pairs
-    who = questions.select("query_id", F.col("user_id").cast("string").alias("user_id"))
-    return visible(pairs.join(broadcast_if_small(who), "query_id"), grants).drop("user_id")
 
+def _access(questions: DataFrame, grants: DataFrame | Visibility | None) -> Visibility | None:
+    return grants if grants is None or isinstance(grants, Visibility) else visibility(questions, grants)
 
-def keyword_search(questions: DataFrame, index: Index, k: int = 10, boosts: Mapping[str, float] = fixed.FIELD_BOOSTS,
-                   grants: DataFrame | None = None, fuzzy: bool = False, stem=None,
-                   within: DataFrame | None = None, **join) -> DataFrame:
-    """OR of the question's terms, boosted per field, the best field counts; first ``k``."""
+
+def _scored(pairs: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Scores of (question, section): the best field counts."""
+    per_field = [F.sum(F.when(F.col("field") == f, F.col("_s")).otherwise(0.0)) for f in fields]
+    best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
+    return pairs.groupBy("query_id", "section_id", "doc_id").agg(best.alias("score"))
+
+
+SLACK = 1e-6                                       # sums in another order differ by less
+
+
+def threshold_top(index: Index, wanted: DataFrame, k: int, fields: Sequence[str], within: DataFrame | None = None,
+                  see: Visibility | None = None, first_blocks: int = 8, report: dict | None = None, **join) -> DataFrame:
+    """the first ``k`` sections per question in two passes; ``wanted``: query_id, field, term, w.
+
+    Postings stand in blocks of sections, so a block sums its own sections and no pair is shuffled to be summed.  The
+    first pass takes one block in ``first_blocks``: a question's k-th score there is a threshold that its answer
+    reaches.  The second pass leaves out, question by question, the blocks whose upper bound (the sum over its terms
+    of weight times the block's largest impact) stays below the threshold, and sends on only pairs that reach it, at
+    most ``k`` from a block.  Blocks are dealt by hash, so about k * first_blocks pairs of a question pass, whatever the corpus.  A question
+    with fewer than k hits in the first pass has no threshold and sends at most k pairs a block.  Nothing is lost.
+    """
+    small = is_small(wanted)                        # then so is all that is a row per question
+    near = F.broadcast if small else (lambda df: df)
+    join = {"small": small} | join
+    part = max(1, index.blocks // first_blocks)
+    floor = None
+    if part < index.blocks:
+        some = _scored(_pairs(index, wanted, within, see, F.col("block") < part, **join), fields)
+        floor = store(top_k(some, k).groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).filter(
+            F.col("n") == k).select("query_id", (F.col("floor") - SLACK).alias("floor")))
+        per_field = index.bounds.join(near(wanted), ["field", "term"]).groupBy("query_id", "block", "field").agg(
+            F.sum(F.col("w") * F.col("top")).alias("u"))
+        closed = store(per_field.groupBy("query_id", "block").agg(F.max("u").alias("u")).join(near(floor), "query_id").filter(
+            F.col("u") < F.col("floor")).groupBy("query_id").agg(F.collect_list("block").alias("_closed")))
+        if not closed.isEmpty():
+            wanted = wanted.join(near(closed), "query_id", "left")
+    pairs = _pairs(index, wanted, within, see, **join)
+    if "_closed" in pairs.columns:
+        pairs = pairs.filter(~F.coalesce(F.array_contains("_closed", F.col("block")), F.lit(False)))
+    scored = _scored(pairs, fields)
+    if floor is not None:
+        scored = scored.join(near(floor), "query_id", "left").filter(
+            F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).drop("floor")
+    if report is not None:
+        report |= {"matching": _scored(_pairs(index, wanted, within, see, **join), fields).count(), "sent": scored.count()}
+    return top_k(scored.withColumn("score", F.round("score", 9)), k)
+
+
+def keyword_terms(questions: DataFrame, index: Index, boosts: Mapping[str, float] = fixed.FIELD_BOOSTS,
+                  fuzzy: bool = False) -> DataFrame:
+    """The questions' terms as stored rows (query_id, field, term, w): words in the analyzed fields, whole
+    questions in ``keywords``; F5: with ``fuzzy`` the near words of the index as well, each at the weight of its distance."""
     fields = [f for f in index.has if f in boosts]
-    terms = query_terms(questions, stem=stem)
+    terms = query_terms(questions, stem=index.stemmed)
+    near = F.broadcast if is_small(questions.select("query_id", "question")) else (lambda df: df)
     analyzed = [f for f in fields if f != "keywords"]
     asked = terms.select("query_id", "term", F.lit(1.0).alias("qw"))
     if fuzzy:
-        near = fuzzy_terms(terms, index.terms.filter(F.col("field") != "keywords"))
-        asked = asked.join(near, "term").groupBy("query_id", F.col("match").alias("term")).agg(
-            F.max("weight").alias("qw"))
+        match = store(fuzzy_terms(terms, index.terms.filter(F.col("field") != "keywords")))
+        asked = store(asked.join(broadcast_if_small(match), "term").groupBy("query_id", F.col("match").alias("term")).agg(
+            F.max("weight").alias("qw")))
+        near = broadcast_if_small
     asked = asked.select("query_id", "term", "qw", F.explode(lits(analyzed)).alias("field"))
     if "keywords" in fields:
         asked = asked.unionByName(questions.select("query_id", normalize_text(F.col("question")).alias("term"),
                                                    F.lit(1.0).alias("qw"), F.lit("keywords").alias("field")))
     boost = F.create_map(*[F.lit(x) for f in fields for x in (f, float(boosts[f]))])
-    wanted = store(index.terms.join(broadcast_if_small(asked), ["field", "term"]).select(
+    return store(index.terms.join(near(asked), ["field", "term"]).select(
         "query_id", "field", "term", (F.col("idf") * F.col("qw") * F.element_at(boost, F.col("field"))).alias("w")))
-    per_field = [F.sum(F.when(F.col("field") == f, F.col("_s")).otherwise(0.0)) for f in fields]
-    best = F.greatest(*per_field) if len(per_field) > 1 else per_field[0]
-    scored = _pairs(index, wanted, within, **join).groupBy("query_id", "section_id", "doc_id").agg(best.alias("score"))
-    return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants), k)
+
+
+def keyword_scores(questions: DataFrame, index: Index, boosts: Mapping[str, float] = fixed.FIELD_BOOSTS,
+                   grants: DataFrame | Visibility | None = None, fuzzy: bool = False, within: DataFrame | None = None,
+                   **join) -> DataFrame:
+    """the scores of all matching (and visible) sections of each question."""
+    wanted = keyword_terms(questions, index, boosts, fuzzy)
+    pairs = _pairs(index, wanted, within, _access(questions, grants), **join)
+    return _scored(pairs, [f for f in index.has if f in boosts]).withColumn("score", F.round("score", 9))
+
+
+def keyword_search(questions: DataFrame, index: Index, k: int = 10, boosts: Mapping[str, float] = fixed.FIELD_BOOSTS,
+                   grants: DataFrame | Visibility | None = None, fuzzy: bool = False, within: DataFrame | None = None,
+                   **join) -> DataFrame:
+    """OR of the question's terms, boosted per field, the best field counts; first ``k``."""
+    wanted = keyword_terms(questions, index, boosts, fuzzy)
+    return threshold_top(index, wanted, k, [f for f in index.has if f in boosts], within, _access(questions, grants), **join)
 
 
 def similarity_search(questions: DataFrame, index: Index, k: int = 10, max_terms: int = 25, share: float = 0.3,
-                      grants: DataFrame | None = None, fields: Sequence[str] = SIMILARITY_FIELDS, stem=None,
+                      grants: DataFrame | Visibility | None = None, fields: Sequence[str] = SIMILARITY_FIELDS,
                       **join) -> DataFrame:
     """the question's ``max_terms`` best terms by tf·idf; ``share`` of them must match.
 
     A term is looked up in the field where most sections hold it; its weight is its tf·idf relative
     to the best term's.  Term idf is ln((N + 1) / (df + 1)) + 1.
     """
-    terms = query_terms(questions, stem=stem)
+    terms = query_terms(questions, stem=index.stemmed)
     rated = index.terms.filter(F.col("field").isin(*fields)).join(broadcast_if_small(terms), "term").groupBy(
         "query_id", "term", "qtf").agg(F.max(F.struct("df", "field", "idf", "n_docs")).alias("b"))
     rated = rated.select("query_id", "term", "b.field", "b.idf", F.round(F.col("qtf") * (
@@ -198,10 +250,10 @@ def similarity_search(questions: DataFrame, index: Index, k: int = 10, max_terms
     wanted = store(chosen.join(best, "query_id").select(
         "query_id", "field", "term", (F.col("idf") * F.col("tfidf") / F.col("_best")).alias("w"),
         F.floor(F.col("_n") * F.lit(share)).alias("need")))
-    scored = _pairs(index, wanted, **join).groupBy("query_id", "section_id", "doc_id").agg(
+    scored = _pairs(index, wanted, None, _access(questions, grants), **join).groupBy("query_id", "section_id", "doc_id").agg(
         F.sum("_s").alias("score"), F.count("*").alias("_m"), F.first("need").alias("need")).filter(
         F.col("_m") >= F.col("need")).drop("_m", "need")
-    return top_k(_visible(scored.withColumn("score", F.round("score", 9)), questions, grants), k)
+    return top_k(scored.withColumn("score", F.round("score", 9)), k)
 
 
 def _hits(qs: DataFrame, ss: DataFrame) -> str:
@@ -223,6 +275,23 @@ def _best_of(matrix: np.ndarray, ids: pd.DataFrame, queries: np.ndarray, query_i
     return pd.concat(parts)
 
 
+def _best_seen(rows: pd.DataFrame, queries: np.ndarray, query_ids: np.ndarray, classes: np.ndarray | None, k: int
+               ) -> pd.DataFrame:
+    """F16: as `_best_of`, class by class: a class's questions meet the rows its users may see and no others."""
+    matrix, ids = _stack(rows["v"]), rows[["section_id", "doc_id"]]
+    if classes is None:
+        return _best_of(matrix, ids, queries, query_ids, k)
+    parts = [pd.DataFrame({"section_id": [], "doc_id": [], "query_id": [], "score": []}).astype(
+        {"section_id": ids["section_id"].dtype, "doc_id": ids["doc_id"].dtype, "query_id": query_ids.dtype})]
+    may = [frozenset(c) if c is not None else frozenset() for c in rows["_may"]]
+    for name in dict.fromkeys(classes.tolist()):
+        at = np.flatnonzero(classes == name)
+        seen = np.arange(len(rows)) if name == EVERYTHING else np.array([i for i, c in enumerate(may) if name in c], int)
+        if len(seen):
+            parts.append(_best_of(matrix[seen], ids.iloc[seen], queries[at], query_ids[at], k))
+    return pd.concat(parts[1:] or parts)
+
+
 def _first(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
     return pairs.sort_values(["query_id", "score", "section_id"], ascending=[True, False, True]).groupby(
         "query_id", sort=False).head(k)
@@ -232,50 +301,42 @@ def _stack(vectors: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def vector_search(questions: DataFrame, sections: DataFrame, k: int = 10, grants: DataFrame | None = None,
-                  max_query_values: int = 32_000_000, block_rows: int = 20_000, block_queries: int = 2_000
+def vector_search(questions: DataFrame, sections: DataFrame, k: int = 10, grants: DataFrame | Visibility | None = None,
+                  max_query_values: int = 8_000_000, block_rows: int = 20_000, block_queries: int = 2_000
                   ) -> DataFrame:
     """exact nearest sections by cosine; a question without a vector has no hits.
 
     Vectors become unit vectors first.  While the questions' vectors fit ``max_query_values``
     (checked), they are broadcast and sections are read once, unshuffled, each task keeping ``k``
-    per question.  Beyond that, or under access rules, both sides are cut into blocks of bounded
-    size and only ``k`` rows per question leave a block; nothing ever emits all pairs.
+    per question.  Beyond that both sides are cut into blocks of bounded size and only ``k`` rows per question leave a
+    block; nothing ever emits all pairs.  F16: a section carries the classes that may see it and is stored once
+    whatever the number of users; only visible pairs are scored.
     """
     unit = lambda df, *c: df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(
         *c, l2_normalize(F.col("vector")).alias("v"))
-    qs = unit(questions, "query_id", *(["user_id"] if grants is not None else []))
-    ss = unit(sections, "section_id", "doc_id")
-    if grants is None:
-        size = qs.agg(F.sum(F.size("v"))).first()[0] or 0
-        if size <= max_query_values:
-            return top_k(_broadcast_vectors(qs, ss, k), k)
-        return top_k(_blocked_vectors(qs.withColumn("scope", F.lit("")), ss.withColumn("scope", F.lit("")), k,
-                                      block_rows, block_queries), k)
-    who = qs.withColumn("user_id", F.col("user_id").cast("string"))
-    boss = admins(grants)
-    free = vector_search(who.join(boss, "user_id", "left_semi").withColumnRenamed("v", "vector").drop("user_id"),
-                         sections, k, None, max_query_values, block_rows, block_queries).drop("rank")
-    bound = who.join(boss, "user_id", "left_anti").withColumnRenamed("user_id", "scope")
-    mine = grants.filter(F.col("doc_id") != ADMIN).select(F.col("user_id").alias("scope"), F.col("doc_id").alias(
-        "_d")).distinct().join(bound.select("scope").distinct(), "scope", "left_semi")
-    granted = ss.withColumn("_d", F.col("doc_id").cast("string")).join(mine, "_d").drop("_d")
-    limited = _blocked_vectors(bound, granted, k, block_rows, block_queries)
-    return top_k(free.unionByName(limited), k)
+    see = _access(questions, grants)
+    ss, qs = unit(sections, "section_id", "doc_id"), unit(questions, "query_id")
+    if see is not None:
+        ss, qs = see.mark(ss), see.of(qs).withColumn("_class", F.when(F.col("_all"), EVERYTHING).otherwise(
+            F.col("_class"))).drop("_all")
+    size = qs.agg(F.sum(F.size("v"))).first()[0] or 0
+    if size <= max_query_values:
+        return top_k(_broadcast_vectors(qs, ss, k), k)
+    return top_k(_blocked_vectors(qs, ss, k, block_rows, block_queries), k)
 
 
 def _broadcast_vectors(qs: DataFrame, ss: DataFrame, k: int) -> DataFrame:
-    rows = qs.select("query_id", "v").toPandas()          # size checked by the caller
+    rows = qs.toPandas()          # size checked by the caller
     if rows.empty:
         return qs.sparkSession.createDataFrame([], _hits(qs, ss))
-    shared = qs.sparkSession.sparkContext.broadcast((_stack(rows["v"]), rows["query_id"].to_numpy()))
+    classes = rows["_class"].to_numpy() if "_class" in rows else None
+    shared = qs.sparkSession.sparkContext.broadcast((_stack(rows["v"]), rows["query_id"].to_numpy(), classes))
 
     def scan(batches):
-        queries, ids = shared.value
         best = None
         for pdf in batches:
             if len(pdf):
-                new = _best_of(_stack(pdf["v"]), pdf[["section_id", "doc_id"]], queries, ids, k)
+                new = _best_seen(pdf, *shared.value, k)
                 best = new if best is None else _first(pd.concat([best, new]), k)
         if best is not None:
             yield best[["query_id", "section_id", "doc_id", "score"]]
@@ -283,32 +344,30 @@ def _broadcast_vectors(qs: DataFrame, ss: DataFrame, k: int) -> DataFrame:
 
 
 def _blocked_vectors(qs: DataFrame, ss: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
-    """Block-by-block product: sections in blocks per scope, questions sent to each block of their scope."""
+    """Block-by-block product: every block of questions is sent to every block of sections."""
     ss, qs = store(ss), store(qs)
-    sizes = ss.groupBy("scope").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_sb")).join(
-        qs.groupBy("scope").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("_qb")), "scope")
-    spread = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = ss.join(sizes, "scope").withColumn("sb", spread("section_id", "_sb")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.col("_qb") - 1))).select("scope", "sb", "qb", "section_id", "doc_id", "v")
-    right = qs.join(sizes, "scope").withColumn("qb", spread("query_id", "_qb")).withColumn(
-        "sb", F.explode(F.sequence(F.lit(0), F.col("_sb") - 1))).select("scope", "sb", "qb", "query_id", "v")
+    blocks = [max(1, -(-df.count() // n)) for df, n in ((ss, block_rows), (qs, block_queries))]
+
+    def dealt(df: DataFrame, key: str, own: int) -> DataFrame:
+        names = ("sb", "qb")
+        return df.withColumn(names[own], F.pmod(F.xxhash64(key), F.lit(blocks[own]))).withColumn(
+            names[1 - own], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks[1 - own] - 1).cast("long"))))
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"query_id": [], "section_id": [], "doc_id": [], "score": []})
-        return _best_of(_stack(a["v"]), a[["section_id", "doc_id"]], _stack(b["v"]), b["query_id"].to_numpy(), k)[
+        return _best_seen(a, _stack(b["v"]), b["query_id"].to_numpy(), b["_class"].to_numpy() if "_class" in b else None, k)[
             ["query_id", "section_id", "doc_id", "score"]]
-    keys = ["scope", "sb", "qb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, _hits(qs, ss))
+    return dealt(ss, "section_id", 0).groupBy("sb", "qb").cogroup(dealt(qs, "query_id", 1).groupBy("sb", "qb")).applyInPandas(
+        multiply, _hits(qs, ss))
 
 
 # --- blending ----------------------------------------------------------------------
 def minmax(hits: DataFrame, by: Sequence[str] = ("query_id",), score: str = "score") -> DataFrame:
     """scores to 0..1 per question; a zero span gives 0 for all."""
-    span = hits.groupBy(*by).agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    return hits.join(span, list(by)).withColumn("norm", (F.col(score) - F.col("_lo")) / F.when(
-        width == 0, F.lit(1.0)).otherwise(width)).drop("_lo", "_hi")
+    w = Window.partitionBy(*by)
+    low, high = F.min(score).over(w), F.max(score).over(w)
+    return hits.withColumn("norm", F.when(low == high, 0.0).otherwise((F.col(score) - low) / (high - low)))
 
 
 CHANNELS = ("keyword", "similarity", "vector")
@@ -340,11 +399,11 @@ def blend(channel_hits: Mapping[str, DataFrame], weights: Mapping[str, float], k
 
 def hybrid_search(questions: DataFrame, index: Index, vectors: DataFrame | None, k: int = 12,
                   domain: str = "default", requested: Sequence[str] = CHANNELS, rerank: int = 12,
-                  grants: DataFrame | None = None, **options) -> DataFrame:
+                  grants: DataFrame | Visibility | None = None, **options) -> DataFrame:
     """Channels over-fetch max(2k, rerank), are blended and cut to the first ``k``."""
     wide = max(2 * k, rerank)
     weights = active_channels(fixed.CHANNEL_WEIGHTS[domain], requested)
-    hits = {}
+    hits, grants = {}, _access(questions, grants)
     if "keyword" in weights:
         hits["keyword"] = keyword_search(questions, index, wide, grants=grants, **options)
     if "similarity" in weights:
@@ -382,12 +441,17 @@ def resolve(hits: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 # --- document search and questions-and-answers ---------------------------------------
+def best_documents(scores: DataFrame) -> DataFrame:
+    """The best section of each document among scored sections, ties by section id: a partial aggregate."""
+    pick = F.struct(-F.col("score"), F.col("section_id"))
+    return scores.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("section_id", "score"), pick).alias("b")).select(
+        "query_id", "doc_id", "b.section_id", "b.score")
+
+
 def search_documents(questions: DataFrame, index: Index, sections: DataFrame, page: int = 1, size: int = 10,
-                     grants: DataFrame | None = None, most: int = ALL, **options) -> DataFrame:
-    """best section per document of all hits (the first ``most``), one page of them; ``total`` counts all."""
-    hits = keyword_search(questions, index, most, grants=grants, **options)
-    best = hits.groupBy("query_id", "doc_id").agg(F.max_by(F.struct("section_id", "score"), F.struct(
-        F.col("score"), -F.col("rank"))).alias("b")).select("query_id", "doc_id", "b.section_id", "b.score")
+                     grants: DataFrame | Visibility | None = None, **options) -> DataFrame:
+    """best section per document of all hits, one page of them; ``total`` counts all documents."""
+    best = store(best_documents(keyword_scores(questions, index, grants=grants, **options)))
     ranked = top_k(best, page * size, tie=("section_id",), rank="position")
     total = best.groupBy("query_id").agg(F.count("*").alias("total"))
     shown = ranked.filter(F.col("position") > (page - 1) * size)

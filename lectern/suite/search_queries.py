@@ -20,8 +20,31 @@ def sections(spark, sf):
     return inputs.lines(spark, sf).withColumn("keywords", F.array("source", "body"))
 
 
+_INDEXES: dict[tuple, S.Index] = {}
+
+
+def _once(spark, sf, name, build):
+    """An index is built once for a session and a folder as it stands (its files and their times)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = fs.getContentSummary(path)
+    key = (spark.sparkContext.applicationId, sf, name, seen.getLength(), seen.getFileCount(),
+           fs.getFileStatus(path).getModificationTime())
+    if key not in _INDEXES:
+        _INDEXES[key] = build()
+    return _INDEXES[key]
+
+
 def index(spark, sf):
-    return S.build_index(sections(spark, sf), FIELDS)
+    return _once(spark, sf, "lines", lambda: S.build_index(sections(spark, sf), FIELDS))
+
+
+def body_index(spark, sf):
+    return _once(spark, sf, "body", lambda: S.build_index(inputs.lines(spark, sf), ("body",)))
+
+
+def stemmed_index(spark, sf):
+    return _once(spark, sf, "stems", lambda: S.build_index(inputs.lines(spark, sf), FIELDS, stem=True))
 
 
 def _analyzed(x):
@@ -113,14 +136,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 SELECT query_id, user_id, rank, doc_id, round(score, 6) AS score FROM r WHERE rank <= 3""")
 def search_visible_documents(spark, sf):
     """Three best documents per passage, by text relevance, that the asking user may see."""
-    ix = S.build_index(inputs.lines(spark, sf), ("body",))
     qs = questions(spark, sf)
-    terms = S.query_terms(qs)
-    wanted = ix.terms.join(F.broadcast(terms), "term").select("query_id", "field", "term", F.col("idf").alias("w"))
-    pairs = S.term_join(ix.postings, wanted, ["field", "term"], "section_id").groupBy("query_id", "section_id", "doc_id").agg(
-        F.round(F.sum(F.col("w") * F.col("impact")), 9).alias("score"))
-    docs = pairs.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")).join(F.broadcast(qs.select("query_id", "user_id")), "query_id")
-    return S.top_k(S.visible(docs, inputs.grants(spark, sf)), 3, tie="doc_id").select(
+    best = S.best_documents(S.keyword_scores(qs, body_index(spark, sf), {"body": 1.0}, inputs.grants(spark, sf)))
+    return S.top_k(best, 3, tie="doc_id").join(qs.select("query_id", "user_id"), "query_id").select(
         "query_id", "user_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -138,7 +156,7 @@ def search_keyword_filtered(spark, sf):
 @query("search_keyword_salted", f"WITH {KEYWORD} SELECT query_id, section_id, rank FROM khits WHERE rank <= 10")
 def search_keyword_salted(spark, sf):
     """F3 as for a question table too large to broadcast: hot terms are spread over salts."""
-    hits = S.keyword_search(questions(spark, sf), index(spark, sf), 10, max_broadcast=0, hot_rows=500)
+    hits = S.keyword_search(questions(spark, sf), index(spark, sf), 10, small=False, max_broadcast=0, hot_rows=500)
     return hits.select("query_id", "section_id", "rank")
 
 
@@ -249,8 +267,7 @@ SELECT query_id, position, p.doc_id, section_id, document_title, section_title,
   rtrim(substr(body, 1, 240)) || CASE WHEN length(body) > 240 THEN '…' ELSE '' END AS snippet, total FROM p JOIN lines USING (section_id) WHERE position > 10 AND position <= 20""")
 def search_documents(spark, sf):
     """second page of the document search."""
-    s = sections(spark, sf)
-    return S.search_documents(questions(spark, sf), S.build_index(s, FIELDS), s, page=2, size=10)
+    return S.search_documents(questions(spark, sf), index(spark, sf), sections(spark, sf), page=2, size=10)
 
 
 # --- stored questions ---------------------------------------------------------------------

@@ -111,20 +111,18 @@ def test_keyword_search_against_brute_force(spark):
                 if tf:
                     scores[s] = scores.get(s, 0) + idf * tf / (tf + 1.2 * (0.25 + 0.75 * len(d) / avg))
         want[q] = sorted(((-round(v, 9), s) for s, v in scores.items()))[:10]
-    for options in ({}, {"max_broadcast": 0, "hot_rows": 7}):
+    for options in ({}, {"small": False, "max_broadcast": 0, "hot_rows": 7}):
         got = S.keyword_search(questions, ix, 10, {"body": 1.0}, **options)
         for q in want:
             assert [r.section_id for r in got.filter(f"query_id = {q}").orderBy("rank").collect()] == [s for _, s in want[q]]
 
 
-def test_bucketed_index_scores_without_a_shuffle(spark):
+def test_blocks_score_without_a_shuffle(spark):
     _, df = corpus(spark)
     questions = spark.createDataFrame([(1, "alpha hot")], "query_id long, question string")
-    ix = S.build_index(df, ("body",), table="postings_bucketed", buckets=4)
-    wanted = ix.terms.join(F.broadcast(S.query_terms(questions)), "term").select("query_id", "field", "term", F.col("idf").alias("w"))
-    scored = S.term_join(ix.postings, wanted, ["field", "term"], "section_id").groupBy("query_id", "section_id").agg(F.sum("impact"))
+    ix = S.build_index(df, ("body",), blocks=4)
+    scored = S._scored(S._pairs(ix, S.keyword_terms(questions, ix, {"body": 1.0}), small=True), ["body"])
     assert "Exchange hashpartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
-    spark.sql("DROP TABLE postings_bucketed")
 
 
 def test_vectors_with_copies_and_blocks(spark):
