@@ -110,7 +110,10 @@ def steps() -> list[dict[str, str]]:
 
 
 def stem_words(words: DataFrame, word: str = "term") -> DataFrame:
-    """(word, stem) of the distinct words of a column: one narrow pass over the distinct words."""
+    """(word, stem) of the distinct words of a column: one narrow pass over the distinct words.
+
+    Store it before joining: a filter on ``stem`` pushed below the steps would repeat them all.
+    """
     df = words.select(F.col(word).alias("word")).distinct()
     for step in steps():
         df = df.withColumns({name: F.expr(value) for name, value in step.items()})

@@ -106,7 +106,8 @@ def query_terms(questions: DataFrame, text: str = "question", stem: bool = False
         "query_id", F.col("t.term").alias("term"), F.col("t.tf").alias("qtf"))
     if not stem:
         return terms
-    return terms.join(stem_words(terms).withColumnRenamed("word", "term"), "term").groupBy(
+    stems = store(stem_words(terms).withColumnRenamed("word", "term"))
+    return terms.join(broadcast_if_small(stems), "term").groupBy(
         "query_id", F.col("stem").alias("term")).agg(F.sum("qtf").alias("qtf"))
 
 
@@ -259,7 +260,8 @@ def similarity_search(questions: DataFrame, index: Index, k: int = 10, max_terms
 def _hits(qs: DataFrame, ss: DataFrame) -> str:
     """Schema of hits: ids keep the types they came with."""
     kind = {f.name: f.dataType.simpleString() for f in [*ss.schema, *qs.schema]}
-    return ", ".join(f"{c} {kind[c]}" for c in ("query_id", "section_id", "doc_id")) + ", score double"
+    return ", ".join(f"{c} {kind[c]}" for c in ("query_id", "section_id", "doc_id")) + ", score double" + (
+        ", group string" if "group" in ss.columns else "")
 
 
 def _best_of(matrix: np.ndarray, ids: pd.DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
@@ -278,9 +280,10 @@ def _best_of(matrix: np.ndarray, ids: pd.DataFrame, queries: np.ndarray, query_i
 def _best_seen(rows: pd.DataFrame, queries: np.ndarray, query_ids: np.ndarray, classes: np.ndarray | None, k: int
                ) -> pd.DataFrame:
     """F16: as `_best_of`, class by class: a class's questions meet the rows its users may see and no others."""
-    matrix, ids = _stack(rows["v"]), rows[["section_id", "doc_id"]]
+    if "group" not in rows or classes is not None:
+        matrix, ids = _stack(rows["v"]), rows[["section_id", "doc_id"]]
     if classes is None:
-        return _best_of(matrix, ids, queries, query_ids, k)
+        return _best_groups(rows, queries, query_ids, k) if "group" in rows else _best_of(matrix, ids, queries, query_ids, k)
     parts = [pd.DataFrame({"section_id": [], "doc_id": [], "query_id": [], "score": []}).astype(
         {"section_id": ids["section_id"].dtype, "doc_id": ids["doc_id"].dtype, "query_id": query_ids.dtype})]
     may = [frozenset(c) if c is not None else frozenset() for c in rows["_may"]]
@@ -288,13 +291,34 @@ def _best_seen(rows: pd.DataFrame, queries: np.ndarray, query_ids: np.ndarray, c
         at = np.flatnonzero(classes == name)
         seen = np.arange(len(rows)) if name == EVERYTHING else np.array([i for i, c in enumerate(may) if name in c], int)
         if len(seen):
-            parts.append(_best_of(matrix[seen], ids.iloc[seen], queries[at], query_ids[at], k))
+            parts.append(_best_groups(rows.iloc[seen], queries[at], query_ids[at], k) if "group" in rows else _best_of(
+                matrix[seen], ids.iloc[seen], queries[at], query_ids[at], k))
     return pd.concat(parts[1:] or parts)
 
 
+def _best_groups(rows: pd.DataFrame, queries: np.ndarray, query_ids: np.ndarray, k: int) -> pd.DataFrame:
+    """As `_best_of`, each group of rows standing for its best row: the first ``k`` groups per query."""
+    rows = rows.sort_values(["group", "section_id"], ignore_index=True)
+    start = np.flatnonzero(rows["group"].ne(rows["group"].shift()).to_numpy())
+    of = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(rows))))
+    matrix, ids = _stack(rows["v"]), rows[["section_id", "doc_id", "group"]]
+    step, parts = max(1, SCORES // len(matrix)), []
+    for lo in range(0, len(queries), step):
+        scores = np.round(matrix @ queries[lo:lo + step].T, 9)
+        best = np.maximum.reduceat(scores, start)
+        cut = np.partition(best, len(best) - k, axis=0)[len(best) - k] if len(best) > k else best.min(axis=0)
+        row, col = np.nonzero((scores == best[of]) & (best[of] >= cut))
+        out = ids.iloc[row].reset_index(drop=True)
+        out["query_id"], out["score"] = query_ids[lo:lo + step][col], scores[row, col]
+        parts.append(_first(out, k))
+    return pd.concat(parts)
+
+
 def _first(pairs: pd.DataFrame, k: int) -> pd.DataFrame:
-    return pairs.sort_values(["query_id", "score", "section_id"], ascending=[True, False, True]).groupby(
-        "query_id", sort=False).head(k)
+    pairs = pairs.sort_values(["query_id", "score", "section_id"], ascending=[True, False, True])
+    if "group" in pairs:
+        pairs = pairs.drop_duplicates(["query_id", "group"])
+    return pairs.groupby("query_id", sort=False).head(k)
 
 
 def _stack(vectors: pd.Series) -> np.ndarray:
@@ -309,26 +333,32 @@ def vector_search(questions: DataFrame, sections: DataFrame, k: int = 10, grants
     Vectors become unit vectors first.  While the questions' vectors fit ``max_query_values``
     (checked), they are broadcast and sections are read once, unshuffled, each task keeping ``k``
     per question.  Beyond that both sides are cut into blocks of bounded size and only ``k`` rows per question leave a
-    block; nothing ever emits all pairs.  F16: a section carries the classes that may see it and is stored once
+    block; nothing ever emits all pairs.  With a column ``group``, rows of a group stand for one hit, the best of them:
+    the first ``k`` groups.  F16: a section carries the classes that may see it and is stored once
     whatever the number of users; only visible pairs are scored.
     """
     unit = lambda df, *c: df.filter(F.col("vector").isNotNull() & (F.size("vector") > 0)).select(
         *c, l2_normalize(F.col("vector")).alias("v"))
     see = _access(questions, grants)
-    ss, qs = unit(sections, "section_id", "doc_id"), unit(questions, "query_id")
+    ss = unit(sections, "section_id", "doc_id", *(["group"] if "group" in sections.columns else []))
+    qs = unit(questions, "query_id")
     if see is not None:
         ss, qs = see.mark(ss), see.of(qs).withColumn("_class", F.when(F.col("_all"), EVERYTHING).otherwise(
             F.col("_class"))).drop("_all")
     size = qs.agg(F.sum(F.size("v"))).first()[0] or 0
-    if size <= max_query_values:
-        return top_k(_broadcast_vectors(qs, ss, k), k)
-    return top_k(_blocked_vectors(qs, ss, k, block_rows, block_queries), k)
+    found = (_broadcast_vectors(qs, ss, k) if size <= max_query_values
+             else _blocked_vectors(qs, ss, k, block_rows, block_queries))
+    if "group" in found.columns:
+        found = found.groupBy("query_id", "group").agg(F.min_by(F.struct("section_id", "doc_id", "score"), F.struct(
+            -F.col("score"), F.col("section_id"))).alias("b")).select("query_id", "group", "b.*")
+    return top_k(found, k)
 
 
 def _broadcast_vectors(qs: DataFrame, ss: DataFrame, k: int) -> DataFrame:
     rows = qs.toPandas()          # size checked by the caller
+    schema, columns = _hits(qs, ss), ["query_id", "section_id", "doc_id", "score", *(["group"] if "group" in ss.columns else [])]
     if rows.empty:
-        return qs.sparkSession.createDataFrame([], _hits(qs, ss))
+        return qs.sparkSession.createDataFrame([], schema)
     classes = rows["_class"].to_numpy() if "_class" in rows else None
     shared = qs.sparkSession.sparkContext.broadcast((_stack(rows["v"]), rows["query_id"].to_numpy(), classes))
 
@@ -339,8 +369,8 @@ def _broadcast_vectors(qs: DataFrame, ss: DataFrame, k: int) -> DataFrame:
                 new = _best_seen(pdf, *shared.value, k)
                 best = new if best is None else _first(pd.concat([best, new]), k)
         if best is not None:
-            yield best[["query_id", "section_id", "doc_id", "score"]]
-    return ss.mapInPandas(scan, _hits(qs, ss))
+            yield best[columns]
+    return ss.mapInPandas(scan, schema)
 
 
 def _blocked_vectors(qs: DataFrame, ss: DataFrame, k: int, block_rows: int, block_queries: int) -> DataFrame:
@@ -355,11 +385,12 @@ def _blocked_vectors(qs: DataFrame, ss: DataFrame, k: int, block_rows: int, bloc
 
     def multiply(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "section_id": [], "doc_id": [], "score": []})
+            return pd.DataFrame({c: [] for c in columns})
         return _best_seen(a, _stack(b["v"]), b["query_id"].to_numpy(), b["_class"].to_numpy() if "_class" in b else None, k)[
-            ["query_id", "section_id", "doc_id", "score"]]
+            columns]
+    schema, columns = _hits(qs, ss), ["query_id", "section_id", "doc_id", "score", *(["group"] if "group" in ss.columns else [])]
     return dealt(ss, "section_id", 0).groupBy("sb", "qb").cogroup(dealt(qs, "query_id", 1).groupBy("sb", "qb")).applyInPandas(
-        multiply, _hits(qs, ss))
+        multiply, schema)
 
 
 # --- blending ----------------------------------------------------------------------
@@ -480,19 +511,20 @@ def faq_fastpath(questions: DataFrame, faqs: DataFrame, min_score: float = 0.92,
         faqs.select("faq_id", F.col("question").alias("faq_question"), "answer"), "faq_id")
 
 
-def related_questions(hits: DataFrame, faqs: DataFrame, questions: DataFrame, k: int = 3, min_score: float = 0.55,
-                      most: int = ALL) -> DataFrame:
-    """up to three near stored questions, not the asked one, unique whatever the case.
+def related_questions(questions: DataFrame, faqs: DataFrame, k: int = 3, min_score: float = 0.55,
+                      grants: DataFrame | Visibility | None = None) -> DataFrame:
+    """up to ``k`` near stored questions, not the asked one, unique whatever the case.
 
-    All ``hits`` of the faq search count (the first ``most`` of a question).
+    Stored questions of one folded text are a group of the search, so any number of copies takes one place.
     """
-    near = hits.filter((F.col("score") >= min_score) & (F.col("rank") <= most)).join(
-        faqs.select("faq_id", F.col("question").alias("related")), "faq_id").join(
-        questions.select("query_id", "question"), "query_id")
     key = lambda c: fold_case(F.btrim(F.col(c)))
-    once = near.filter(key("related") != key("question")).groupBy("query_id", key("related").alias("_k")).agg(
-        F.min_by(F.struct("related", "score", "rank"), "rank").alias("b")).select("query_id", "b.*")
-    return top_k(once.withColumn("_r", -F.col("rank")), k, score="_r", tie="related", rank="position").drop("_r")
+    rows = faqs.select(F.col("faq_id").alias("section_id"), "doc_id", F.col("question_embedding").alias("vector"),
+                       key("question").alias("group"))
+    hits = vector_search(questions, rows, k + 1, grants).filter(F.col("score") >= min_score)
+    own = questions.select("query_id", key("question").alias("group"))
+    other = hits.join(broadcast_if_small(own), ["query_id", "group"], "left_anti").drop("rank")
+    return top_k(other, k, rank="position").join(faqs.select(F.col("faq_id").alias("section_id"), F.col("question").alias(
+        "related")), "section_id").select("query_id", "position", "related", "score")
 
 
 def faq_evidence(hits: DataFrame, faqs: DataFrame, k: int = 30) -> DataFrame:

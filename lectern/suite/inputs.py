@@ -52,10 +52,11 @@ QUESTIONS = (f"questions AS (SELECT conv_id * 1000 + turn AS query_id, conv_id,
 
 
 def benchmark_questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Passages as questions; the user asking is item_id % 150, as in the events."""
+    """Passages as questions, dealt to the users of the events."""
+    n = table(spark, sf, "events").agg(F.max("user_id") + 1).first()[0]
     return table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("question"),
-        (F.col("item_id") % 150).cast("string").alias("user_id"))
+        (F.col("item_id") % n).cast("string").alias("user_id"))
 
 
 def grants(spark: SparkSession, sf: str) -> DataFrame:

@@ -5,7 +5,7 @@ that link is synthetic, the arithmetic is not.
 """
 from pyspark.sql import functions as F
 
-from lectern.functions import fixed
+from lectern.functions import fixed, stemming
 from lectern.functions import text as T
 from lectern.operators import questions as Q
 from lectern.plans import search as S
@@ -60,7 +60,7 @@ postings AS MATERIALIZED (SELECT field, term, section_id, doc_id, tf / (tf + 1.2
   UNION ALL SELECT 'keywords', t, section_id, doc_id, (1 / 2.2::DOUBLE) FROM (SELECT DISTINCT section_id, doc_id, unnest([{sql.norm('source')}, {sql.norm('body')}]) AS t FROM lines)),
 terms AS MATERIALIZED (SELECT field, term, df, ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf, n_docs
   FROM (SELECT field, term, count(*) AS df FROM postings GROUP BY 1, 2) JOIN fstats USING (field)),
-bench AS (SELECT item_id AS query_id, text AS question, (item_id % 150)::VARCHAR AS user_id FROM benchmark),
+bench AS (SELECT item_id AS query_id, text AS question, (item_id % (SELECT max(user_id) + 1 FROM events))::VARCHAR AS user_id FROM benchmark),
 qtf AS MATERIALIZED (SELECT query_id, t AS term, count(*) AS qtf FROM (SELECT query_id, unnest({_analyzed('question')}) AS t FROM bench) GROUP BY 1, 2)"""
 _BOOST = "CASE field " + " ".join(f"WHEN {sql.q(f)} THEN {b}::DOUBLE" for f, b in fixed.FIELD_BOOSTS.items()) + " END"
 KEYWORD = f"""{INDEX}, kq AS (SELECT query_id, term, field, 1.0::DOUBLE AS qw FROM qtf, (SELECT unnest({sql.arr(FIELDS)}) AS field)
@@ -160,25 +160,86 @@ def search_keyword_salted(spark, sf):
     return hits.select("query_id", "section_id", "rank")
 
 
-@query("search_fuzzy_terms", f"""
-WITH {INDEX}, v AS (SELECT DISTINCT term AS match FROM terms WHERE field = 'document_title'), t AS (SELECT DISTINCT term FROM qtf),
-j AS (SELECT term, match, levenshtein(translate(term, 'éèêçñóíáúäöüàâîôû', 'ABCDEFGHIJKLMNOPQR'), translate(match, 'éèêçñóíáúäöüàâîôû', 'ABCDEFGHIJKLMNOPQR')) AS distance, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS n FROM t, v
-  WHERE abs(length(term) - length(match)) <= 2)
-SELECT term, match, distance::INT AS distance, round(1 - distance / least(length(term), length(match)), 6) AS weight FROM j WHERE distance <= n""")
+_LETTERS = "translate({}, 'éèêçñóíáúäöüàâîôû', 'ABCDEFGHIJKLMNOPQR')"
+FUZZY = f"""fv AS MATERIALIZED (SELECT DISTINCT term AS match, length(term) AS l FROM terms WHERE field <> 'keywords'), ft AS (SELECT DISTINCT term FROM qtf),
+fa AS MATERIALIZED (SELECT term, length(term) AS l, CASE WHEN length(term) <= 2 THEN 0 WHEN length(term) <= 5 THEN 1 ELSE 2 END AS n FROM ft),
+fnear AS MATERIALIZED (SELECT fa.term, match, levenshtein({_LETTERS.format('fa.term')}, {_LETTERS.format('match')}) AS distance, least(fa.l, fv.l) AS short FROM fa, fv
+  WHERE fv.l BETWEEN fa.l - n AND fa.l + n AND (n > 0 OR term = match) AND distance <= n)"""
+
+
+@query("search_fuzzy_terms", f"WITH {INDEX}, {FUZZY} SELECT term, match, distance::INT AS distance, round(1 - distance / short, 6) AS weight FROM fnear")
 def search_fuzzy_terms(spark, sf):
-    """passage words near words of document titles (the SQL maps accented letters to one byte each, as it counts edits in bytes)."""
-    ix = S.build_index(inputs.lines(spark, sf), ("document_title",))
-    return S.fuzzy_terms(S.query_terms(questions(spark, sf)), ix.terms).select(
+    """passage words near words of any field (the SQL maps accented letters to one byte each, as it counts edits in bytes)."""
+    ix = index(spark, sf)
+    return S.fuzzy_terms(S.query_terms(questions(spark, sf)), ix.terms.filter(F.col("field") != "keywords")).select(
         "term", "match", "distance", F.round("weight", 6).alias("weight"))
 
 
+@query("search_keyword_fuzzy", f"""
+WITH {INDEX}, {FUZZY}, fq AS (SELECT query_id, match AS term, max(1 - distance / short) AS qw FROM qtf JOIN fnear USING (term) GROUP BY 1, 2),
+kq AS (SELECT query_id, term, field, qw FROM fq, (SELECT unnest({sql.arr(FIELDS)}) AS field) UNION ALL SELECT query_id, {sql.norm('question')}, 'keywords', 1.0 FROM bench),
+kpf AS (SELECT query_id, section_id, doc_id, field, sum(idf * qw * {_BOOST} * impact) AS s FROM kq JOIN (SELECT field, term, idf FROM terms) USING (field, term) JOIN postings USING (field, term) GROUP BY ALL),
+p AS (SELECT query_id, section_id, doc_id, round(max(s), 9) AS score FROM kpf GROUP BY ALL)
+SELECT query_id, section_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM p QUALIFY rank <= 10""")
+def search_keyword_fuzzy(spark, sf):
+    """first ten sections per passage, words within their edits counted at the weight of their distance."""
+    return S.keyword_search(questions(spark, sf), index(spark, sf), 10, fuzzy=True).withColumn("score", F.round("score", 6))
+
+
+_STEMS = f"""{INDEX}, sw AS (SELECT DISTINCT term AS word FROM (SELECT term FROM tf UNION ALL SELECT term FROM qtf)), {stemming.stem_sql('sw', 'stems')},
+stf AS MATERIALIZED (SELECT field, section_id, doc_id, n, stem AS term, sum(tf) AS tf FROM tf JOIN stems ON word = term GROUP BY ALL),
+spost AS MATERIALIZED (SELECT field, term, section_id, doc_id, tf / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * (n / avg_len))) AS impact FROM stf JOIN fstats USING (field)),
+sterms AS MATERIALIZED (SELECT field, term, df, ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) AS idf FROM (SELECT field, term, count(*) AS df FROM spost GROUP BY 1, 2) JOIN fstats USING (field)),
+sq AS (SELECT DISTINCT query_id, stem AS term FROM qtf JOIN stems ON word = term)"""
+
+
+@query("search_stems", f"WITH {_STEMS} SELECT field, term, df, round(idf, 6) AS idf FROM sterms")
+def search_stems(spark, sf):
+    """terms of an index of stems."""
+    return stemmed_index(spark, sf).terms.select("field", "term", "df", F.round("idf", 6).alias("idf"))
+
+
+@query("search_keyword_stemmed", f"""
+WITH {_STEMS}, kpf AS (SELECT query_id, section_id, doc_id, field, sum(idf * {_BOOST} * impact) AS s FROM sq JOIN sterms USING (term) JOIN spost USING (field, term) GROUP BY ALL),
+p AS (SELECT query_id, section_id, doc_id, round(max(s), 9) AS score FROM kpf GROUP BY ALL)
+SELECT query_id, section_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM p QUALIFY rank <= 10""")
+def search_keyword_stemmed(spark, sf):
+    """first ten sections per passage by stems."""
+    return S.keyword_search(questions(spark, sf), stemmed_index(spark, sf), 10).withColumn("score", F.round("score", 6))
+
+
+@query("search_keyword_visible", f"""
+WITH {KEYWORD}, {inputs.GRANTS}, boss AS (SELECT DISTINCT user_id FROM grants WHERE doc_id = '*'),
+v AS (SELECT k.query_id, section_id, k.doc_id, k.score FROM kpairs k JOIN bench USING (query_id) WHERE user_id IN (SELECT user_id FROM boss)
+  OR EXISTS (SELECT 1 FROM grants g WHERE g.user_id = bench.user_id AND g.doc_id = k.doc_id::VARCHAR))
+SELECT query_id, section_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, section_id) AS rank FROM v QUALIFY rank <= 10""")
+def search_keyword_visible(spark, sf):
+    """First ten sections that the asking user may see; hidden ones are never scored."""
+    return S.keyword_search(questions(spark, sf), index(spark, sf), 10, grants=inputs.grants(spark, sf)).withColumn(
+        "score", F.round("score", 6))
+
+
+@query("search_visibility_classes", f"""
+WITH {inputs.GRANTS}, bench AS (SELECT item_id AS query_id, (item_id % (SELECT max(user_id) + 1 FROM events))::VARCHAR AS user_id FROM benchmark),
+u AS (SELECT user_id, bool_or(doc_id = '*') AS boss, string_agg(DISTINCT doc_id, ',' ORDER BY doc_id) AS docs FROM grants WHERE user_id IN (SELECT user_id FROM bench) GROUP BY 1),
+c AS (SELECT user_id, boss, docs, min(user_id) OVER (PARTITION BY docs) AS head FROM u)
+SELECT query_id, boss AS sees_all, CASE WHEN boss THEN '*' ELSE 'of ' || head END AS class,
+  CASE WHEN boss THEN 0 ELSE len(string_split(docs, ',')) END AS n_docs FROM bench JOIN c USING (user_id)""")
+def search_visibility_classes(spark, sf):
+    """F16: the class of each asking user, and how many documents it may see."""
+    see = S.visibility(questions(spark, sf), inputs.grants(spark, sf))
+    sizes = see.documents.select(F.explode("_may").alias("_class")).groupBy("_class").agg(F.count("*").alias("n"))
+    return see.askers.join(sizes, "_class", "left").select("query_id", F.col("_all").alias("sees_all"), F.col("_class").alias(
+        "class"), F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
 @query("search_similar", f"WITH {INDEX}, {SIMILAR} SELECT query_id, section_id, doc_id, round(score, 6) AS score, rank FROM shits WHERE rank <= 10")
 def search_similar(spark, sf):
     """more like the passage."""
     return S.similarity_search(questions(spark, sf), index(spark, sf), 10).withColumn("score", F.round("score", 6))
 
 
-_VEC_ONLY = f"{inputs.LINES}, bench AS (SELECT item_id AS query_id, text AS question, (item_id % 150)::VARCHAR AS user_id FROM benchmark), {VECTOR}"
+_VEC_ONLY = f"{inputs.LINES}, bench AS (SELECT item_id AS query_id, text AS question, (item_id % (SELECT max(user_id) + 1 FROM events))::VARCHAR AS user_id FROM benchmark), {VECTOR}"
 
 
 @query("search_vector", f"WITH {_VEC_ONLY} SELECT query_id, section_id, doc_id, round(score, 6) AS score, rank FROM vhits WHERE rank <= 10")
@@ -298,13 +359,12 @@ def search_faq(spark, sf):
 
 @query("search_related_questions", f"""
 WITH {_FAQ}, n AS (SELECT h.query_id, f.question AS related, h.rank, lower(trim(f.question)) AS k FROM fhits h JOIN faqs f USING (faq_id) JOIN bench b USING (query_id)
-  WHERE h.rank <= 8 AND h.score >= 0.2 AND lower(trim(f.question)) <> lower(trim(b.question))),
+  WHERE h.score >= 0.2 AND lower(trim(f.question)) <> lower(trim(b.question))),
 o AS (SELECT query_id, k, arg_min(related, rank) AS related, min(rank) AS rank FROM n GROUP BY 1, 2)
 SELECT query_id, related, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM o QUALIFY position <= 3""")
 def search_related_questions(spark, sf):
     """F21 with a low threshold, as the vectors are random."""
-    f, q = faqs(spark, sf), vector_questions(spark, sf)
-    return S.related_questions(S.faq_search(q, f, 8), f, q, min_score=0.2).select("query_id", "related", "position")
+    return S.related_questions(vector_questions(spark, sf), faqs(spark, sf), min_score=0.2).select("query_id", "related", "position")
 
 
 @query("search_faq_evidence", f"""
