@@ -5,10 +5,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lectern.functions.hof import any_contains, let
 from lectern.functions.text import parse_faq, strip
+from lectern.plans.common import store
 
 # --- fixed values: category words, in order -------------------------------------
 CATEGORY_WORDS = (
@@ -98,6 +98,7 @@ def eval_summary(results: DataFrame) -> DataFrame:
 
     Percentiles come from the histogram of distinct latencies, never from one collected list.
     """
+    results = store(results.select("hit_at_1", "hit_at_3", "reciprocal_rank", "via_faq", "latency_ms", "error"))
     ok = results.filter(F.coalesce("error", F.lit("")) == "")
     totals = ok.agg(F.count("*").alias("n"), _rate("hit_at_1").alias("hit_at_1"), _rate("hit_at_3").alias("hit_at_3"),
                     F.avg("reciprocal_rank").alias("mrr"), _rate("via_faq").alias("faq_share"))
@@ -105,28 +106,30 @@ def eval_summary(results: DataFrame) -> DataFrame:
     return totals.join(F.broadcast(errors)).join(F.broadcast(exact_elements(ok, "latency_ms", (0.5, 0.95))))
 
 
-def exact_elements(df: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    """Exact order statistics ``sorted[int(n * share)]`` as p50, p95 …
+def exact_elements(df: DataFrame, value: str, shares: Sequence[float], buckets: int = 1024) -> DataFrame:
+    """Exact order statistics ``sorted[int(n * share)]`` as p50, p95 … of finite values; nulls do not count.
 
-    Values are range-partitioned and counted per partition; a share's element is the value whose
-    running count first passes its position, found from per-partition totals (one row a partition)
-    and one partition's rows.
+    Each share's element is narrowed down by histograms: values between two bounds are counted in equal ranges, and the
+    range that holds the position goes on with its own least and largest value, until these are one.  At most
+    ``buckets`` counts come to the driver a round, and ranges are taken from values alone, however rows are partitioned.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(value).count()
-    ranged = counts.repartitionByRange(value).sortWithinPartitions(value).withColumn("_p", F.spark_partition_id())
-    return _elements(ranged, value, shares)
-
-
-def _elements(ranged: DataFrame, value: str, shares: Sequence[float]) -> DataFrame:
-    totals = ranged.groupBy("_p").agg(F.sum("count").alias("_c"))          # one row per partition
-    order = Window.orderBy("_p")
-    placed = totals.withColumn("_before", F.sum("_c").over(order) - F.col("_c")).withColumn(
-        "_n", F.sum("_c").over(Window.partitionBy()))
-    inside = Window.partitionBy("_p").orderBy(value)
-    run = ranged.join(F.broadcast(placed), "_p").withColumn(
-        "_upto", F.col("_before") + F.sum("count").over(inside))
-    return run.agg(*[F.min(F.when(F.col("_upto") > F.floor(F.col("_n") * F.lit(s)), F.col(value))).alias(
-        f"p{round(s * 100)}") for s in shares])
+    v = F.col(value).cast("double")
+    rows = df.select(v.alias("v")).filter("v is not null")
+    least, most, n = rows.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    found = []
+    for s in shares:
+        low, high, position = least, most, int(n * s)
+        while low is not None and low < high:
+            place = F.least(F.floor((F.col("v") - low) / (high - low) * buckets), F.lit(buckets - 1))
+            for r in rows.filter(F.col("v").between(low, high)).groupBy(place.alias("b")).agg(
+                    F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("b").collect():
+                if position < r["n"]:
+                    low, high = r["low"], r["high"]
+                    break
+                position -= r["n"]
+        found.append(low)
+    names = [f"p{round(s * 100)}" for s in shares]
+    return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"{c} double" for c in names))
 
 
 def eval_breakdown(results: DataFrame) -> DataFrame:

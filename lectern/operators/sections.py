@@ -1,7 +1,8 @@
 """Documents to titled sections, chunks and excerpts.
 
 Everything here is a narrow projection: a document's lines, units and sections stay arrays inside
-its row until the final explode, so sectioning never shuffles, whatever the spread of sizes.
+its row until the final explode, so sectioning never shuffles, whatever the spread of sizes.  Only reductions
+store their rounds.
 """
 from __future__ import annotations
 
@@ -15,6 +16,7 @@ from lectern.functions import fixed
 from lectern.functions.hof import STRINGS, indices, let, pack, slices_from
 from lectern.functions.text import (clean_whitespace, collapse, estimate_tokens, file_stem, fold_case, head,
                                     strip, strip_tags, truncate, words)
+from lectern.plans.common import store
 
 UNITS = "array<struct<tag:string,text:string>>"
 SECTIONS = "array<struct<title:string,text:string>>"
@@ -278,41 +280,40 @@ def format_partials(parts: Column) -> Column:
         F.lit("Partial summary "), (i + 1).cast("string"), F.lit(":\n"), p)), "\n\n")
 
 
-def plan_reduction(df: DataFrame, parts: str, budget: int, floor: int = 250, rounds: int = 6,
+def plan_reduction(df: DataFrame, parts: str, budget: int, floor: int = 250,
                    combine: Callable[[Column], Column] | None = None) -> DataFrame:
     """Reduce an array of partial summaries to one text in ``reduced``.
 
     Each round packs partials into batches (entry text with its prefix, +12 per join) of half the
-    former budget, never under ``floor``, and combines each batch; the loop ends when one is left,
+    former budget, never under ``floor``, and combines each batch; a row is finished when one is left,
     all fit the budget, or nothing changes.  ``combine`` maps a text to a text (default: truncate
-    to 4 characters per budget token).  ``rounds`` bounds the plan; what is left then is joined.
+    to 4 characters per budget token).  Rounds go on until no row is active: an active row loses at least one partial
+    a round, finished rows are set aside, and each round reads the stored rows of the one before.
     """
     clean = lambda arr: F.filter(F.transform(arr, strip), lambda x: x != "")
     entry = lambda p: estimate_tokens(F.concat(F.lit("Partial summary:\n"), p))
     effective = max(budget, floor)
-    combine = combine or (lambda t: truncate(t, 4 * effective))
-    out = df.withColumn("_w", clean(F.col(parts))).withColumn("_done", F.lit(None).cast("string"))
-    for _ in range(rounds):
+    shorten = combine or (lambda t: truncate(t, 4 * max(budget, floor)))
+    active, finished = df.withColumn("_w", clean(F.coalesce(F.col(parts), F.array().cast(STRINGS)))), None
+    while True:
         batch_budget = max(floor, effective // 2)
 
         def reduce_once(w):
             batches = let(pack(w, entry, batch_budget, 12), lambda b: F.when(
                 F.size(b) <= 1, F.transform(w, lambda x: F.array(x))).otherwise(b))
             return F.transform(batches, lambda b: F.when(F.size(b) == 1, F.element_at(b, 1)).otherwise(
-                combine(format_partials(b))))
+                shorten(format_partials(b))))
         formatted = format_partials(F.col("_w"))
-        out = out.withColumn("_n", F.when(F.col("_done").isNull() & (F.size("_w") > 1),
-                                          reduce_once(F.col("_w"))))
-        out = out.withColumn("_done", F.coalesce(
-            "_done", F.when(F.size("_w") == 0, F.lit(""))
-            .when(F.size("_w") == 1, F.element_at("_w", 1))
-            .when(estimate_tokens(formatted) <= effective, combine(formatted))
-            .when(F.col("_n") == F.col("_w"), formatted)))
-        out = out.withColumn("_w", F.when(F.col("_done").isNull(), clean(F.col("_n"))).otherwise(F.col("_w")))
+        turn = active.withColumn("_n", F.when(F.size("_w") > 1, reduce_once(F.col("_w")))).withColumn(
+            "reduced", F.when(F.size("_w") == 0, F.lit("")).when(F.size("_w") == 1, F.element_at("_w", 1))
+            .when(estimate_tokens(formatted) <= effective, shorten(formatted)).when(F.col("_n") == F.col("_w"), formatted))
+        turn = store(turn.withColumn("_w", F.when(F.col("reduced").isNull(), clean(F.col("_n")))).drop("_n"))
+        done = turn.filter("reduced is not null").drop("_w")
+        finished = done if finished is None else finished.unionByName(done)
+        active = turn.filter("reduced is null").drop("reduced")
+        if active.isEmpty():
+            return finished
         effective = batch_budget
-    return out.withColumn("reduced", F.coalesce("_done", F.when(
-        F.size("_w") == 1, F.element_at("_w", 1)).otherwise(format_partials(F.col("_w"))))
-    ).drop("_w", "_n", "_done")
 
 
 # --- outlines, overviews, excerpts ---------------------------------------------

@@ -2,9 +2,10 @@
 import math
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from lectern.operators import access as A, conversation as C, evaluation as V, usage as U
+from lectern.operators import access as A, conversation as C, evaluation as V, sections as SE, usage as U
 from lectern.plans import common, search as S
 from lectern.sources import files, messages
 
@@ -167,6 +168,57 @@ def test_order_statistics_and_comparison(spark):
     assert (r.common, r.regressions, r.improvements, r.hit_at_1_delta) == (3, 1, 1, 0.0)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_order_statistics_of_skewed_values(spark, seed):
+    rng = random.Random(seed)
+    values = [rng.choice([0.0, 1e-9, 3.5, 1e12, -7.25, rng.random(), rng.gauss(0, 1) * 1e6]) for _ in range(997 + seed)] + [2.0] * 400
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 50, "x double").repartition(7)
+    shares = (0.0, 0.25, 0.5, 0.95, 0.999)
+    got = tuple(V.exact_elements(df, "x", shares, buckets=8).first())
+    assert got == tuple(sorted(values)[int(len(values) * s)] for s in shares)
+    assert tuple(V.exact_elements(df.filter("x is null"), "x", (0.5,)).first()) == (None,)
+
+
+def reduce_all(parts, budget, floor, keep):
+    """The rounds of a reduction, one text at a time, and how many there were."""
+    tokens = lambda t: 0 if not t.strip() else max(1, -(-len(t.strip()) // 4), int(len(t.split()) * 1.3))
+    show = lambda ps: "\n\n".join(f"Partial summary {i}:\n{p}" for i, p in enumerate(ps, 1))
+    now, effective, rounds = [p.strip() for p in parts if p.strip()], max(budget, floor), 0
+    while True:
+        rounds += 1
+        if len(now) < 2:
+            return (now or [""])[0], rounds
+        if tokens(show(now)) <= effective:
+            return keep(show(now)), rounds
+        limit, batches, size = max(floor, effective // 2), [], 0
+        for p in now:
+            n = tokens("Partial summary:\n" + p)
+            if batches and size + n + 12 <= limit:
+                batches[-1].append(p)
+                size += n + 12
+            else:
+                batches.append([p])
+                size = n
+        if len(batches) <= 1:
+            batches = [[p] for p in now]
+        after = [b[0] if len(b) == 1 else keep(show(b)) for b in batches]
+        if after == now:
+            return show(now), rounds
+        now, effective = [p.strip() for p in after if p.strip()], limit
+
+
+def test_reductions_go_on_until_nothing_is_left_to_do(spark):
+    rng = random.Random(2)
+    word = lambda n: " ".join("x" * rng.randint(1, 6) for _ in range(n))
+    data = [(0, []), (1, [" "]), (2, ["one"]), (3, ["a", " ", "b"]), (4, [word(60) for _ in range(1500)]), (5, [word(3000), word(2000)]),
+            (6, [word(rng.randint(1, 90)) for _ in range(300)]), (7, None), (8, ["a short text here"] * 400)]
+    df = spark.createDataFrame([(i, p, "extra") for i, p in data], "i int, p array<string>, reduced_by string")
+    got = {r.i: r.reduced for r in SE.plan_reduction(df, "p", 120, 60, combine=lambda t: F.substring(t, 1, 40)).collect()}
+    want = {i: reduce_all(p or [], 120, 60, lambda t: t[:40]) for i, p in data}
+    assert got == {i: t for i, (t, _) in want.items()}
+    assert max(n for _, n in want.values()) > 6
+
+
 def test_messages_and_dead_letters(spark):
     raw = ['{"content": "aGk=", "encoding": "base64", "source_path": "/a"}', '{"content": "x"}', "not json", '{"content": "y", "source_path": "/b"}']
     parsed = messages.parse_messages(spark.createDataFrame([(r,) for r in raw], "value string"))
