@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed, stemming
 from lectern.functions import text as T
 from lectern.operators import questions as Q
-from lectern.plans import search as S
+from lectern.plans import cells, search as S
 from lectern.suite import inputs, query, sql, table
 from lectern.suite import text_queries as TQ
 
@@ -267,6 +267,13 @@ def search_vector_visible(spark, sf):
         "query_id", "section_id", "rank", F.round("score", 6).alias("score"))
 
 
+@query("search_vector_recall")
+def search_vector_recall(spark, sf):
+    """F7, approximate mode: of the ten nearest sections of each passage by the exact search, how many the cells find."""
+    q, s = vector_questions(spark, sf), vector_sections(spark, sf)
+    return cells.recall_of(cells.approximate_search(q, s, 10), S.vector_search(q, s, 10))
+
+
 def _norm_cte(name, hits, k):
     return (f"{name} AS (SELECT query_id, section_id, doc_id, (score - min(score) OVER w) / CASE WHEN max(score) OVER w = min(score) OVER w THEN 1 ELSE "
             f"max(score) OVER w - min(score) OVER w END AS norm FROM {hits} WHERE rank <= {k} WINDOW w AS (PARTITION BY query_id))")

@@ -7,7 +7,7 @@ import pytest
 
 from lectern.functions import stemming
 from lectern.operators import access as A
-from lectern.plans import search as S
+from lectern.plans import cells, search as S
 from lectern.plans import spelling
 
 STEMS = dict(zip(*[iter("""
@@ -168,3 +168,22 @@ def test_class_names_cannot_pass_for_administrators(spark):
     q = spark.createDataFrame([(1, "x", "*")], "query_id long, question string, user_id string")
     g = spark.createDataFrame([("*", "3")], "user_id string, doc_id string")
     assert rows(A.visibility(q, g).askers) == [(1, "of *", False)]
+
+
+def test_cells_reach_their_recall(spark):
+    rng = random.Random(21)
+    base = [[rng.gauss(0, 1) for _ in range(12)] for _ in range(25)]
+    s = [(f"s{i:04d}", i % 5, [x + rng.gauss(0, 0.4) for x in base[0 if i % 3 == 0 else i % 25]]) for i in range(1500)]   # a third in one cell
+    q = [(i, [x + rng.gauss(0, 0.4) for x in base[i]], "ann" if i % 2 else "root") for i in range(20)] + [(99, [], "root"), (98, base[0], None)]
+    sd = spark.createDataFrame(s, "section_id string, doc_id long, vector array<double>")
+    qd = spark.createDataFrame(q, "query_id long, vector array<double>, user_id string")
+    gd = spark.createDataFrame([("ann", "1"), ("ann", "4"), ("root", "*")], "user_id string, doc_id string")
+    for g in (None, gd):
+        found = cells.approximate_search(qd, sd, 8, g, cells=24, sample=400, block_rows=150, block_queries=3)
+        got = rows(cells.recall_of(found, S.vector_search(qd, sd, 8, g)))
+        assert len(got) == (21 if g is None else 20) and sum(r[2] for r in got) >= 0.9 * sum(r[1] for r in got)
+        if g is not None:
+            assert {r.doc_id for r in found.filter("query_id % 2 = 1").collect()} <= {1, 4}
+    whole = cells.approximate_search(qd, sd, 8, None, cells=1)                                        # one cell: exact
+    assert rows(whole.select("query_id", "section_id", "rank")) == rows(S.vector_search(qd, sd, 8).select("query_id", "section_id", "rank"))
+    assert cells.approximate_search(qd, sd.limit(0), 8).count() == 0
