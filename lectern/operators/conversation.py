@@ -5,6 +5,8 @@ message, counts) are partial aggregates, so one very long thread does not become
 """
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql.window import Window
 from lectern.functions.hof import STRINGS
 from lectern.functions.text import (collapse, compact_message, fold_case, label, parse_profile, path_key,
                                     profile_is_empty, strip, truncate)
+from lectern.plans.common import store
 
 THREAD = "thread_id"
 
@@ -173,31 +176,134 @@ def answer_key(question: Column, active_docs: Column) -> Column:
         F.sort_array(active_docs), "\x01")), 256), 1, 24)
 
 
+NEVER, ALWAYS = -(1 << 62), (1 << 62)
+
+
+def _stored_by_block(rows: DataFrame, ttl: int) -> DataFrame:
+    """Each block of a key (named by its first microsecond) as a function: from the time an entry was stored before it to the time one is stored after it.
+
+    A block is a step function with one row per step: an entry of time at most ``upto`` (and above the step before)
+    leaves ``stored``.  Every block has a last step with ``upto`` = ALWAYS, so none is without rows.  Entries are alive
+    for ``ttl`` and a block is longer, so an entry that no time of the block replaces has died at its end.
+    The steps are the distinct storing times of the block's first lifetime, fewer where their ways meet later; a step's
+    way through the block is one sorted search a lifetime for all steps together.
+    """
+    def through(upto, stored, times):
+        """The steps after more storing times (sorted), ways that have met made one."""
+        while len(times):
+            at = np.searchsorted(times, stored + ttl, "right")
+            again = at < len(times)
+            if not again.any():
+                break
+            stored = np.where(again, times[np.minimum(at, len(times) - 1)], stored)
+            last = np.append(stored[1:] != stored[:-1], True)
+            upto, stored = upto[last], stored[last]
+        return upto, stored
+
+    def run(batches):
+        key, upto, stored = None, None, None
+
+        def steps(closed):
+            if len(closed[0]) and closed[0][-1] == ALWAYS:
+                u, s = closed
+            else:
+                u, s = np.append(closed[0], ALWAYS), np.append(closed[1], NEVER)
+            for at in range(0, len(u), 65536):
+                some = slice(at, at + 65536)
+                yield pd.DataFrame({"key": key[0], "block": key[1], "upto": u[some], "stored": s[some]})
+        none = np.zeros(0, np.int64)
+        for pdf in batches:
+            for (k, b), part in pdf.groupby(["key", "block"], sort=False):
+                if (k, b) != key:
+                    if key is not None:
+                        yield from steps((upto, stored))
+                    key, upto, stored = (k, b), none, none
+                times = np.unique(part["t"].to_numpy()[part["ok"].to_numpy(bool)])
+                first = times[times < b + ttl]                  # entries of earlier blocks may still be alive
+                fresh = first if not len(stored) else first[first > stored[-1]]
+                upto, stored = np.append(upto, fresh - ttl - 1), np.append(stored, fresh)
+                later = times[len(first):]
+                if len(later) and not (len(upto) and upto[-1] == ALWAYS):   # all entries of earlier blocks are dead here
+                    upto, stored = np.append(upto, ALWAYS), np.append(stored, later[0])
+                upto, stored = through(upto, stored, later)
+        if key is not None:
+            yield from steps((upto, stored))
+    return rows.select("key", "block", "t", "ok").repartition("key", "block").sortWithinPartitions(
+        "key", "block", "t").mapInPandas(run, "key string, block long, upto long, stored long")
+
+
+def _entry_of_block(functions: DataFrame) -> DataFrame:
+    """Scan of the blocks' functions in the order of each key: the entry that every block starts with."""
+    def run(batches):
+        key = block = entry = None
+        after = NEVER
+        for pdf in batches:
+            keys, blocks, starts = [], [], []
+            for (k, b), part in pdf.groupby(["key", "block"], sort=False):
+                if (k, b) != (key, block):
+                    entry = NEVER if k != key else after
+                    key, block, open_ = k, b, True
+                    keys.append(k), blocks.append(b), starts.append(entry)
+                at = int(np.searchsorted(part["upto"].to_numpy(), entry, "left"))
+                if open_ and at < len(part):                     # a block's steps may go over several batches
+                    after, open_ = int(part["stored"].iloc[at]), False
+            if keys:
+                yield pd.DataFrame({"key": keys, "block": blocks, "entry": starts})
+    return functions.repartition("key").sortWithinPartitions("key", "block", "upto").mapInPandas(
+        run, "key string, block long, entry long")
+
+
+def _hits(rows: DataFrame, ttl: int) -> DataFrame:
+    """Rows of blocks with their entry, in order: one sorted search for each entry stored, not for each row."""
+    def run(batches):
+        key, entry = None, NEVER
+        for pdf in batches:
+            found = []
+            for (k, b), part in pdf.groupby(["key", "block"], sort=False):
+                if (k, b) != key:
+                    key, entry = (k, b), int(part["entry"].iloc[0])
+                t, ok = part["t"].to_numpy(), np.flatnonzero(part["ok"].to_numpy(bool))
+                hit, at = np.zeros(len(t), bool), 0
+                while at < len(t):
+                    end = max(at, int(np.searchsorted(t, entry + ttl, "right")))
+                    hit[at:end] = True
+                    store = np.searchsorted(ok, end)
+                    if end == len(t) or store == len(ok):
+                        break
+                    entry, at = int(t[ok[store]]), int(ok[store]) + 1
+                found.append(hit)
+            yield pd.DataFrame({"key": pdf["key"], "query_id": pdf["query_id"], "hit": np.concatenate(found)
+                                if found else np.zeros(0, bool)})
+    kind = rows.schema["query_id"].dataType.simpleString()
+    return rows.repartition("key", "block").sortWithinPartitions("key", "block", "t", "query_id").mapInPandas(
+        run, f"key string, query_id {kind}, hit boolean")
+
+
 def answer_cache(log: DataFrame, ttl_seconds: int = 3600, context: str = "context_dependent",
-                 answerable: str = "answerable") -> DataFrame:
+                 answerable: str = "answerable", lifetimes: int = 64) -> DataFrame:
     """Which questions of a log the cache answers.
 
     An entry lives ``ttl_seconds`` from the miss that stored it; hits do not renew it.  Follow-ups
-    bypass the cache and unanswered questions store nothing.  A question's log is first cut at
-    every quiet gap longer than the lifetime, where the cache is empty for certain, so a question
-    asked all year is many independent pieces.
+    bypass the cache and unanswered questions store nothing; rows without time are left out, a null
+    question counts as empty.
+
+    The log of a key is cut into time blocks of ``lifetimes`` lifetimes (two at least).  A block is a function from the entry it
+    starts with to the entry it ends with, found for all blocks at once; a scan over these functions
+    gives each block its entry, and then all blocks are answered at once.  So a question asked all
+    year spreads over as many tasks as it has blocks, and the scan of a key reads at most the
+    storing times of one lifetime in ``lifetimes``.
     """
+    if lifetimes < 2:
+        raise ValueError("a block has two lifetimes at least")
     ttl = ttl_seconds * 1_000_000
+    width = ttl * lifetimes
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
     usable = log.filter(~F.col(context)).select(
-        "query_id", answer_key(F.col("question"), F.col("active_docs")).alias("key"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.col(answerable).alias("ok")).withColumn(
-        "_b", F.floor(F.col("t") / (ttl // 2)))
-    spans = usable.groupBy("key", "_b").agg(F.min("t").alias("_lo"), F.max("t").alias("_hi"))
-    by_key = Window.partitionBy("key").orderBy("_b")
-    spans = spans.withColumn("_cut", (F.col("_lo") - F.lag("_hi").over(by_key) > ttl).cast("int")).withColumn(
-        "piece", F.sum(F.coalesce("_cut", F.lit(0))).over(by_key)).select("key", "_b", "piece")
-
-    def step(stored, t, ok):
-        if stored is not None and t - stored <= ttl:
-            return stored, (True,)
-        return (t if ok else None), (False,)
-    return ordered_fold(usable.join(spans, ["key", "_b"]), ["key", "piece"], ["t", "query_id"], ["t", "ok"], step,
-                        "hit boolean").select("key", "query_id", "hit")
+        "query_id", answer_key(F.col("question"), F.col("active_docs")).alias("key"), t.alias("t"),
+        F.coalesce(F.col(answerable), F.lit(False)).alias("ok"), (t - F.pmod(t, F.lit(width))).alias("block")).dropna(subset=["t"])
+    rows = store(usable)
+    entries = _entry_of_block(_stored_by_block(rows, ttl))
+    return _hits(rows.join(entries, ["key", "block"]), ttl)
 
 
 def expire(cache: DataFrame, now, prefix: str = "") -> DataFrame:

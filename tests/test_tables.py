@@ -74,6 +74,31 @@ def test_answer_cache_lifetime(spark):
         (1, False), (2, True), (3, False), (4, True), (5, False), (6, False), (7, True)]
 
 
+@pytest.mark.parametrize("seed, lifetimes, batch", [(1, 2, 10000), (2, 3, 7), (3, 64, 5), (4, 2, 1)])
+def test_answer_cache_against_a_plain_loop(spark, seed, lifetimes, batch):
+    """One key holds half the log; blocks, their steps and the scan go over several batches; times tie, some are null."""
+    rng = random.Random(seed)
+    data = [(i, rng.randrange(30) * 7 if rng.random() < 0.2 else rng.randrange(4000), rng.choice(["Hot", "Hot", "Hot", "a", "b", "c"]),
+             rng.choice([True, True, False, None]), rng.random() < 0.1) for i in range(1500)]
+    data += [(9000, None, "Hot", True, False), (9001, 5, None, True, False)]
+    log = spark.createDataFrame(data, "query_id long, s long, question string, answerable boolean, context_dependent boolean").select(
+        "query_id", F.timestamp_seconds("s").alias("ts"), "question", F.array(F.lit("d")).alias("active_docs"), "context_dependent", "answerable")
+    want, stored = [], {}
+    for i, t, q, ok, skip in sorted((d for d in data if d[1] is not None), key=lambda d: (d[1], d[0])):
+        if not skip:
+            hit = t - stored.get(q, -10**9) <= 100
+            want.append((i, hit))
+            if not hit and ok:
+                stored[q] = t
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rows(C.answer_cache(log, 100, lifetimes=lifetimes).select("query_id", "hit"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(want)
+    assert rows(C.answer_cache(log.limit(0), 100)) == []
+
+
 def test_upsert_and_faq_rows(spark):
     t = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     assert rows(files.upsert(t, spark.createDataFrame([(2, "c"), (3, "d")], "id int, v string"), "id")) == [(1, "a"), (2, "c"), (3, "d")]
