@@ -31,18 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def session_dir(spark: SparkSession) -> str:
+    """A new folder in the shared one that goes when the session ends."""
+    path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a table that several parts of a plan read, and read it back.
 
     The written table has real size statistics, is pruned by column, outlives any executor, and goes when the session
     ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lectern/{uuid.uuid4().hex}"
+    path = session_dir(df.sparkSession)
     df.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def store_bucketed(df: DataFrame, by: str, buckets: int) -> DataFrame:

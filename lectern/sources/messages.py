@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions.text import decode_text
 
 SCHEMA = ("content string, encoding string, content_type string, file_name string, source_path string, "
-          "domain string, user_ids array<string>, metadata map<string,string>, original_source_path string")
+          "domain string, user_ids array<string>, metadata map<string,string>, original_source_path string, sent_at timestamp")
 
 
 def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
@@ -23,7 +23,7 @@ def parse_messages(raw: DataFrame, value: str = "value") -> DataFrame:
              .when(plain.isNull(), "no content"))
     return m.select(*[c for c in raw.columns], plain.alias("text"), "m.content_type", "m.file_name",
                     "m.source_path", "m.domain", F.coalesce("m.user_ids", F.array().cast("array<string>")).alias(
-                        "user_ids"), "m.metadata", error.alias("error"))
+                        "user_ids"), "m.metadata", "m.sent_at", error.alias("error"))
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

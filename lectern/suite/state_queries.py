@@ -1,11 +1,11 @@
 """Conversation state, usage and streams."""
-import uuid
-
 from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import conversation as C, questions as Q, usage as U
-from lectern.plans.common import shared_dir
+from lectern.operators.sections import line_sections
+from lectern.plans.common import session_dir, store
+from lectern.sources import messages as M
 from lectern.streaming import jobs
 from lectern.suite import inputs, query, sql, table
 
@@ -254,13 +254,17 @@ def usage_resolved_prices(spark, sf):
 # --- streams over the same tables ---------------------------------------------------------
 def _run(spark, stream, mode, columns):
     """Run a stream to its end into a table of the shared folder; the last row per key counts."""
-    base = f"{shared_dir(spark)}/lectern/stream-{uuid.uuid4().hex}"
+    base = session_dir(spark)
+    _drain(stream, mode, base)
+    return spark.read.parquet(base + "/out").select("epoch", *columns)
 
+
+def _drain(stream, mode, base):
+    """Run a stream over what is there; its checkpoint lets a later call go on from here.  A repeated epoch writes over itself."""
     def write(batch, epoch):
-        batch.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(base + "/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
     q = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(base + "/out").select("epoch", *columns)
 
 
 def _stream(spark, sf, name):
@@ -272,12 +276,51 @@ def _stream(spark, sf, name):
 WITH {_MSG}, g AS (SELECT thread_id, count(*) AS message_count, max(seq) AS last_seq, arg_max(content, seq) AS lc, arg_min(content, seq) FILTER (role = 'user') AS fu FROM messages GROUP BY 1)
 SELECT thread_id::VARCHAR AS thread_id, message_count, last_seq, md5(lc) AS last_content, {_label('fu', 56)} AS title FROM g""")
 def stream_thread_state(spark, sf):
-    """I1 as a stream; it must end where the batch query does."""
-    m = _stream(spark, sf, "conversations").select(F.col("conv_id").alias("thread_id"), F.col("turn").alias("seq"), "role", F.col("text").alias(
-        "content"), F.timestamp_seconds(F.col("turn") * 60).alias("ts"))
-    out = _run(spark, jobs.thread_state_stream(m), "update", ["thread_id", "message_count", "last_seq", "title", "last_content"])
-    last = out.groupBy("thread_id").agg(F.max_by(F.struct("message_count", "last_seq", "title", "last_content"), "epoch").alias("s")).select("thread_id", "s.*")
-    return last.withColumn("title", T.label(F.coalesce("title", F.lit("")))).withColumn("last_content", F.md5("last_content"))
+    """I1 as a stream in four runs that go on from each other, turns out of order and conversations ending all along;
+    it must end where the batch query does."""
+    started, turn = F.coalesce("thread_id", F.lit(0)) * 600, F.coalesce("seq", F.lit(0)) * 60
+    m = messages(spark, sf).withColumn("ts", F.timestamp_seconds(F.lit(86400) + started + turn))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("thread_id", "seq"), F.lit(1800))      # within the watermark
+    m = store(m.withColumn("arrival", arrival))
+    first, last = m.agg(F.min("arrival"), F.max("arrival")).first()
+    share = (F.col("arrival") - (first or 0)) / ((last or 0) - (first or 0) + 1)
+    base = session_dir(spark)
+    for run in range(4):
+        m.filter(F.floor(share * 4) == run).write.mode("append").parquet(base + "/in")
+        _drain(jobs.thread_state_stream(spark.readStream.schema(m.schema).parquet(base + "/in"), idle="10 minutes"), "update", base)
+    ended = jobs.merged_threads(spark.read.parquet(base + "/out"))
+    return ended.withColumn("title", T.label(F.coalesce("title", F.lit("")))).withColumn("last_content", F.md5("last_content"))
+
+
+@query("stream_ingest", f"""
+WITH {inputs.LINES}
+SELECT 'section' AS kind, '/q/' || doc_id AS source_path, order_index::INT AS order_index, md5(body) AS value FROM lines WHERE doc_id % 11 <> 10
+UNION ALL SELECT 'dead', NULL, NULL, CASE WHEN doc_id % 11 = 10 AND doc_id % 2 = 0 THEN 'no source path' WHEN doc_id % 11 = 10 THEN 'not a message' ELSE 'no content' END FROM documents
+WHERE doc_id % 11 = 10 OR text IS NULL""")
+def stream_ingest(spark, sf):
+    """Documents as JSON messages, some in base64, some broken, some sent twice, some after an older version and some
+    before it, read in several micro-batches; sections and dead letters must be those of the documents."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    base, c = session_dir(spark), F.col("doc_id")
+
+    def sent(docs, text, at, shift):
+        b64 = c % 3 == 0
+        body = F.when(b64, F.base64(F.encode(text, "UTF-8"))).otherwise(text)
+        message = F.to_json(F.struct(body.alias("content"), F.when(b64, "base64").alias("encoding"), F.lit(at).alias("sent_at"), F.when(
+            c % 11 != 10, F.concat(F.lit("/q/"), c)).alias("source_path")))
+        value = F.when((c % 11 == 10) & (c % 2 != 0), F.concat(F.lit("broken "), c)).otherwise(message)
+        return docs.select(value.alias("value"), F.pmod(F.xxhash64("doc_id") + shift, F.lit(1 << 20)).alias("arrival"))
+    fine = d.filter((c % 11 != 10) & F.col("text").isNotNull())
+    now, old = "2024-01-02T00:00:00Z", "2024-01-01T00:00:00Z"
+    everything = sent(d, F.col("text"), now, 0).unionByName(sent(fine.filter(c % 5 == 0), F.col("text"), now, 400_000)).unionByName(
+        sent(fine.filter(c % 4 == 0), F.concat(F.lit("older line\n"), "text"), old, 600_000))
+    files = max(8, 2 * d.rdd.getNumPartitions())
+    everything.repartition(files, "arrival").select("value").write.text(base + "/in")
+    jobs.ingest_stream(M.read_messages(spark, base + "/in", -(-files // 4)), base + "/out", base + "/checkpoint", line_sections).awaitTermination()
+    sections = jobs.ingested(spark, base + "/out", "sections").select(
+        F.lit("section").alias("kind"), "source_path", "order_index", F.md5("body").alias("value"))
+    return sections.unionByName(jobs.ingested(spark, base + "/out", "dead").select(
+        F.lit("dead").alias("kind"), F.lit(None).cast("string").alias("source_path"), F.lit(None).cast("int").alias("order_index"), F.col("error").alias("value")))
 
 
 @query("stream_usage_totals", f"""

@@ -1,5 +1,7 @@
 """Joins, state, search and streams on small tables against values worked out by hand or by brute force."""
+import json
 import math
+import os
 import random
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 from lectern.operators import access as A, conversation as C, evaluation as V, sections as SE, usage as U
 from lectern.plans import common, search as S
 from lectern.sources import files, messages
+from lectern.streaming import jobs
 
 AT = "2024-01-01"
 
@@ -251,6 +254,68 @@ def test_messages_and_dead_letters(spark):
     assert messages.dead_letters(parsed).count() == 2
 
 
+def test_stream_threads_expire_and_come_back(spark, tmp_path):
+    """Shuffled arrival over four runs: threads end, one speaks again after its state is gone, state shrinks, parts add up."""
+    day, fields = 86400, "thread_id string, seq long, role string, content string, ts timestamp"
+    runs = [[("a", 2, "user", "second", 120), ("a", 1, "user", "first", 60), ("b", 0, "assistant", "hi", 70)],
+            [("a", 0, "system", "rules", 10), ("c", 0, "user", None, 9000), ("c", None, "user", "unplaced", 9010)],
+            [("a", 3, "user", "back again", 20000), ("b", 1, "user", "me too", 20010), ("d", 0, "user", "late start", 21000)],
+            [("d", 1, "assistant", "last", 90000), ("a", 4, "user", "lost: behind the watermark", 20001)]]
+    live, base = [], str(tmp_path)                        # rows of state after each run, timers included
+
+    def write(batch, epoch):
+        batch.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
+    for part in runs:
+        spark.createDataFrame(part, fields.replace("ts timestamp", "s long")).withColumn("ts", F.timestamp_seconds(F.col("s") + day)).drop(
+            "s").coalesce(1).write.mode("append").parquet(base + "/in")
+        q = jobs.thread_state_stream(spark.readStream.schema(fields).parquet(base + "/in"), "10 minutes", "30 minutes").writeStream.outputMode(
+            "update").foreachBatch(write).option("checkpointLocation", base + "/cp").trigger(availableNow=True).start()
+        q.awaitTermination()
+        live.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    out = spark.read.parquet(base + "/out")
+    assert out.filter("closed").groupBy("thread_id").count().filter("thread_id = 'a'").first()["count"] == 2     # two parts, both over
+    assert live[0] > 0 and live[3] < max(live) and live[3] <= live[0], live
+    # as the batch query over the same messages, but for the one behind the watermark
+    assert sorted(map(tuple, jobs.merged_threads(out).collect())) == [
+        ("a", 4, 3, "first", "back again"), ("b", 2, 1, "me too", "me too"), ("c", 2, 0, None, None), ("d", 2, 1, "late start", "last")]
+
+
+def test_stream_ingest_of_repeated_and_late_epochs(spark, tmp_path):
+    """Small batches, a message that comes again, an older version after a newer one, an epoch that broke off and one that repeats."""
+    base = str(tmp_path)
+    line = lambda path, text, day: json.dumps({"content": text, "source_path": path, "sent_at": f"2024-01-0{day}T00:00:00Z"})
+    sent = [[line("/a", "new\nlines", 3), "broken", line("/b", "b", 1)], [line("/a", "old", 1), line("/a", "new\nlines", 3)], [line("/b", "b again", 2), '{"source_path": "/x"}']]
+
+    def go(checkpoint):
+        q = jobs.ingest_stream(messages.read_messages(spark, base + "/in", 1), base + "/out", base + checkpoint, SE.line_sections)
+        q.awaitTermination()
+        return str(q.id)
+
+    def bodies():
+        return rows(jobs.ingested(spark, base + "/out", "sections").select("source_path", "body"))
+    want = [("/a", "lines"), ("/a", "new"), ("/b", "b again")]
+    for part in sent:
+        spark.createDataFrame([(x,) for x in part], "value string").coalesce(1).write.mode("append").text(base + "/in")
+    stream = go("/cp")
+    assert bodies() == want and jobs.ingested(spark, base + "/out", "manifest").count() == 3
+    assert rows(jobs.ingested(spark, base + "/out", "dead").select("error")) == [("no content",), ("not a message",)]
+    # an epoch whose files were written before the driver was lost, without its row of the manifest, is not seen
+    jobs.ingested(spark, base + "/out", "documents").drop("stream", "epoch").withColumn("text", F.lit("half")).withColumn(
+        "version", F.current_timestamp()).write.parquet(f"{base}/out/documents/stream={stream}/epoch=3")
+    assert bodies() == want
+    # the next batch takes that epoch's number and writes over it
+    spark.createDataFrame([(line("/c", "c", 1),)], "value string").coalesce(1).write.mode("append").text(base + "/in")
+    assert go("/cp") == stream and bodies() == [*want, ("/c", "c")]
+    # the commit of an epoch is lost: it comes again and changes nothing
+    os.remove(f"{base}/cp/commits/3")
+    if os.path.exists(f"{base}/cp/commits/.3.crc"):
+        os.remove(f"{base}/cp/commits/.3.crc")
+    go("/cp")
+    assert bodies() == [*want, ("/c", "c")] and jobs.ingested(spark, base + "/out", "manifest").count() == 4
+    # another stream over the same messages into the same tables adds nothing
+    assert go("/cp2") != stream and bodies() == [*want, ("/c", "c")]
+
+
 def test_vector_search_keeps_text_ids(spark, monkeypatch):
     monkeypatch.setattr(S, "SCORES", 5)                  # several slices of questions
     rng = random.Random(4)
