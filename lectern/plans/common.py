@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lectern.functions.hof import let
@@ -129,8 +131,54 @@ def grams(text: Column, sizes: Sequence[int] = GRAM_SIZES) -> Column:
     return let(F.split(text, ""), of)
 
 
-def substring_join(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
-    """Pairs (``key``, phrase columns) where the phrase is a substring of the text, as an equi-join.
+PHRASES, PHRASE_BYTES = 200_000, 4 << 20               # an automaton takes some 50 bytes a byte of its phrases
+
+
+def phrases_in(texts: DataFrame, key: str, text: str, phrases: list[str], phrase: str) -> DataFrame:
+    """(``key``, ``phrase``) for each row's text and each of the phrases in it, once: one pass over the texts.
+
+    The phrases (a size the caller has checked) are broadcast; a task makes one automaton of them.  What a text costs
+    depends on its length and its matches alone, not on how many phrases there are.
+    """
+    given = texts.sparkSession.sparkContext.broadcast(phrases)
+
+    def run(batches):
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n, p in enumerate(given.value):
+            automaton.add_word(p, n)
+        automaton.make_automaton()
+        for batch in batches:
+            found = [sorted({n for _, n in automaton.iter(t)}) if t else [] for t in batch.column(1).to_pylist()]
+            at = pa.array([i for i, ns in enumerate(found) for _ in ns], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(
+                [given.value[n] for ns in found for n in ns], pa.string())], [key, phrase])
+    schema = T.StructType([texts.schema[key], T.StructField(phrase, T.StringType())])
+    return texts.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(run, schema)
+
+
+def substring_join(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str,
+                   max_phrases: int = PHRASES, max_bytes: int = PHRASE_BYTES) -> DataFrame:
+    """Pairs (``key``, phrase columns) where the phrase is a substring of the text.
+
+    Phrases of a checked size go to the tasks as one automaton and the texts are read once; only matches travel.
+    More phrases than that meet the texts by grams (`gram_join`).  Empty and null phrases and texts give no pairs.
+    """
+    own = phrases.filter(F.col(phrase) != "")
+    distinct = own.select(phrase).distinct()
+    if not is_small(distinct, max_phrases, max_bytes):
+        return gram_join(texts, key, text, phrases, phrase)
+    known = [r[0] for r in distinct.collect()]                       # at most max_phrases and max_bytes
+    if not known:
+        return texts.select(key).join(phrases, F.lit(False))
+    found = phrases_in(texts, key, text, known, phrase)
+    small = is_small(own)
+    return term_join(found if small else store(found), own, [phrase], key, small=small).select(key, *phrases.columns)
+
+
+def gram_join(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """`substring_join` as an equi-join, for any number of phrases.
 
     A phrase is keyed by its head of the longest gram size it reaches; a text gives its distinct
     grams of the sizes in use.  Only keys and grams travel; candidates are verified on the text.

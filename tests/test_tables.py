@@ -180,11 +180,16 @@ def test_fuzzy_terms_against_brute_force(spark):
     assert rows(S.fuzzy_terms(df, df).select("term", "match", "distance")) == want
 
 
-def test_substring_join_against_brute_force(spark):
-    texts = [(1, "the hot path of the cat"), (2, "scattered cats"), (3, "a longer sentence with twenty five letters in it")]
-    phrases = ["cat", "a", "th", "hot path", "twenty five letters in it", "none"]
-    got = common.substring_join(spark.createDataFrame(texts, "k int, t string"), "k", "t", spark.createDataFrame([(p,) for p in phrases], "p string"), "p")
-    assert rows(got.select("k", "p")) == sorted((k, p) for k, t in texts for p in phrases if p in t)
+@pytest.mark.parametrize("most", [common.PHRASES, 3])
+def test_substring_join_against_brute_force(spark, most):
+    """By the automaton and by grams; phrases inside each other, repeated, with one head, in other scripts; nulls and empties."""
+    texts = [(1, "the hot path of the cat"), (2, "scattered cats"), (3, "a longer sentence with twenty five letters in it"),
+             (4, ""), (5, None), (6, "aaaa 𝔘nicode ß \x00 tail"), (7, "cat " * 5000)]
+    phrases = ["cat", "a", "th", "hot path", "twenty five letters in it", "none", "aa", "𝔘ni", "ß \x00", "cat cat", "", None, "cat", "twenty five letters in a"]
+    data = [(p, i) for i, p in enumerate(phrases)]
+    got = common.substring_join(spark.createDataFrame(texts, "k int, t string"), "k", "t", spark.createDataFrame(data, "p string, n int"), "p", most)
+    assert rows(got.select("k", "p", "n")) == sorted((k, p, n) for k, t in texts for p, n in data if t and p and p in t)
+    assert rows(common.substring_join(spark.createDataFrame(texts, "k int, t string"), "k", "t", spark.createDataFrame([], "p string, n int"), "p", most)) == []
 
 
 def test_order_statistics_and_comparison(spark):
