@@ -1,6 +1,7 @@
 """Quality scores learned from preference pairs (Bradley-Terry)."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -78,12 +79,11 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Ranker:
-    """Score of a document: weights on its features and on steps over their cut points, less a threshold."""
+    """Strength of a document: weights on its features and on steps over their cut points."""
     mean: np.ndarray
     scale: np.ndarray
     cuts: np.ndarray
     weights: np.ndarray
-    threshold: float
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.scale, -6, 6)
@@ -92,21 +92,15 @@ class Ranker:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return self.expand(x) @ self.weights
 
-    def score(self, x: np.ndarray, accept: float) -> np.ndarray:
-        """0 to 1; `accept` where the strength is the learned quantile."""
-        lift = np.log(accept / (1 - accept))
-        return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.threshold + lift, -40, 40)))
-
 
 def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 60_000, penalty: float = 1e-3, seed: int = 7) -> Ranker:
     """Logistic loss on feature differences of pairs (a good one preferred to a bad one), by Newton steps.
 
-    The threshold is the quantile of the strengths, at the share of bad ones, over the rows learned from.
     Without rows of both kinds every document gets the same strength.
     """
     mean, scale = (x.mean(0), x.std(0) + 1e-9) if len(x) else (np.zeros(len(NAMES)), np.ones(len(NAMES)))
     cuts = (np.quantile(x, np.linspace(0, 1, CUTS + 2)[1:-1], axis=0).T if len(x) else np.zeros((len(NAMES), CUTS)))
-    model = Ranker(mean, scale, cuts, np.zeros(len(NAMES) * (1 + CUTS)), 0.0)
+    model = Ranker(mean, scale, cuts, np.zeros(len(NAMES) * (1 + CUTS)))
     a, b = np.flatnonzero(good), np.flatnonzero(~good)
     if not len(a) or not len(b):
         return model
@@ -121,10 +115,20 @@ def fit_pairs(x: np.ndarray, good: np.ndarray, pairs: int = 60_000, penalty: flo
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    strength = np.sort(e @ w)
-    cut = int(round((~good).mean() * len(strength)))
-    at = (strength[max(0, cut - 1)] + strength[min(cut, len(strength) - 1)]) / 2
-    return Ranker(mean, scale, cuts, w, float(at))
+    return Ranker(mean, scale, cuts, w)
+
+
+def quantile_threshold(labelled: DataFrame) -> float:
+    """Where the strengths of all rows (strength, good) are parted at the share of bad ones: midway between two of them.
+
+    The quantile is Spark's, its rank right to a millionth of the rows.  Without rows of both kinds it is 0.
+    """
+    n, bad = labelled.agg(F.count("*"), F.count_if(~F.col("good"))).first()
+    if not 0 < bad < n:
+        return 0.0
+    below = labelled.agg(F.percentile_approx("strength", bad / n, 1_000_000)).first()[0]
+    above = labelled.filter(F.col("strength") > below).agg(F.min("strength")).first()[0]
+    return below if above is None else (below + above) / 2
 
 
 def score_quality(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality",
@@ -133,8 +137,8 @@ def score_quality(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
     """Per row: whether it is held out, its score, and whether it is accepted (score >= `accept`).
 
     Scores use the text alone.  Learned from labelled rows whose crc32(id as text) is not divisible by `folds`; of
-    these at most `most_rows`, those with the smallest hash of their id, so the sample is spread over the table and
-    the fit stays bounded.  Features are computed once for all rows and stored.  Null labels teach nothing; a null
+    these the weights are fitted on at most `most_rows`, those with the smallest hash of their id, so the sample is spread
+    over the table and the fit stays bounded; the threshold is a quantile over the strengths of all of them.  Features are computed once for all rows and stored.  Null labels teach nothing; a null
     text counts as empty and gets a score; ids that repeat or are null stay, a null id is not held out; an empty
     table gives no rows; other columns are not read.
     """
@@ -159,9 +163,12 @@ def score_quality(df: DataFrame, labels: DataFrame, id: str = "doc_id", text: st
         for batch in batches:
             x = np.array(batch.column("x").to_pylist(), float).reshape(-1, len(NAMES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(model.score(x, accept), pa.float64())], ["doc_id", "score"])
+                [batch.column("doc_id"), pa.array(model.strength(x), pa.float64())], ["doc_id", "strength"])
 
-    scored = measured.mapInArrow(judge, f"doc_id {kind}, score double")
+    judged = scratch.store(measured.mapInArrow(judge, f"doc_id {kind}, strength double"))
+    at = quantile_threshold(scratch.store(judged.join(known, "doc_id").select("strength", (F.col("_label") == 1).alias("good"))))
+    lift = F.greatest(F.lit(-40.0), F.least(F.lit(40.0), F.col("strength") - at + math.log(accept / (1 - accept))))
+    scored = judged.select("doc_id", (1 / (1 + F.exp(-lift))).alias("score"))
     return scored.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= accept).cast("int").alias("predicted"))
 

@@ -189,6 +189,22 @@ def test_quality(spark, edges):
     assert few.count() == 8
 
 
+def test_quality_threshold_covers_all_labelled_rows(spark):
+    """The cut lies where the share of bad ones over all rows says, however few rows the weights are fitted on."""
+    for n in (10, 1001):
+        values = [(random.choice([random.random(), 0.5]), i % 3 == 0) for i in range(n)]
+        at = quality.quantile_threshold(spark.createDataFrame(values, "strength double, good boolean"))
+        ordered, bad = sorted(v for v, _ in values), sum(not g for _, g in values)
+        assert at == (ordered[bad - 1] + min(v for v in ordered if v > ordered[bad - 1])) / 2
+    assert quality.quantile_threshold(spark.createDataFrame([(0.3, True)], "strength double, good boolean")) == 0
+    texts = [(i, " ".join(prose(60)) if i % 2 else " ".join([random.choice(VOCABULARY)] * 60), i % 2) for i in range(300)]
+    df = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    for most in (30, 20_000):
+        got = quality.score_quality(df.select("doc_id", "text"), df.select("doc_id", "quality"), most_rows=most).collect()
+        learned = [r for r in got if not r.held_out]
+        assert sum(r.predicted for r in learned) == sum(r.doc_id % 2 for r in learned)
+
+
 @pytest.mark.parametrize("size", [30, 200])
 def test_repeats(spark, corpus, edges, size):
     if size < repeats.GRAM:
