@@ -80,30 +80,52 @@ def derive_title(text: Column) -> Column:
 def group_units(units: Column) -> Column:
     """array<struct<title, text, is_table, seen>>; a heading opens a section, a table is its own.
 
-    ``seen`` tells whether the document has any heading.
+    ``seen`` tells whether the document has any heading.  Linear in the units: starts are cut into runs that a heading
+    opens, and a run hands its title to each of its sections.
     """
     def group(us):
         heading = lambda u: u["tag"].startswith("h")
         is_table = lambda u: u["tag"] == "table"
         starts = F.filter(indices(us), lambda i: (i == 1) | heading(F.element_at(us, i)) | is_table(
             F.element_at(us, i)) | is_table(F.element_at(us, F.greatest(i - 1, F.lit(1)))))
-        heads = F.filter(indices(us), lambda i: heading(F.element_at(us, i)))
-
-        def build(h, st):
-            def one(run, j):
-                at = F.array_max(F.filter(h, lambda p: p <= F.element_at(st, j + 1)))
-                body = F.array_join(F.transform(F.filter(run, lambda u: ~heading(u)), lambda u: u["text"]), "\n")
-                return F.struct(
-                    F.coalesce(F.substring(F.try_element_at(us, at)["text"], 1, 200),
-                               F.lit("Introduction")).alias("title"),
-                    clean_whitespace(body).alias("text"),
-                    is_table(F.element_at(run, 1)).alias("is_table"),
-                    (F.size(h) > 0).alias("seen"))
-            return F.filter(F.transform(slices_from(us, st), one), lambda s: s["text"] != "")
-        return let(F.struct(heads.alias("h"), starts.alias("st")), lambda v: build(v["h"], v["st"]))
+
+        def titles(st):
+            opens = F.filter(indices(st), lambda j: (j == 1) | heading(F.element_at(us, F.element_at(st, j))))
+            return let(opens, lambda op: F.flatten(F.transform(slices_from(st, op), lambda run: let(
+                F.element_at(us, F.element_at(run, 1)), lambda u: F.array_repeat(F.when(heading(u), F.coalesce(
+                    F.substring(u["text"], 1, 200), F.lit("Introduction"))).otherwise("Introduction"), F.size(run))))))
+
+        def build(st, seen):
+            def one(z):
+                body = F.array_join(F.transform(F.filter(z["run"], lambda u: ~heading(u)), lambda u: u["text"]), "\n")
+                return F.struct(z["title"].alias("title"), clean_whitespace(body).alias("text"),
+                                is_table(F.element_at(z["run"], 1)).alias("is_table"), seen.alias("seen"))
+            zipped = F.arrays_zip(slices_from(us, st).alias("run"), titles(st).alias("title"))
+            return F.filter(F.transform(zipped, one), lambda s: s["text"] != "")
+        return let(F.struct(F.exists(us, heading).alias("seen"), starts.alias("st")),
+                   lambda v: build(v["st"], v["seen"]))
     return let(units, group)
 
 
+def exempt_tables(secs: Column) -> Column:
+    """Sections with ``is_table`` true wherever a table of the document has the same text.
+
+    Sorted by text, so the cost is n log n; a document without tables is left as it is.
+    """
+    def spread(s):
+        starts = F.filter(indices(s), lambda i: (i == 1) | (
+            F.element_at(s, i)["text"] != F.element_at(s, F.greatest(i - 1, F.lit(1)))["text"]))
+        marked = let(starts, lambda st: F.flatten(F.transform(slices_from(s, st), lambda run: let(
+            F.exists(run, lambda x: x["is_table"]), lambda any_table: F.transform(run, lambda x: F.struct(
+                x["at"].alias("at"), x["title"].alias("title"), x["text"].alias("text"),
+                any_table.alias("is_table"), x["seen"].alias("seen")))))))
+        return F.transform(F.sort_array(marked), lambda x: x.dropFields("at"))
+    by_text = F.sort_array(F.transform(secs, lambda s, i: F.struct(
+        s["text"].alias("text"), i.alias("at"), s["title"].alias("title"), s["is_table"].alias("is_table"),
+        s["seen"].alias("seen"))))
+    return F.when(F.exists(secs, lambda s: s["is_table"]), let(by_text, spread)).otherwise(secs)
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), strip), lambda s: s != "")
 
@@ -151,15 +173,14 @@ def group_sections(units: Column, max_chars: int = 3200, target: int = 1800, min
     def finish(secs):
         titled = F.transform(secs, lambda s: F.struct(
             F.when(~s["seen"] & (F.size(secs) > 1), derive_title(s["text"])).otherwise(s["title"]).alias("title"),
-            s["text"].alias("text"),
-            F.exists(secs, lambda o: o["is_table"] & (o["text"] == s["text"])).alias("is_table")))
+            s["text"].alias("text"), s["is_table"].alias("is_table")))
         # a lone section with a real title loses the table exemption
         lone = (F.size(secs) == 1) & (F.element_at(secs, 1)["title"] != "Introduction")
         return F.flatten(F.transform(titled, lambda s: F.when(
             (F.length(s["text"]) <= max_chars) | (s["is_table"] & ~lone),
             F.array(F.struct(s["title"].alias("title"), s["text"].alias("text")))
         ).otherwise(split_large(s["text"], s["title"], target, min_chars))))
-    return let(group_units(units), lambda secs: F.when(
+    return let(let(group_units(units), exempt_tables), lambda secs: F.when(
         F.size(secs) == 0, F.array().cast(SECTIONS)).otherwise(finish(secs)))
 
 

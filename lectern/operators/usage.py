@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions.hof import indices, let
 from lectern.functions.text import estimate_usage_tokens
 
 MILLION = 1_000_000
@@ -67,12 +68,31 @@ def extract_prices(catalogues: DataFrame, raw: str = "catalogue", key: str = "ca
     """Nested catalogue JSON -> one row per product: attributes, price per million and a score.
 
     A unit price "per 1K tokens" is multiplied by a thousand.  The standard tier scores 3 and
-    on-demand inference 2.
+    on-demand inference 2.  Products meet their terms by one sort of a catalogue's entries, so a row carries its own
+    term alone and nothing is shuffled.
     """
     doc = catalogues.select(key, F.from_json(raw, CATALOGUE).alias("c"))
-    products = doc.select(key, F.explode("c.products").alias("sku", "p"), F.col("c.terms.OnDemand").alias("t"))
-    term = F.try_element_at(F.map_values(F.try_element_at("t", F.col("sku"))), F.lit(1))
-    dim = F.try_element_at(F.map_values(term["priceDimensions"]), F.lit(1))
+    products, terms = F.map_entries("c.products"), F.map_entries("c.terms.OnDemand")
+    first = lambda m: F.try_element_at(F.map_values(m), F.lit(1))
+    term_type = "struct<description:string,pricePerUnit:map<string,string>>"
+    attr_type = "struct<attributes:map<string,string>>"
+    entries = F.concat(
+        F.coalesce(F.transform(products, lambda e: F.struct(
+            e["key"].alias("sku"), e["value"].alias("p"), F.lit(None).cast(term_type).alias("dim"),
+            F.lit(True).alias("is_product"))), F.array()),
+        F.coalesce(F.transform(terms, lambda e: F.struct(
+            e["key"].alias("sku"), F.lit(None).cast(attr_type).alias("p"),
+            first(first(e["value"])["priceDimensions"]).alias("dim"), F.lit(False).alias("is_product"))), F.array()))
+    # maps have no order: sort by (sku, product first) alone
+    order = lambda x, y: F.when(x["sku"] < y["sku"], -1).when(x["sku"] > y["sku"], 1).otherwise(
+        y["is_product"].cast("int") - x["is_product"].cast("int"))
+    met = let(F.array_sort(entries, order), lambda s: F.transform(
+        F.filter(indices(s), lambda i: F.element_at(s, i)["is_product"]), lambda i: let(
+            F.struct(F.element_at(s, i).alias("e"), F.try_element_at(s, i + 1).alias("next")), lambda v: F.struct(
+                v["e"]["sku"].alias("sku"), v["e"]["p"].alias("p"),
+                F.when(v["next"]["sku"] == v["e"]["sku"], v["next"]["dim"]).alias("dim")))))
+    products = doc.select(key, F.explode(met).alias("_m")).select(key, "_m.sku", "_m.p", "_m.dim")
+    dim = F.col("dim")
     attr = lambda k: F.try_element_at(F.col("p.attributes"), F.lit(k))
     low = lambda k: F.lower(F.trim(F.coalesce(attr(k), F.lit(""))))
     rows = products.select(

@@ -5,6 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions import fixed
 from lectern.functions.hof import any_contains
@@ -156,6 +157,28 @@ def corpus_counts(docs: DataFrame, sections: DataFrame) -> DataFrame:
         F.count("*").alias("sections"))))
 
 
+# quotes doubled and blanks kept, so that any text comes back as it was; a null is an empty field, an empty text ""
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def export_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, one file per partition."""
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """An export read back.  Texts may hold line ends, so a file is one task: export in pieces of a task's size."""
+    return spark.read.schema(schema).options(multiLine=True, **CSV).csv(path)
+
+
+def write_lines(df: DataFrame, path: str, per_file: int = 1000) -> None:
+    """Rows as JSON lines in text files of at most ``per_file`` rows, a folder that `scan_folder` reads."""
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").option(
+        "maxRecordsPerFile", per_file).text(path)
+
+
+def read_lines(files: DataFrame, schema: str, text: str = "text") -> DataFrame:
+    """The rows of scanned and decoded files of JSON lines, with their file's other columns."""
+    keep = [c for c in files.columns if c != text]
+    line = F.explode(F.filter(F.split(F.col(text), "\n"), lambda x: x != "")).alias("_l")
+    return files.select(*keep, line).select(*keep, F.from_json("_l", schema).alias("_r")).select(*keep, "_r.*")

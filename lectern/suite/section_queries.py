@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import text as T
 from lectern.operators import sections as S
+from lectern.plans.common import session_dir
 from lectern.sources import files, messages, pages
 from lectern.suite import inputs, query, sql, table
 
@@ -500,3 +501,21 @@ def ingest_faq_rows(spark, sf):
             "faq_pairs"), F.array("embedding", "embedding").alias("faq_vectors"))
     total = F.aggregate("question_embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return files.faq_rows(docs).select("doc_id", "faq_id", "question", "answer", F.round(total, 4).alias("vector_sum"))
+
+
+@query("ingest_folder_scan", "SELECT doc_id, 'text' AS content_type, md5(text) AS text, true AS named FROM documents")
+def ingest_folder_scan(spark, sf):
+    """A1-A4: all documents written out as text files, the folder scanned and decoded, the rows read back."""
+    path = session_dir(spark)
+    files.write_lines(table(spark, sf, "documents").select("doc_id", "text"), path)
+    found = files.read_documents(spark, path).select("source_path", "content_type", "text")
+    return files.read_lines(found, "doc_id long, text string").select(
+        "doc_id", "content_type", F.md5("text").alias("text"), F.col("source_path").endswith(".txt").alias("named"))
+
+
+@query("ingest_exported", "SELECT doc_id, md5(text) AS text, lang, source, n_chars FROM documents")
+def ingest_exported(spark, sf):
+    """Documents exported as CSV and read back, line ends, quotes and blanks unchanged."""
+    path, docs = session_dir(spark), table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    files.export_csv(docs, path)
+    return files.read_csv(spark, path, docs.schema).withColumn("text", F.md5("text"))

@@ -209,7 +209,7 @@ def usage_token_estimates(spark, sf):
 
 
 def _catalogue(spark, sf):
-    """Price catalogues, one per user, with a product per event."""
+    """Price catalogues, one for each user and hour, with a product per event."""
     ev = table(spark, sf, "events")
     sku = F.concat(F.lit("S"), "event_id")
     kind = F.when(F.col("event_id") % 2 == 0, "Input tokens").otherwise("Output tokens")
@@ -219,7 +219,7 @@ def _catalogue(spark, sf):
     dim = F.struct(F.when(F.col("event_id") % 2 == 0, "price per 1K input tokens").otherwise("price per million tokens").alias("description"),
                    F.create_map(F.lit("USD"), F.when(F.col("event_id") % 13 == 0, "").otherwise(F.col("value").cast("string"))).alias("pricePerUnit"))
     term = F.create_map(sku.alias("t"), F.struct(F.create_map(F.lit("d"), dim).alias("priceDimensions")))
-    return ev.groupBy("user_id").agg(F.to_json(F.struct(
+    return ev.groupBy("user_id", F.date_trunc("hour", "ts").alias("hour")).agg(F.to_json(F.struct(
         F.map_from_entries(F.collect_list(F.struct(sku.alias("k"), F.struct(attrs.alias("attributes")).alias("v")))).alias("products"),
         F.struct(F.map_from_entries(F.collect_list(F.struct(sku.alias("k"), term.alias("v")))).alias("OnDemand")).alias("terms"))).alias("catalogue"))
 
