@@ -1,6 +1,7 @@
 """Folder scans, text decoding and the tables that drive an ingest run."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -168,7 +169,10 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """An export read back.  Texts may hold line ends, so a file is one task: export in pieces of a task's size."""
-    return spark.read.schema(schema).options(multiLine=True, **CSV).csv(path)
+    empty = uuid.uuid4().hex                              # the reader tells "" from a null by a value of its own alone
+    raw = spark.read.schema(schema).options(multiLine=True, emptyValue=empty, **CSV).csv(path)
+    return raw.select(*[F.when(F.col(f.name) == empty, "").otherwise(F.col(f.name)).alias(f.name)
+                        if f.dataType.typeName() == "string" else f.name for f in raw.schema])
 
 
 def write_lines(df: DataFrame, path: str, per_file: int = 1000) -> None:

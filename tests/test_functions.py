@@ -1,4 +1,6 @@
 """Column functions on literal rows, expected values by hand."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +92,36 @@ def test_sections_of_headings_and_tables(spark):
     assert [tuple(r) for r in got] == [("Introduction", "lead"), ("Scope", "one\ntwo"), ("Scope", "a | b"), ("Scope", "after")]
 
 
+def test_sections_against_a_plain_loop(spark):
+    rng = random.Random(5)
+    for _ in range(12):
+        units = [(rng.choice(["h2", "p", "p", "li", "table"]), rng.choice(["a one", "b two", "c three", ""]))
+                 for _ in range(rng.randint(1, 25))]
+        want, title, parts, seen = [], "Introduction", [], any(t == "h2" for t, _ in units)
+
+        def close(kind=False):
+            if "\n".join(parts).strip():
+                want.append((title, "\n".join(x for x in parts), kind))
+            parts.clear()
+        for tag, text in units:
+            if tag == "h2":
+                close()
+                title = text
+            elif tag == "table":
+                close()
+                parts.append(text)
+                close(True)
+            else:
+                parts.append(text)
+        close()
+        col = F.array(*[F.struct(LIT(t).alias("tag"), LIT(x).alias("text")) for t, x in units])
+        got, marked = one(spark, S.group_units(col), S.exempt_tables(S.group_units(col)))
+        clean = lambda x: "\n".join(p for p in x.split("\n") if p)
+        assert [(g.title, clean(g.text), g.is_table, g.seen) for g in got] == [(t, clean(x), k, seen) for t, x, k in want]
+        tables = {g.text for g in got if g.is_table}
+        assert [tuple(m) for m in marked] == [(g.title, g.text, g.text in tables, g.seen) for g in got]
+
+
 def test_text_units_and_titles(spark):
     got, = one(spark, S.text_units(LIT("TRAVEL RULES\nsome plain text here.\nmore of it.\n- first point\n1. Numbered line")))
     assert [tuple(r) for r in got] == [("h2", "TRAVEL RULES"), ("p", "some plain text here. more of it."), ("li", "- first point"),

@@ -52,6 +52,32 @@ def test_catalogue_prices(spark):
     assert math.isclose(got.price_per_million_usd, 0.08) and got.score == 2
 
 
+def test_prices_meet_their_own_terms(spark):
+    def catalogue(prices, extra):
+        term = lambda usd: {"t": {"priceDimensions": {"d": {"description": "per million", "pricePerUnit": {"USD": usd}}}}}
+        return json.dumps({"products": {k: {"attributes": {"model": k.lower()}} for k in [*prices, "NONE"]},
+                           "terms": {"OnDemand": {k: term(v) for k, v in {**extra, **prices}.items()}}})
+    df = spark.createDataFrame([
+        (1, catalogue({"C": "3", "A": "1", "B": ""}, {"AA": "9", "0": "9"})), (1, catalogue({"A": "7"}, {})), (None, catalogue({"A": "5"}, {"NON": "9"})),
+        (2, '{"products": {}}'), (3, "{}"), (4, None), (5, "broken"), (6, '{"products": {"A": {"attributes": {}}}}')], "catalogue_id int, catalogue string")
+    got = U.extract_prices(df).select("catalogue_id", "sku", "model", "price_per_million_usd")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "A", "a", 1.0), (1, "C", "c", 3.0), (1, "A", "a", 7.0), (None, "A", "a", 5.0)], key=str)
+
+
+def test_folder_and_export_round_trip(spark, tmp_path):
+    texts = ['a "quoted", line\r\nand\nmore ', " lead", "", None, "back\\slash \\\"", "ä\u2028ö\t", "#c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    files.export_csv(df, str(tmp_path / "csv"))
+    assert dict(map(tuple, files.read_csv(spark, str(tmp_path / "csv"), df.schema).collect())) == dict(enumerate(texts))
+    files.write_lines(df, str(tmp_path / "lines"), 2)
+    (tmp_path / "lines" / "x_summary.txt").write_text("generated")
+    (tmp_path / "lines" / "x.zip").write_text("other")
+    found = files.read_documents(spark, str(tmp_path / "lines")).select("source_path", "text")
+    assert found.count() >= 4
+    assert dict(map(tuple, files.read_lines(found, "doc_id long, text string").select("doc_id", "text").collect())) == dict(enumerate(texts))
+
+
 def test_previous_pair_over_blocks(spark):
     turns = [(0, i, "user" if i % 3 == 0 else "assistant", f"m{i}") for i in range(40)]
     df = spark.createDataFrame(turns, "thread_id long, seq long, role string, content string")
