@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm.common import Scratch, mix, pieces, prefix_sums, span_hash
@@ -184,12 +184,12 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     different stretches is cut into blocks, and every pair of blocks is a shard.  Anchors in one place are left out:
     their windows cannot occur elsewhere.
 
-    Nulls count as empty texts.  Rows are told apart by place, so rows that repeat an id or have a null id are rows of
-    their own, and identical rows remove each other.  An empty table gives no rows; other columns are not read.
+    Nulls count as empty texts.  Rows are told apart by id and a 64-bit hash of the text, and joined by both, so rows
+    that repeat an id or have a null id are rows of their own and meet no others' texts, and identical rows remove each other.  An empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     scratch = scratch or Scratch(spark)
-    docs = df.select(df[id].alias("doc_id"), df[text].alias("text"))
+    docs = df.select(df[id].alias("doc_id"), df[text].alias("text"), F.xxhash64(df[text]).alias("copy"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,10 +197,11 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
             row, lo, hi, anchor, key = stretches(data, offsets, length)
             base = offsets[row]
             yield pa.RecordBatch.from_arrays(
-                [piece.column("doc_id").take(pa.array(row)), digests(piece).take(pa.array(row)), pa.array(lo - base),
-                 pa.array(hi - base), pa.array(anchor), pa.array(key)], ["doc_id", "copy", "lo", "hi", "anchor", "key"])
+                [piece.column("doc_id").take(pa.array(row)), piece.column("copy").take(pa.array(row)),
+                 pa.array(lo - base), pa.array(hi - base), pa.array(anchor), pa.array(key)],
+                ["doc_id", "copy", "lo", "hi", "anchor", "key"])
 
-    # (doc_id, digest of the text) names a row; rows equal in both have equal stretches, and are counted as copies
+    # (doc_id, hash of the text) names a row; rows equal in both have equal stretches, and are counted as copies
     runs = scratch.store(docs.mapInArrow(
         cut, f"doc_id {kind}, copy bigint, lo bigint, hi bigint, anchor bigint, key bigint"))
     place = F.struct("doc_id", "copy", "lo", "hi")
@@ -215,17 +216,19 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, _, _ in pieces(batches, limit=PIECE):
             rows = []
-            for value, own, copy, wanted in zip(piece.column("text").to_pylist(), piece.column("own").to_pylist(),
-                                                digests(piece).to_pylist(), piece.column("copy").to_pylist()):
-                if copy == wanted:
-                    data = bytes_of(value)
-                    rows += [(r["anchor"], r["key"], r["n"], r["m"], data[r["lo"]:r["hi"] + length]) for r in own]
+            for value, own in zip(piece.column("text").to_pylist(), piece.column("own").to_pylist()):
+                data = bytes_of(value)
+                rows += [(r["anchor"], r["key"], r["n"], r["m"], data[r["lo"]:r["hi"] + length]) for r in own]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(
                 list(zip(*rows)) or [[]] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
                 ["anchor", "key", "n", "m", "bytes"])
 
-    same_id = docs["doc_id"].eqNullSafe(per_doc["doc_id"])
-    loaded = docs.join(per_doc, same_id).select("text", "copy", "own").mapInArrow(
+    def same_row(other: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(other["_id"]) & (docs["copy"] == other["_copy"])
+
+    renamed = {"doc_id": "_id", "copy": "_copy"}
+    per_doc = per_doc.withColumnsRenamed(renamed)
+    loaded = docs.join(per_doc, same_row(per_doc)).select("text", "own").mapInArrow(
         load, "anchor bigint, key bigint, n bigint, m bigint, bytes binary")
     blocks = F.ceil(F.col("m") / shard_rows).cast("int")
     mine = F.pmod("key", blocks).cast("int")
@@ -262,18 +265,16 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
         "doc_id", "copy", (F.col("lo") + F.col("a")).alias("lo"), (F.col("lo") + F.col("b")).alias("hi"))
     copies = runs.join(classes.filter("n > 1").select("anchor", "key"), ["anchor", "key"]).select("doc_id", "copy", "lo", "hi")
     gone = copies.union(some).groupBy("doc_id", "copy").agg(F.collect_set(F.struct("lo", "hi")).alias("gone"))
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("copy", "gone")).alias("gone")).withColumnRenamed("doc_id", "_id")
+    gone = gone.withColumnsRenamed(renamed)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece, _, _ in pieces(batches, limit=PIECE):
             rows = []
-            for value, gone_, copy in zip(piece.column("text").to_pylist(), piece.column("gone").to_pylist(),
-                                          digests(piece).to_pylist()):
+            for value, own in zip(piece.column("text").to_pylist(), piece.column("gone").to_pylist()):
                 data = bytes_of(value)
                 left, at, removed, spans = [], 0, 0, 0
-                own = [r for g in gone_ or () if g["copy"] == copy for r in g["gone"]]
                 end = -1
-                for r in sorted(own, key=lambda r: r["lo"]):
+                for r in sorted(own or (), key=lambda r: r["lo"]):
                     lo, hi = r["lo"], r["hi"] + length
                     if lo > end:
                         left.append(data[at:lo])
@@ -292,12 +293,6 @@ def remove_repeats(df: DataFrame, id: str = "doc_id", text: str = "text", length
 
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if kept_bytes else [])]
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left").select("doc_id", "text", "gone").mapInArrow(
+    return docs.join(gone, same_row(gone), "left").select("doc_id", "text", "gone").mapInArrow(
         finish, f"doc_id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
                 + (", kept binary" if kept_bytes else ""))
-
-
-def digests(piece: pa.RecordBatch) -> pa.Array:
-    """A 64-bit digest of each text: with the id it tells rows apart."""
-    return pa.array([int.from_bytes(hashlib.blake2b(bytes_of(t), digest_size=8).digest(), "little", signed=True)
-                     for t in piece.column("text").to_pylist()], pa.int64())

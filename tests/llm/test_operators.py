@@ -205,12 +205,13 @@ def test_quality_threshold_covers_all_labelled_rows(spark):
         assert sum(r.predicted for r in learned) == sum(r.doc_id % 2 for r in learned)
 
 
-@pytest.mark.parametrize("size", [30, 200])
-def test_repeats(spark, corpus, edges, size):
+@pytest.mark.parametrize("size, name", [(30, lambda i: i), (200, lambda i: i), (200, lambda i: None), (200, lambda i: i % 3 or None)],
+                         ids=["short", "own", "null", "repeated"])
+def test_repeats(spark, corpus, edges, size, name):
     if size < repeats.GRAM:
         size = 40
     rows, df = corpus
-    rows = rows + [(900, "x" * 500), (901, None), (902, "é" * 120)]
+    rows = [(name(i), t) for i, t in rows + [(900, "x" * 500), (901, None), (902, "é" * 120), (0, "y" + rows[0][1]), (3, rows[3][1])]]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     data = [(t or "").encode() for _, t in rows]
     seen = {}
