@@ -187,3 +187,20 @@ def test_grounding(spark):
     got = one(spark, D.numbers_grounded(LIT("limit is 1,000"), LIT("up to 1000 a day")), D.numbers_grounded(LIT("limit is 12"), LIT("up to 13")),
               D.numbers_grounded(LIT("no numbers"), LIT("")))
     assert got == (True, False, True)
+
+
+def test_edges_of_versions_and_dates_are_ascii(spark):
+    df = spark.createDataFrame([("énever \u00e9v2 année\u00e9mar 12é final\u00e9",)], "t string")
+    got = df.select(T.extract_version(F.col("t"), F.lit("")), T.extract_date(F.col("t"), F.lit("")), T.canonical_title(F.col("t")))
+    assert tuple(got.first()) == ("2", "mar 12", "énever é annéeéé é")
+
+
+def test_equal_unit_scores_stay_equal(spark):
+    df = spark.createDataFrame([(["aa", "bb", "cc"], ["dd"], "aa bb cc")], "f array<string>, e array<string>, u string")
+    assert df.select(E.score_unit(F.col("u"), F.col("f"), F.col("e"), F.lit(0.0))).first()[0] == 2.4   # not 0.8 + 0.8 + 0.8
+
+
+def test_reference_without_semicolon_is_text(spark):
+    df = spark.createDataFrame([("<article><h1>A &amp; B&amp</h1><p>&#65; &lt &copy x</p></article>",)], "html string")
+    units = page_units(df).selectExpr("page.primary.text").first()[0]
+    assert units == ["A & B&amp", "A &lt &copy x"]
