@@ -187,3 +187,17 @@ def test_cells_reach_their_recall(spark):
     whole = cells.approximate_search(qd, sd, 8, None, cells=1)                                        # one cell: exact
     assert rows(whole.select("query_id", "section_id", "rank")) == rows(S.vector_search(qd, sd, 8).select("query_id", "section_id", "rank"))
     assert cells.approximate_search(qd, sd.limit(0), 8).count() == 0
+
+
+def test_index_is_stored_once_per_section(spark):
+    """Postings are read from one row a section: planned without a shuffle or a sort, and so are sums per section."""
+    df = spark.createDataFrame([(f"s{i}", i % 7, " ".join(f"running runs w{j}" for j in range(i % 5)), ["a b", f"k{i}"])
+                                for i in range(60)], "section_id string, doc_id int, body string, keywords array<string>")
+    for stem in (False, True):
+        ix = S.build_index(df, ("body",), blocks=6, stem=stem)
+        summed = ix.postings.groupBy("section_id").count()
+        plan = summed._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "Sort " not in plan
+        assert summed.count() == 60 and ix.postings.filter("field = 'keywords'").count() == 120
+        known = {r.term: r.df for r in ix.terms.filter("field = 'body'").collect()}
+        assert known["run"] == 48 if stem else known["runs"] == known["running"] == 48
