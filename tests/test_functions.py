@@ -204,3 +204,35 @@ def test_reference_without_semicolon_is_text(spark):
     df = spark.createDataFrame([("<article><h1>A &amp; B&amp</h1><p>&#65; &lt &copy x</p></article>",)], "html string")
     units = page_units(df).selectExpr("page.primary.text").first()[0]
     assert units == ["A & B&amp", "A &lt &copy x"]
+
+
+def test_terms_counted_in_one_pass_equal_the_expressions(spark):
+    from lectern.functions import terms
+
+    texts = ["", None, "The Travel Straße policy form 7 of a b", "policy form\u2003POLICY FORM final doc 2020 2020",
+             "İstanbul K 12 x 3 travel and the into travel into"]
+    found = one(spark, *[T.keywordize(LIT(t)) for t in texts], *[T.informative_keywords(LIT(t)) for t in texts])
+    words = [terms.keyword_terms(t) for t in texts]
+    assert [list(x) for x in found] == words + [[t for t in w if terms.is_informative(t)] for w in words]
+    array = F.array(*[LIT(t) for t in texts])
+    top, counts, total = one(spark, terms.keywords(array, 3), terms.counts(array), terms.total(array))
+    assert top == ["travel", "into", "travel_into"] and total == sum(map(len, words)) == sum(counts.values())
+    tags = lambda *t: one(spark, terms.first_tags([LIT(x) for x in t], [{0: 4}, {1: 1}], 2, (0, 1), {"trip": ["zz top"]}))
+    assert tags("policy", "red car red car") == (["red car", "car red"],)
+    assert tags("policy", "form zz \n TOP") == (["form zz", "zz top"],) and tags("policy", "policy") == ([],)
+    assert terms.labels_of("a  zz\ttop", {"trip": ["zz top"]}) == ["trip"]
+
+
+def test_pages_are_handed_on_in_pieces(spark, monkeypatch):
+    import pandas as pd
+
+    from lectern.sources import pages
+
+    texts = [f"<p>page {i}</p>" for i in range(7)] + [None, ""]
+    whole = pd.concat(list(pages._flatten(iter([pd.Series(texts)]))), ignore_index=True)
+    monkeypatch.setattr(pages, "PIECE_CHARS", 30)
+    parts = list(pages._flatten(iter([pd.Series(texts)])))
+    assert [len(p) for p in parts] == [3, 3, 3] and pd.concat(parts, ignore_index=True).equals(whole)
+    df = spark.createDataFrame(list(enumerate(texts)), "page_id int, html string").coalesce(1)
+    got = {r[0]: r[1] for r in page_units(df).select("page_id", "page.body").collect()}
+    assert got == {i: f"page {i}" if i < 7 else "" for i in range(9)}
