@@ -201,3 +201,24 @@ def test_index_is_stored_once_per_section(spark):
         assert summed.count() == 60 and ix.postings.filter("field = 'keywords'").count() == 120
         known = {r.term: r.df for r in ix.terms.filter("field = 'body'").collect()}
         assert known["run"] == 48 if stem else known["runs"] == known["running"] == 48
+
+
+def test_rare_stems_come_back_to_their_sections_without_a_shuffle_of_the_counts(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lectern.plans import common
+
+    texts = ["travel travels travelling", "claims claim filed", "filing files claims", "policies", "12 zz", ""]
+    sections = spark.createDataFrame([(f"s{i}", f"d{i}", t) for i, t in enumerate(texts)], "section_id string, doc_id string, body string")
+    few = S.build_index(sections, ("body",), blocks=3, stem=True)
+    whole = S._stemmed
+    monkeypatch.setattr(S, "COMMON_WORDS", 2)
+    monkeypatch.setattr(S, "_stemmed", lambda table: whole(table, 0))
+    many = S.build_index(sections, ("body",), blocks=3, stem=True)
+    rows = lambda ix: sorted(tuple(r) for r in ix.postings.select("term", "section_id", F.round("impact", 9)).collect())
+    assert rows(few) == rows(many) and ("travel", "s0") in [r[:2] for r in rows(many)] and len(rows(many)) == 8
+    table = common.store_bucketed(spark.createDataFrame([("s", "d", 0, [("body", (1, [("claims", 1)]))])], (
+        "section_id string, doc_id string, block int, counts array<struct<field:string,x:struct<len:int,tfs:array<"
+        "struct<term:string,tf:int>>>>>")), "section_id", 3)
+    plan = whole(table)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan
