@@ -115,6 +115,30 @@ def test_pairs_sent_are_a_multiple_of_k(spark):
     assert report["matching"] > 20 * 1000 and report["sent"] <= 20 * 5 * 24
 
 
+@pytest.mark.parametrize("most", [S.ROUND_ROWS, 4])
+def test_a_large_question_table_moves_no_postings(spark, world, monkeypatch, most):
+    """Questions come in rounds, however often a term occurs; only the first k of a question are shuffled."""
+    monkeypatch.setattr(S, "ROUND_ROWS", most)
+    data, questions, df, q, grants = world
+    ix = S.build_index(df, ("body",), blocks=5)
+    large, plans, kept = {"small": False, "max_broadcast": 0, "hot_rows": 5}, [], S.store
+    monkeypatch.setattr(S, "store", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or kept(rows))
+    got = S.keyword_search(q, ix, 6, {"body": 1.0}, **large).collect()
+    for n, text, _ in questions:
+        assert [r.section_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == n] == brute(data, text, 6)
+    answers = [p for p in plans if "section_id" in p]
+    assert len(answers) >= (2 if most > 4 else 5)
+    for p in answers:
+        assert "hashpartitioning(field" not in p and "hashpartitioning(query_id" in p
+        assert not [line for line in p.split("\n") if "Exchange hashpartitioning" in line and "section_id" in line]
+    for options in ({"grants": grants}, {"within": df.filter("doc_id < 9")}):
+        one, two = (rows(S.keyword_search(q, ix, 6, {"body": 1.0}, **options, **how).select("query_id", "rank", "section_id", "score"))
+                    for how in ({}, large))
+        assert one == two and one
+    one, two = (rows(S.similarity_search(q, ix, 4, fields=("body",), **how).select("query_id", "rank", "section_id")) for how in ({}, large))
+    assert one == two and one
+
+
 def test_hidden_sections_are_never_scored(spark, world):
     data, questions, df, q, grants = world
     may = {"ann": {1, 2, 3}, "eve": {1, 2, 3}, "bob": {5}, "dan": {99}}
