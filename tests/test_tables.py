@@ -379,3 +379,22 @@ def test_bulk_grant_counts(spark):
     assert rows(A.bulk_counts(old, users, docs, AT)) == rows(want) == [("1", 4, 2), ("2", 4, 4), ("3", 3, 3), ("9", 1, 1)]
     many = A.bulk_counts(old, spark.range(1, 200_001).toDF("user_id"), spark.range(50_000).toDF("doc_id"), AT)
     assert many.agg(F.sum("n_grants")).first()[0] == 200_000 * 50_000 + 5         # ten thousand million grants, never rows
+
+
+def counted(df):
+    """The same rows, and a counter of how many of them were computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    return df.mapInArrow(run, df.schema), seen
+
+
+def test_injected_documents_look_up_once(spark):
+    hits = spark.createDataFrame([(1, "a#0", "a", 0.5, 1), (2, "b#1", "b", 0.4, 1)], "query_id long, section_id string, doc_id string, score double, rank int")
+    lookups, seen = counted(spark.createDataFrame([(1, "c", 0.9), (2, "c", 0.1)], "query_id long, doc_id string, lookup_score double"))
+    sections = spark.createDataFrame([("c", "c#0", 0), ("c", "c#1", 1), ("b", "b#1", 1)], "doc_id string, section_id string, order_index int")
+    got = S.inject_document(hits, lookups, sections)
+    assert rows(got) == [(1, "c#0", "c", 1.0, 1), (1, "c#1", "c", 1.0, 2), (2, "b#1", "b", 0.4, 1)] and seen.value == 2
