@@ -398,3 +398,13 @@ def test_injected_documents_look_up_once(spark):
     sections = spark.createDataFrame([("c", "c#0", 0), ("c", "c#1", 1), ("b", "b#1", 1)], "doc_id string, section_id string, order_index int")
     got = S.inject_document(hits, lookups, sections)
     assert rows(got) == [(1, "c#0", "c", 1.0, 1), (1, "c#1", "c", 1.0, 2), (2, "b#1", "b", 0.4, 1)] and seen.value == 2
+
+
+def test_cases_and_runs_are_computed_once(spark):
+    cases, seen = counted(spark.createDataFrame([(1, "Leave", ""), (2, "Travel", "")], "id long, source_document string, source_section string"))
+    hits = spark.createDataFrame([(1, 1, "Claims", "x"), (1, 2, "Leave", "x"), (2, 1, "Travel", "x")],
+                                 "id long, rank int, document_title string, section_title string")
+    scored = V.score_cases(cases, hits).select("id", "got", "hit_at_1", "hit_at_3", "reciprocal_rank")
+    assert rows(scored) == [(1, "Claims", False, True, 0.5), (2, "Travel", True, True, 1.0)] and seen.value == 2
+    run, seen = counted(scored.withColumn("error", F.lit("")))
+    assert V.compare_runs(run, scored.withColumn("error", F.lit(""))).first().common == 2 and seen.value == 2
