@@ -408,3 +408,13 @@ def test_cases_and_runs_are_computed_once(spark):
     assert rows(scored) == [(1, "Claims", False, True, 0.5), (2, "Travel", True, True, 1.0)] and seen.value == 2
     run, seen = counted(scored.withColumn("error", F.lit("")))
     assert V.compare_runs(run, scored.withColumn("error", F.lit(""))).first().common == 2 and seen.value == 2
+
+
+def test_dual_sections_read_their_hits_once(spark):
+    from lectern.operators import decisions as D
+
+    hits, seen = counted(spark.createDataFrame([(1, f"{d}#0", d, 0.5, n + 1) for n, d in enumerate("abcdefg")],
+                                               "query_id long, section_id string, doc_id string, score double, rank int"))
+    duals = spark.createDataFrame([(1, "b", "z")], "query_id long, doc_a string, doc_b string")
+    got = D.dual_sections(duals, hits).select("side", "section_id")
+    assert rows(got) == [("A", "b#0"), ("B", "d#0"), ("B", "e#0"), ("B", "f#0")] and seen.value == 7
