@@ -418,3 +418,18 @@ def test_dual_sections_read_their_hits_once(spark):
     duals = spark.createDataFrame([(1, "b", "z")], "query_id long, doc_a string, doc_b string")
     got = D.dual_sections(duals, hits).select("side", "section_id")
     assert rows(got) == [("A", "b#0"), ("B", "d#0"), ("B", "e#0"), ("B", "f#0")] and seen.value == 7
+
+
+def test_full_sections_return_title_terms_and_counts(spark, tmp_path):
+    from lectern.suite import metadata_queries
+
+    spark.createDataFrame([(1, "en", "web", "Leave policy\nleave leave days 12")], "doc_id long, lang string, source string, text string"
+                          ).write.parquet(f"{tmp_path}/documents.parquet")
+    got = metadata_queries.meta_full_sections(spark, str(tmp_path)).filter("section_id = '1#1'").first()
+    assert got.title_terms == "line|2|line_2"
+    pieces = ["Line 2", "Leave policy", *got.tags.split("|"), "leave leave days 12"]
+    counts = {}
+    for words in ([w for w in p.lower().split()] for p in pieces):
+        for term in words + list(map("_".join, zip(words, words[1:]))):
+            counts[term] = counts.get(term, 0) + 1
+    assert json.loads(got.token_counts) == counts and got.token_length == sum(counts.values())
