@@ -156,6 +156,27 @@ def test_decontamination_finds_paraphrases_of_any_cosine(spark):
     assert {(r.doc_id, r.kind) for r in got.collect()} == expected
 
 
+def test_decontamination_space_is_fitted_on_every_row(spark):
+    """Directions and variances of as few words as the space has dimensions are exact, over all of many rows."""
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(6)]
+    texts = [" ".join(rng.choices(vocabulary, [9, 5, 4, 3, 2, 1], k=70)) for _ in range(12_000)] + ["", None]
+    space = decontaminate.fit_space(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), rank=6, more=2)
+    word, _, _, _ = decontaminate.tokens(np.frombuffer(" ".join(vocabulary).encode(), np.uint8), np.array([0, 41]))
+    f = decontaminate.features(word)
+    assert len(set(f.tolist())) == 6
+    df = np.array([sum(w in set(t.split()) for t in texts if t) for w in vocabulary])
+    idf = np.log((len(texts) + 1) / (df + 1)) + 0.1
+    assert np.allclose(space.idf[f], idf)
+    rows = []
+    for words in (t.split()[a:a + 64] for t in texts if t for a in (0, 64)):
+        rows.append(idf * [words.count(w) for w in vocabulary])
+        rows[-1] /= np.linalg.norm(rows[-1])
+    inverse = np.linalg.inv(np.array(rows).T @ np.array(rows))
+    got = space.vectors[f].astype(float)
+    assert np.allclose(got @ got.T, idf[:, None] * inverse * idf, rtol=1e-3, atol=1e-9)
+
+
 PERSONAL = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
             r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
